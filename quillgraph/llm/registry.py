@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam
+from quillgraph.llm import decontam, secrets
 
 QUERIES = {
+    "op4_secrets": secrets.query,
     "op10_decontam": decontam.query,
 }
 
