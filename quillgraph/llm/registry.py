@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, secrets
+from quillgraph.llm import decontam, packing, secrets
 
 QUERIES = {
+    "op8_packing": packing.query,
     "op4_secrets": secrets.query,
     "op10_decontam": decontam.query,
 }
