@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, packing, secrets
+from quillgraph.llm import decontam, langid, packing, secrets
 
 QUERIES = {
+    "op2_langid": langid.query,
     "op8_packing": packing.query,
     "op4_secrets": secrets.query,
     "op10_decontam": decontam.query,
