@@ -17,16 +17,22 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import string
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from tokenizers import Tokenizer
 
 from quillgraph.llm.common import cut, table
 
@@ -34,8 +40,10 @@ CAPACITY = 2048
 END = 0
 #: Ranks within a length are counted in buckets: this many at least, and one for so many pieces.
 BUCKETS, BUCKET_ROWS = 64, 200_000
-#: Words whose ids a task remembers at most; it starts afresh beyond.
-CACHE_WORDS = 400_000
+#: Signs that make one token run of their own after a word.
+SIGNS = string.punctuation
+#: Words whose ids a worker remembers at most (some 100 MB).
+CACHE_WORDS = 700_000
 
 
 def tokenizer_path() -> str:
@@ -44,8 +52,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of a text, word by word, remembering words.
+class WordIds(dict):
+    """Ids of a text (little-endian, 4 bytes each), put together from remembered words.
 
     The tokenizer lower-cases, drops white space and merges within words only, so a text's
     ids are its words' ids one after the other. Texts with anything but Latin letters,
@@ -55,48 +63,58 @@ class WordIds:
     #: Letters whose NFC form and lower case are one code point each.
     _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
-    def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        # for one word that is already in lower case: the same merges without the regexes
+        self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}))
         self.plain = re.compile(rf"[{self._LETTERS}\x20-\x3B=\x3F-\x7E\n\t]*").fullmatch
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{self._LETTERS}]+|[0-9]|[^\s{self._LETTERS}0-9]+").findall
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
+        self.limit = limit
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Of what stands between blanks, in lower case; remembered up to the limit."""
+        if chunk.isalpha():
+            found = self.packed(self.merges.encode(chunk, add_special_tokens=False).ids)
+        elif (word := chunk.rstrip(SIGNS)).isalpha():
+            return self[word] + self[chunk[len(word) :]]
+        elif len(parts := self.split(chunk)) > 1:
+            return b"".join(map(self.__getitem__, parts))
+        else:
+            found = self.packed(self.merges.encode(chunk, add_special_tokens=False).ids)
+        if len(self) < self.limit:
+            self[chunk] = found
+        return found
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, text: str) -> bytes:
         if not self.plain(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words = self.split(text.lower())
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = e.ids
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        return ids
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which outlives its tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; the texts stay behind."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode, end = word_ids(path), struct.pack("<I", END)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END], dtype="<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
+                ids = encode(text.as_py() or "") + end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
