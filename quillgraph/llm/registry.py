@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, packing, secrets
+from quillgraph.llm import decontam, langid, packing, secrets, vectors
 
 QUERIES = {
+    "op9_vectors": vectors.query,
     "op2_langid": langid.query,
     "op8_packing": packing.query,
     "op4_secrets": secrets.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_vectors": vectors.ORACLE_SQL,
     "op10_decontam": decontam.ORACLE_SQL,
 }
