@@ -55,3 +55,11 @@ def plan_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """Hint a broadcast where the counted rows stay under limit; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import fresh, table
 
 DIMS = 1 << 16
 PER_LABEL = 600
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> tuple[
 
 
 def predict(docs: DataFrame, labels: list[str], weights: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score, every column kept."""
+    """docs with lang_pred and score (which replace columns of those names), the rest kept."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     dims = len(weights)
 
@@ -223,7 +223,9 @@ def predict(docs: DataFrame, labels: list[str], weights: np.ndarray) -> DataFram
         names, scores = score([None if t is None or t != t else t for t in texts])
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_found", identify("text")).select(*docs.columns, "_found.lang_pred", "_found.score")
+    found = fresh(docs.columns, "found")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn(found, identify("text")).select(*kept, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
 
 
 def identify_languages(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> DataFrame:

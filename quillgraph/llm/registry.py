@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, packing, secrets, vectors
+from quillgraph.llm import decontam, langid, packing, secrets, surrogates, vectors
 
 QUERIES = {
+    "op5_surrogates": surrogates.query,
     "op9_vectors": vectors.query,
     "op2_langid": langid.query,
     "op8_packing": packing.query,
