@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, licenses, packing, secrets, surrogates, vectors
+from quillgraph.llm import decontam, langid, licenses, packing, secrets, suffixes, surrogates, vectors
 
 QUERIES = {
+    "op1_suffixes": suffixes.query,
     "op7_licenses": licenses.query,
     "op5_surrogates": surrogates.query,
     "op9_vectors": vectors.query,
