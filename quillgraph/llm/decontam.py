@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, table
+from quillgraph.llm.common import broadcast_if_small, cut, table
 
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +59,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
     contaminated: at least one word is hit and share * n_hit >= n_words.
     """
+    return judged(docs, items, size, share).drop("h")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    bad = judged(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    bad = cut(bad, "contaminated")
+    gone = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_h"))
+    return docs.join(broadcast_if_small(bad, bad.count()), gone, "left_anti")
+
+
+def judged(docs: DataFrame, items: DataFrame, size: int, share: int) -> DataFrame:
+    """As decontaminate, with h, the hash of the text."""
     windows = windows_of(items, size)
     n = windows.count()
     tokens = prefix_tokens(docs, windows, n)
@@ -75,8 +88,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     by_doc = met.groupBy("doc_id", "h", "n_words").agg(F.sum(F.when(F.col("len") == 0, 1).otherwise(0)).alias("copies"), F.collect_set(seen).alias("spans"), F.collect_set(F.when(F.col("len") > 0, F.col("items"))).alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))))
     ids = F.sort_array(F.array_distinct(F.flatten("items")))
-    out = by_doc.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), ids.alias("ids"), "copies")
-    out = out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "copies")
+    out = by_doc.select("doc_id", "h", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), ids.alias("ids"), "copies")
+    out = out.select("doc_id", "h", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "copies")
     return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copies", "copy")
 
 

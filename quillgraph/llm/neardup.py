@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, table
+from quillgraph.llm.common import broadcast_if_small, cut, fresh, table
 from quillgraph.llm.components import components, union_find
 
 WORDS = 5
@@ -311,9 +311,26 @@ def with_rids(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.select((F.xxhash64("doc_id", "text") if odd else F.col("doc_id")).alias("rid"), "doc_id", "text"), odd
 
 
+def kept_documents(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """The rows of docs that stand for their classes."""
+    rows, odd = with_rids(docs)
+    found = _classes(rows, odd, least, sketches)
+    if odd:  # what goes is told by row; of rows that are alike in id and text one stays
+        rid = fresh(docs.columns, "rid")
+        mine = F.xxhash64(F.col("doc_id").cast("long"), "text")
+        gone = cut(found.groupBy("rid").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("rid").alias("gone")), "gone")
+        return docs.withColumn(rid, mine).join(broadcast_if_small(gone, gone.count()), F.col(rid) == F.col("gone"), "left_anti").dropDuplicates([rid]).drop(rid)
+    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """doc_id, class_id, kept: a row for each row of docs; one row of a class is kept."""
-    rows, odd = with_rids(docs)
+    return _classes(*with_rids(docs), least, sketches).drop("rid")
+
+
+def _classes(rows: DataFrame, odd: bool, least: float, sketches: int) -> DataFrame:
+    """rid, doc_id, class_id, kept of rows (rid, doc_id, text)."""
     sketch = cut(sketched(rows, sketches), "sketches")
     classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rid"))
     # the sketch of a class is that of the document that stands for it
@@ -336,14 +353,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
         roots = components(links).select(F.col("node").alias("rid"), "root")
     of_class = classes if roots is None else classes.join(roots, "rid", "left")
     of_class = of_class.select("key", F.coalesce("root", "rid").alias("root") if roots is not None else F.col("rid").alias("root"))
-    out = sketch.select("rid", "doc_id", "key").join(of_class, "key", "left").select("doc_id", F.coalesce("root", "rid").alias("root"))
+    out = sketch.select("rid", "doc_id", "key").join(of_class, "key", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"))
     if not odd:
-        return out.select("doc_id", F.col("root").alias("class_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
+        return out.select("rid", "doc_id", F.col("root").alias("class_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
     least_id = out.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = out.join(least_id, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("class_id")))
     nth = F.row_number().over(W.partitionBy("root", "first").orderBy("doc_id"))
     firsts = out.where("first").withColumn("kept", nth == 1)
-    return firsts.unionByName(out.where("NOT first").withColumn("kept", F.lit(False))).select("doc_id", "class_id", "kept")
+    return firsts.unionByName(out.where("NOT first").withColumn("kept", F.lit(False))).select("rid", "doc_id", "class_id", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
