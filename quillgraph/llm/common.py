@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more.
+
+    Called once their results are written; files would else stay until the driver happens
+    to collect its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame) -> int:
     """What Catalyst takes the frame's size to be, in bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, table
+from quillgraph.llm.common import cut, release, table
 
 MATCH = 200
 GRAM = 32
@@ -306,6 +306,21 @@ def result_row(raw: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, int,
     return len(raw), sum(e - s for s, e in runs), len(runs), digest.hexdigest()
 
 
+def _gather(spark: SparkSession, rows: DataFrame, match: int, gram: int) -> DataFrame:
+    """rows with runs (of grams whose segments are all alike) and mixed (segments to compare).
+
+    A table by buckets of rid, so that the texts need no second shuffle.
+    """
+    places = segments(rows, match, gram)
+    grams = places.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
+    grams = cut(grams, "grams")  # written, so that the join below can split hot grams
+    hits = places.join(grams, "gram").select("rid", F.shiftright("place", 16).alias("at"), F.col("place").bitwiseAND(0xFFFF).alias("len"), F.when(F.col("mixed"), F.col("gram")).alias("gram"), F.when(F.col("mixed"), F.col("seg")).alias("seg"))
+    by_doc = hits.groupBy("rid").agg(F.collect_set(F.when(F.col("gram").isNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e")))).alias("runs"), F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("at", "len", "gram", "seg"))).alias("mixed"))
+    name = f"quillgraph_suffixes_{uuid.uuid4().hex}"
+    rows.join(by_doc, "rid", "left").write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").saveAsTable(name)
+    return spark.table(name)
+
+
 def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and runs (removed byte runs), a row for each row."""
     spark = docs.sparkSession
@@ -314,19 +329,12 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: i
     rid = F.xxhash64("doc_id", "text") if odd else F.col("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(rid.alias("rid"), "doc_id", F.col("text").cast("binary").alias("bytes"))
 
-    places = segments(rows, match, gram)
-    grams = places.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
-    hits = places.join(grams, "gram").select("rid", F.shiftright("place", 16).alias("at"), F.col("place").bitwiseAND(0xFFFF).alias("len"), F.when(F.col("mixed"), F.col("gram")).alias("gram"), F.when(F.col("mixed"), F.col("seg")).alias("seg"))
-    by_doc = hits.groupBy("rid").agg(F.collect_set(F.when(F.col("gram").isNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e")))).alias("runs"), F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("at", "len", "gram", "seg"))).alias("mixed"))
-    joined = rows.join(by_doc, "rid", "left")
-    # kept by buckets of rid, so that the texts need no second shuffle
-    name = f"quillgraph_suffixes_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined.write.bucketBy(buckets, "rid").saveAsTable(name)
-    state = spark.table(name)
+    state = _gather(spark, rows, match, gram)
+    release(spark)
 
     mixed = state.select("rid", "bytes", F.explode("mixed").alias("m")).select("rid", "m.*", F.expr("substring(bytes, cast(m.at + 1 as int), cast(m.len as int))").alias("bytes"))
     distinct = cut(mixed.groupBy("gram", "seg").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")), "segments")
+    release(spark)
     per_gram = distinct.groupBy("gram").agg(F.count("*").alias("k"))
     crowded = per_gram.where(F.col("k") > hot).select("gram")
     if crowded.isEmpty():
