@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, licenses, neardup, packing, secrets, suffixes, surrogates, vectors
+from quillgraph.llm import decontam, langid, licenses, neardup, packing, secrets, shards, suffixes, surrogates, vectors
 
 QUERIES = {
+    "op6_shards": shards.query,
     "op3_neardup": neardup.query,
     "op1_suffixes": suffixes.query,
     "op7_licenses": licenses.query,
