@@ -8,12 +8,13 @@ Jaccard similarity that also asks for equal order, found by banded bit-parallel
 1. Texts of equal words are one class; only one text of a class goes on.
 2. Order MinHash: under each of ``SKETCHES`` permutations the two least occurrence-labelled
    shingles, in text order, make a key. Two texts at 0.8 share no key with odds of 5e-6.
-3. Texts that share a key are a bucket. Small buckets give all their pairs; larger ones the
-   edges of maximum spanning forests over the share of equal keys, so pairs stay in
-   proportion to members. Buckets of over ``BLOCK`` texts are dealt as pairs of blocks.
-4. Pairs are verified by alignment; verified links are joined into components. Members of
-   one bucket that are still apart are then paired with the other parts they resemble and
-   verified too, until a round adds no link.
+3. Texts that share a key are a bucket; of buckets with the same members one is kept. The
+   members' shingle sequences meet in one task. Exact overlaps of all labelled shingle sets
+   (a matrix product) rule out most pairs; the rest are aligned, most alike first, and only
+   until no pair is left whose members are still apart. What is written are the links of
+   that forest, so output grows with members, and no link between parts is lost.
+4. Buckets of over ``BLOCK`` texts or ``BLOCK_BYTES`` are dealt as pairs of blocks.
+5. Links of all buckets are joined into components.
 
 Defined results: a document's class is the smallest doc_id of its component; texts without
 words (null, empty, signs only) are classes of their own; repeated rows share a class, one
@@ -34,19 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, fresh, table
-from quillgraph.llm.components import components, union_find
+from quillgraph.llm.common import broadcast_if_small, cut, fresh, release, table
+from quillgraph.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 12
-#: Buckets up to this size give all pairs.
-SMALL = 12
-BLOCK = 1_536
-#: Share of equal keys under which a pair cannot be meant (0.8 makes it 0.64 on average).
-UNLIKE = 0.17
-FORESTS = 2
-ROUNDS = 6
+#: Texts, and bytes of shingles, of a block: a task holds two.
+BLOCK, BLOCK_BYTES = 1_536, 12 << 20
+#: Columns of the overlap matrix that are multiplied at a time.
+COLUMNS = 4_096
 WORD_CACHE = 500_000
 
 _WORD = re.compile(r"\w+").findall
@@ -187,96 +185,109 @@ def sketched(rows: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     return rows.mapInArrow(sketch, "rid long, doc_id long, key binary, n int, keys binary")
 
 
-def _forest(a: np.ndarray, used: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest over weights a, leaving out used and zero ones."""
-    n = len(a)
-    best, frm, todo = np.zeros(n, dtype=a.dtype), np.full(n, -1), np.ones(n, dtype=bool)
-    edges, at = [], 0
-    for _ in range(n):
-        todo[at] = False
-        w = np.where(used[at] | ~todo, 0, a[at])
-        better = w > best
-        best[better], frm[better] = w[better], at
-        open_ = np.where(todo, best, -1)
-        at = int(open_.argmax())
-        if open_[at] < 0:
-            break
-        if best[at] > 0:
-            edges.append((int(frm[at]), at))
-    return edges
-
-
-def bucket_pairs(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, band: int, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members (by place) that are to be verified."""
-    m = len(ids)
-    fits = np.minimum.outer(n, n) >= SIMILARITY * np.maximum.outer(n, n) - 1e-9
-    if roots is not None:
-        fits &= roots[:, None] != roots[None, :]
-        if not fits.any():
-            return []
-    equal = np.zeros((m, m), dtype=np.int16)
-    for k in range(keys.shape[1]):
-        equal += keys[:, k][:, None] == keys[:, k][None, :]
-    likely = fits & (equal >= UNLIKE * keys.shape[1])
-    np.fill_diagonal(likely, False)
-    if m <= SMALL or roots is not None:
-        i, j = np.nonzero(np.triu(likely, 1))
-        # a pair comes from the first of the keys it shares
-        first = np.array([int((keys[x] == keys[y]).argmax()) for x, y in zip(i, j)], dtype=int) == band if len(i) else np.zeros(0, dtype=bool)
-        return list(zip(i[first].tolist(), j[first].tolist()))
-    weight = np.where(likely, equal, 0).astype(np.int16)
-    used, edges = np.zeros((m, m), dtype=bool), []
-    for _ in range(FORESTS):
-        more = _forest(weight, used)
-        for x, y in more:
-            used[x, y] = used[y, x] = True
-        edges += more
-    return edges
-
-
-def candidates(texts: DataFrame, sketches: int, roots: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """x, y: distinct pairs of rids to verify; with roots, only between different parts.
+def labelled(seq: np.ndarray) -> np.ndarray:
+    """Shingles told apart by occurrence, so that set overlaps are multiset overlaps."""
+    order = seq.argsort(kind="stable")
+    ranked = seq[order]
+    at = np.arange(len(seq))
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(seq)]
+    return ranked.astype(np.uint64) | (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) << np.uint64(32)
+
+
+def overlaps(seqs: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the multiset intersections of all pairs of sequences."""
+    n = len(seqs)
+    member = np.repeat(np.arange(n), [len(s) for s in seqs])
+    _, column, count = np.unique(np.concatenate([labelled(s) for s in seqs]), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    member, column = member[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = column.argsort(kind="stable")
+    member, column = member[order], column[order]
+    total = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - first)), dtype=np.float32)
+        part[member[lo:hi], column[lo:hi] - first] = 1
+        total += part @ part.T
+    return total
+
+
+def bucket_links(seqs: list[np.ndarray], own: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (by place) that join all members that similar pairs connect.
+
+    own: the members' blocks; if there are two, only pairs between them are looked at.
+    """
+    n = len(seqs)
+    size = np.array([len(s) for s in seqs], dtype=np.float32)
+    both = size[:, None] + size[None, :]
+    overlap = overlaps(seqs)
+    likely = np.triu(overlap >= least / (1 + least) * both - 1e-3, 1)
+    if own.min() != own.max():
+        likely &= own[:, None] != own[None, :]
+    i, j = np.nonzero(likely)
+    order = np.argsort(-(overlap[i, j] / (both[i, j] - overlap[i, j])), kind="stable")
+    i, j = i[order], j[order]
+    part, links, at = np.arange(n), [], 0
+    while at < len(i):
+        near = slice(at, at + 4096)
+        apart = np.flatnonzero(part[i[near]] != part[j[near]])
+        if not len(apart):
+            at += 4096
+            continue
+        at += int(apart[0])
+        x, y = int(i[at]), int(j[at])
+        at += 1
+        if similar(seqs[x], seqs[y], least):
+            links.append((x, y))
+            part[part == part[y]] = part[x]
+    return links
+
+
+def buckets(texts: DataFrame, sketches: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """bucket, g, rid: members of the buckets to be looked at, in g blocks each.
 
     texts: rid, n, keys, a row for each distinct text.
     """
-    if roots is not None:
-        texts = texts.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    else:
-        texts = texts.withColumn("root", F.col("rid"))
     band = F.explode(F.sequence(F.lit(0), F.lit(sketches - 1)))
-    each = texts.select("rid", "n", "root", "keys", band.alias("band")).withColumn("bucket", F.xxhash64("band", F.expr("substring(keys, band * 8 + 1, 8)")))
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("size > 1 AND a <> b").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("g"))
-    met = each.join(sizes, "bucket")
-    # blocks of a large bucket meet in pairs; a small one is a single block
+    each = texts.select("rid", "n", "keys", band.alias("band")).select("rid", "n", F.xxhash64("band", F.expr("substring(keys, band * 8 + 1, 8)")).alias("bucket"))
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("a"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("b")).where("size > 1")
+    g = F.ceil(F.greatest(F.col("size") / block, 4 * F.col("n") / block_bytes)).cast("int")
+    once = cut(sizes.groupBy("size", "n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(g, F.lit(1)).alias("g")), "buckets")
+    return each.select("bucket", "rid").join(once, "bucket")
+
+
+def linked(members: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """x, y: verified links between members of a bucket."""
     own = F.pmod(F.xxhash64("rid", F.lit(1)), F.col("g")).cast("int")
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "band", "rid", "n", "root", "keys")
-    apart = roots is not None
+    met = members.join(seqs, "rid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rid", "seq")
 
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush(out: list[tuple[int, int]]) -> None:
             if len(held) > 1:
-                ids = np.array([h[5] for h in held])
-                keys = np.frombuffer(b"".join(h[8] for h in held), dtype=np.uint64).reshape(len(held), -1)
-                pairs = bucket_pairs(ids, np.array([h[6] for h in held]), keys, held[0][4], np.array([h[7] for h in held]) if apart else None)
-                out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for i, j in pairs]
+                found = bucket_links([np.frombuffer(h[5], np.uint32) for h in held], np.array([h[3] for h in held]), least)
+                out += [(held[i][4], held[j][4]) for i, j in found]
             held.clear()
 
+        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["x", "y"])
+
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if held and row[:3] != held[0][:3]:
                     flush(out)
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["x", "y"])
+            yield batch_of(out)
         out = []
         flush(out)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["x", "y"])
+        yield batch_of(out)
 
     dealt = met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "rid")
-    return dealt.mapInArrow(pair_up, "x long, y long").distinct()
+    return dealt.mapInArrow(verify, "x long, y long")
 
 
 def sequences(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -290,19 +301,6 @@ def sequences(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return rows.select("rid", "text").join(broadcast_if_small(wanted, n_wanted), "rid", "left_semi").mapInArrow(cut_up, "rid long, seq binary").dropDuplicates(["rid"])
 
 
-def verified(pairs: DataFrame, seqs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose alignment reaches the similarity."""
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), least) for a, b in zip(batch.column("a"), batch.column("b"))]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["x", "y"])
-
-    a, b = seqs.select(F.col("rid").alias("x"), F.col("seq").alias("a")), seqs.select(F.col("rid").alias("y"), F.col("seq").alias("b"))
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(align, "x long, y long")
-
-
 def with_rids(docs: DataFrame) -> tuple[DataFrame, bool]:
     """rid, doc_id, text; rid is the doc_id unless ids repeat or lack, then a hash of the row."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -335,24 +333,15 @@ def _classes(rows: DataFrame, odd: bool, least: float, sketches: int) -> DataFra
     classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rid"))
     # the sketch of a class is that of the document that stands for it
     texts = cut(sketch.select("rid", "n", "keys").join(classes.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]), "texts")
-    links, roots = None, None
-    for _ in range(ROUNDS):
-        pairs = candidates(texts, sketches, roots)
-        if links is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
-        seqs = cut(sequences(rows, wanted, 2 * pairs.count()), "sequences")
-        new = cut(verified(pairs, seqs, least), "verified")
-        if links is not None and new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        tried = pairs if roots is None else tried.union(pairs)
-        roots = components(links).select(F.col("node").alias("rid"), "root")
-    of_class = classes if roots is None else classes.join(roots, "rid", "left")
-    of_class = of_class.select("key", F.coalesce("root", "rid").alias("root") if roots is not None else F.col("rid").alias("root"))
+    members = cut(buckets(texts, sketches), "members")
+    wanted = members.select("rid").distinct()
+    seqs = cut(sequences(rows, wanted, members.count()), "sequences")
+    release(rows.sparkSession)
+    links = cut(linked(members, seqs, least), "links")
+    release(rows.sparkSession)
+    roots = components(links).select(F.col("node").alias("rid"), "root")
+    of_class = classes.join(roots, "rid", "left")
+    of_class = of_class.select("key", F.coalesce("root", "rid").alias("root"))
     out = sketch.select("rid", "doc_id", "key").join(of_class, "key", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"))
     if not odd:
         return out.select("rid", "doc_id", F.col("root").alias("class_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
