@@ -3,8 +3,8 @@
 A store is a folder of immutable Parquet shards and versioned manifests. Arrivals are
 appended as small shards, written by the tasks that read them, without a shuffle. A tier
 holds shards of like size (within a factor of ``FAN_IN``); once it has FAN_IN of them they
-are merged into target-sized files: the scan packs whole files into tasks of the target
-size, and each task writes one file, again without a shuffle. Each step ends by committing
+are merged into target-sized files: the shards are coalesced to as many tasks as the tier
+has target sizes, and each task writes one file, again without a shuffle. Each step ends by committing
 a manifest with one atomic rename, so readers see the old version or the new one; a
 writer that was overtaken fails. Shards that no kept version names are then deleted.
 
@@ -116,15 +116,14 @@ class ShardStore:
         while True:
             version = self.versions()[-1]
             shards = self.manifest(version).where(F.col("n_bytes") < self.target // 2)
-            full = shards.groupBy("tier").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).where(F.col("n") >= self.fan_in).orderBy("tier").collect()  # a row a tier
+            full = shards.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fan_in).orderBy("tier").collect()  # a row a tier
             if not full:
                 return version
-            every = {r["shard"]: tuple(r) for r in self.manifest(version).collect()}
+            before = [tuple(r) for r in self.manifest(version).collect()]
+            every = {r[0]: r for r in before}
             for tier in full:
-                old = [r for r in every.values() if r[2] == tier["tier"] and r[4] < self.target // 2]
-                if len(old) < self.fan_in:
-                    continue
-                new = self._merge([r[1] for r in old], tier["bytes"])
+                old = [r for r in before if r[2] == tier["tier"] and r[4] < self.target // 2]
+                new = self._merge([r[1] for r in old], sum(r[4] for r in old))
                 for r in old:
                     every.pop(r[0])
                 every |= {r[0]: r for r in new}
@@ -134,16 +133,8 @@ class ShardStore:
     def _merge(self, paths: list[str], n_bytes: int) -> list[tuple]:
         """Rewrite shards as fewer files of about the target size."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        size = min(self.target, max(n_bytes, 1))
-        packing = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        before = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            self.spark.read.parquet(*paths).write.option("compression", "zstd").parquet(folder)
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        files = max(1, math.ceil(n_bytes / self.target))
+        self.spark.read.parquet(*paths).coalesce(files).write.option("compression", "zstd").parquet(folder)
         return self._listed(folder)
 
     def read(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
