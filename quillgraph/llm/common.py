@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +77,23 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_remembered: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks; one thing at a time.
+
+    Workers outlive tasks and stages, so a new operator's tables take the place of the last
+    one's, and the freed memory goes back to the system.
+    """
+    if name not in _remembered:
+        _remembered.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it is only memory
+            pass
+        _remembered[name] = make()
+    return _remembered[name]

@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 #: Weights of a text's n-grams sum to this.
 SCALE = 20.0
 #: Code points that are turned into n-grams at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

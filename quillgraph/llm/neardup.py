@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, fresh, release, table
+from quillgraph.llm.common import broadcast_if_small, cut, fresh, release, remembered, table
 from quillgraph.llm.components import components
 
 WORDS = 5
@@ -45,7 +44,7 @@ SKETCHES = 12
 BLOCK, BLOCK_BYTES = 1_536, 12 << 20
 #: Columns of the overlap matrix that are multiplied at a time.
 COLUMNS = 4_096
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 
 _WORD = re.compile(r"\w+").findall
 
@@ -58,9 +57,8 @@ class _Hashes(dict):
         return h
 
 
-@cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return remembered("word hashes", _Hashes)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from quillgraph.llm.common import cut, table
+from quillgraph.llm.common import cut, remembered, table
 
 CAPACITY = 2048
 END = 0
@@ -42,8 +41,8 @@ END = 0
 BUCKETS, BUCKET_ROWS = 64, 200_000
 #: Signs that make one token run of their own after a word.
 SIGNS = string.punctuation
-#: Words whose ids a worker remembers at most (some 100 MB).
-CACHE_WORDS = 700_000
+#: Words whose ids a worker remembers at most (some 90 MB).
+CACHE_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -97,10 +96,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-@cache
 def word_ids(path: str) -> WordIds:
     """One for each Python worker, which outlives its tasks."""
-    return WordIds(path)
+    return remembered(f"ids of {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
