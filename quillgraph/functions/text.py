@@ -66,7 +66,7 @@ def token_estimate(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """Trimmed, non-empty parts of a comma-separated text."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def percentage(part: Column, whole: Column) -> Column:

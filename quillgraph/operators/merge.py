@@ -32,7 +32,7 @@ def merge_edges(rows: DataFrame, sources: DataFrame, targets: DataFrame, source_
     a wider key; without it edges that differ in a property stay side by side.
     """
     kept = rows.join(sources.select(F.col(source_key).alias("from_id")).distinct(), "from_id", "left_semi")
-    kept = kept.join(targets.select(F.col(target_key).alias("to_id")).distinct(), "to_id", "left_semi")
+    kept = kept.join(targets.select(F.col(target_key).alias("to_id")).distinct(), "to_id", "left_semi").select(*rows.columns)
     if first_by is None:
         return (kept.drop(seq) if seq else kept).distinct()
     return _prefer(kept, first_by, [F.col(seq).asc_nulls_last()]).drop(seq)

@@ -38,8 +38,13 @@ def reach(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> Dat
 
     A start is among its own nodes if it lies on a cycle that short. Every round joins the
     frontier with the edges and drops pairs that were seen, so work is bounded by the pairs.
-    Exact for paths without repeated edges: a shortest walk repeats none.
+    Exact for paths without repeated edges: a shortest walk repeats none. Up to three hops
+    the plan is lazy; beyond, a lazy plan would repeat earlier rounds ever more often, so
+    each round is written.
     """
+    if most > 3:
+        found = closure(starts, edges, most)
+        return found.where(F.col("depth") >= least) if least > 1 else found
     pairs = edges.select("src", "dst").distinct()
     seeds = starts.select(F.col("id").alias("start")).distinct()
     frontier = seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
@@ -51,27 +56,28 @@ def reach(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> Dat
     return found.where(F.col("depth") >= least) if least > 1 else found
 
 
-def closure(starts: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """start, node, depth of everything reachable, cycles included; ends when nothing is new.
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def closure(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """start, node, depth of everything reachable (over most edges at most), cycles included; ends when nothing is new.
 
     Each round's frontier is written to the shared folder, so lineage stays one round deep
     and a lost executor costs no recomputation.
     """
-    spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = shared_path(spark, "closure")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    pairs = kept(edges.select("src", "dst").distinct())
     seeds = starts.select(F.col("id").alias("start")).distinct()
     frontier = kept(seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth")))
-    parts = []
-    for depth in range(2, rounds):
-        if frontier.isEmpty():
-            break
+    parts, depth = [], 1
+    while not frontier.isEmpty():
         parts.append(frontier)
+        if depth == most:
+            break
+        depth += 1
         seen = reduce(DataFrame.unionByName, parts).select("start", "node")
         step = frontier.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct()
         frontier = kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -111,20 +117,20 @@ def without_incoming(nodes: DataFrame, edges: DataFrame, key: str = "id") -> Dat
     return nodes.join(edges.select(F.col("dst").alias(key)), key, "left_anti")
 
 
-def nearest_supertypes(direct: DataFrame, rounds: int = 64) -> DataFrame:
+def nearest_supertypes(direct: DataFrame) -> DataFrame:
     """start, node, depth, bfs: supertypes nearest first; siblings in order of name.
 
-    bfs sorts first by depth, then by the path of names that led there.
+    bfs is the least path of names that leads there, which orders nodes of one depth. Every
+    round is written, as in closure.
     """
-    base = direct.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).distinct()
-    found, frontier = base, base
-    for depth in range(2, rounds + 1):
-        step = frontier.select("start", F.col("node").alias("src"), "bfs").join(direct.select("src", "dst").distinct(), "src")
-        step = step.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs"))
-        frontier = step.join(found.select("start", "node"), ["start", "node"], "left_anti").where(F.col("start") != F.col("node")).select("start", "node", F.lit(depth).alias("depth"), "bfs")
-        if depth % 4 == 0:
-            frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    pairs = kept(direct.select("src", "dst").distinct())
+    frontier = kept(pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).where("start <> node"))
+    parts, depth = [frontier], 1
+    while not frontier.isEmpty():
+        depth += 1
+        seen = reduce(DataFrame.unionByName, parts).select("start", "node")
+        step = frontier.select("start", F.col("node").alias("src"), "bfs").join(pairs, "src")
+        step = step.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
+        frontier = kept(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), "bfs"))
+        parts.append(frontier)
+    return reduce(DataFrame.unionByName, parts)
