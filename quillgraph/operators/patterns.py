@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,12 @@ def listed(col: str | Column, most: int | None = None, distinct: bool = True, se
     return F.array_join(collected(col, most, distinct), sep)
 
 
+def first_values(pairs: DataFrame, key: str, value: str, most: int, name: str, sep: str = "|") -> DataFrame:
+    """The least values of each key as text; of a large group only so many are ever gathered."""
+    ranked = pairs.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(value))).where(F.col("_k") <= most)
+    return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(value)), sep).alias(name))
+
+
 def optional_branches(base: DataFrame, key: str, **branches: DataFrame) -> DataFrame:
     """Left joins of branches that are aggregated on the key each by itself.
 

@@ -141,7 +141,8 @@ def q_optional_branches(g: Overlay) -> DataFrame:
     lines = g.table("lineitem")
     key = F.col("l_partkey").alias("p_partkey")
     suppliers = lines.join(g.table("supplier").where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(key).agg(patterns.listed("s_name").alias("suppliers"))
-    orders = lines.where("l_returnflag = 'R'").groupBy(key).agg(F.array_join(patterns.collected("l_orderkey", 10), "|").alias("orders"))
+    returned = lines.where("l_returnflag = 'R'").select(key, "l_orderkey").distinct()
+    orders = patterns.first_values(returned, "p_partkey", "l_orderkey", 10, "orders")
     flags = lines.where("l_linenumber = 1").groupBy(key).agg(F.countDistinct("l_returnflag").alias("n_flags"))
     out = patterns.optional_branches(g.table("part").select("p_partkey"), "p_partkey", suppliers=suppliers, orders=orders, flags=flags)
     return out.select("p_partkey", F.coalesce("suppliers", F.lit("")).alias("suppliers"), F.coalesce("orders", F.lit("")).alias("orders"), F.coalesce("n_flags", F.lit(0)).alias("n_flags"))
@@ -151,8 +152,11 @@ def q_optional_branches(g: Overlay) -> DataFrame:
 FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL""")
 def q_library_impact(g: Overlay) -> DataFrame:
     """Per supplier: distinct parts and orders that use it and the first few parts."""
-    use = g.table("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_partkey").alias("n_parts"), F.countDistinct("l_orderkey").alias("n_orders"), F.array_join(patterns.collected("l_partkey", 5), "|").alias("parts"))
-    out = g.table("supplier").select("s_suppkey", "s_name").join(use, "s_suppkey", "left")
+    lines = g.table("lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    used = lambda c: lines.select("s_suppkey", c).distinct()
+    n = lambda c, name: used(c).groupBy("s_suppkey").agg(F.count("*").alias(name))
+    first = patterns.first_values(used("l_partkey"), "s_suppkey", "l_partkey", 5, "parts")
+    out = patterns.optional_branches(g.table("supplier").select("s_suppkey", "s_name"), "s_suppkey", a=n("l_partkey", "n_parts"), b=n("l_orderkey", "n_orders"), c=first)
     return out.select("s_suppkey", "s_name", F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("parts", F.lit("")).alias("parts"))
 
 
