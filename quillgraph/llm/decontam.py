@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, table
+from quillgraph.llm.common import broadcast_if_small, cut, fresh, table
 
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,9 +64,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated."""
-    bad = judged(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    bad_id, bad_h = fresh(docs.columns, "bad_id"), fresh(docs.columns, "bad_h")
+    bad = judged(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("h").alias(bad_h)).distinct()
     bad = cut(bad, "contaminated")
-    gone = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_h"))
+    gone = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_h))
     return docs.join(broadcast_if_small(bad, bad.count()), gone, "left_anti")
 
 

@@ -311,13 +311,14 @@ def kept_documents(docs: DataFrame, least: float = SIMILARITY, sketches: int = S
     """The rows of docs that stand for their classes."""
     rows, odd = with_rids(docs)
     found = _classes(rows, odd, least, sketches)
+    out = fresh(docs.columns, "gone")
     if odd:  # what goes is told by row; of rows that are alike in id and text one stays
         rid = fresh(docs.columns, "rid")
         mine = F.xxhash64(F.col("doc_id").cast("long"), "text")
-        gone = cut(found.groupBy("rid").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("rid").alias("gone")), "gone")
-        return docs.withColumn(rid, mine).join(broadcast_if_small(gone, gone.count()), F.col(rid) == F.col("gone"), "left_anti").dropDuplicates([rid]).drop(rid)
-    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("gone"), "left_anti")
+        gone = cut(found.groupBy("rid").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("rid").alias(out)), "gone")
+        return docs.withColumn(rid, mine).join(broadcast_if_small(gone, gone.count()), F.col(rid) == F.col(out), "left_anti").dropDuplicates([rid]).drop(rid)
+    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias(out)), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col(out), "left_anti")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:

@@ -12,7 +12,7 @@ found. Every candidate is verified by cosine in double precision.
 * Cells are split into blocks of rows and of queries, so no task gathers a hot cell.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
-link with nothing; vectors of different length never link; a repeated row counts as another
+link with nothing, nor does a row without a vec_id; vectors of different length never link; a repeated row counts as another
 vector; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -51,7 +51,7 @@ def prepare(vectors: DataFrame) -> DataFrame:
     """vec_id, key (16 bytes, equal for equal vectors), vec (doubles); key null: links with nothing."""
     good = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.select("vec_id", F.when(F.coalesce(good, F.lit(False)) & (F.size("embedding") > 0), F.col("embedding")).alias("embedding"))
+    rows = rows.select("vec_id", F.when(F.coalesce(good, F.lit(False)) & (F.size("embedding") > 0) & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     per_class = per_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     out = rows.select("vec_id", "key").join(per_class, "key", "left")
     root = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quillgraph.llm import decontam, packing, surrogates
 from quillgraph.llm.common import table
@@ -63,6 +65,6 @@ def test_repeated_and_null_ids(spark):
     text = " ".join(f"word{k}" for k in range(60))
     bench = spark.createDataFrame([(1, " ".join(f"test{k}" for k in range(20)), "x")], "item_id long, text string, doc_id string")
     rows = [(1, text, "en"), (1, text, "en"), (1, bench.first().text, "en"), (None, text + " more", "fr"), (None, bench.first().text, None), (2, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id string").withColumn("gone", F.lit(1)).withColumn("bad_h", F.lit(1))
     assert sorted((r.doc_id or 0, r.text or "") for r in P.near_dedup(spark, docs, D).collect()) == [(1, bench.first().text), (1, text), (2, "")]
-    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean_documents(docs.drop("bad_id"), bench).collect()) == [(0, text + " more"), (1, text), (1, text), (2, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean_documents(docs, bench).collect()) == [(0, text + " more"), (1, text), (1, text), (2, "")]

@@ -32,6 +32,8 @@ def test_against_brute_force(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
     odd = {r[0]: r for r in got}
+    no_id = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<double>")
+    assert sorted(map(repr, V.near_duplicates(no_id).collect())) == sorted(["Row(vec_id=None, n_links=0, component_id=None, kept=True)"] * 2 + ["Row(vec_id=3, n_links=0, component_id=3, kept=True)"])
     assert all(odd[i][1:] == (0, i, True) for i in range(400, 406))
     assert odd[407] == next(w for w in want if w[0] == 407) and odd[409] == (409, 1, 408, False)
 
