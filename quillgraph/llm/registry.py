@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffixes": suffixes.ORACLE_SQL,
+    "op4_secrets": secrets.ORACLE_SQL,
     "op9_vectors": vectors.ORACLE_SQL,
     "op10_decontam": decontam.ORACLE_SQL,
 }

@@ -29,7 +29,10 @@ WIDTH = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Bits per character that a window of a class needs.
 HEX_BITS, BASE_BITS = 3.0, 3.8
-ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|your_|^(.)\1+=*$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: What sums of logarithms may be off by.
+SLACK = 1e-9
+ALLOW_WORDS = r"(?i)example|sample|dummy|placeholder|changeme|your_|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ALLOW = ALLOW_WORDS + r"|^(.)\1+=*$"
 
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
@@ -91,7 +94,7 @@ def entropy_spans(text: str) -> Column:
     allow = "'" + ALLOW.replace("\\", "\\\\") + "'"
     runs = f"filter({located(text, RUN, 0)}, x -> x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]' AND NOT x.m rlike {allow})"
     hexed = "(x.m rlike '^[0-9a-f]+$' OR x.m rlike '^[0-9A-F]+$')"
-    classed = f"transform({runs}, x -> named_struct('s', x.s, 'm', x.m, 'k', if({hexed}, 3, 4), 'need', if({hexed}, {HEX_BITS}D, {BASE_BITS}D)))"
+    classed = f"transform({runs}, x -> named_struct('s', x.s, 'm', x.m, 'k', if({hexed}, 3, 4), 'need', if({hexed}, {HEX_BITS - SLACK!r}D, {BASE_BITS - SLACK!r}D)))"
     met = f"transform({classed}, r -> named_struct('r', r, 'w', {window_state('r')}))"
     return F.when(F.col(text).rlike(RUN), F.expr(f"transform(filter({met}, z -> z.w.first > 0), z -> named_struct('s', z.r.s + z.w.first - 1, 'k', z.r.k, 'e', z.r.s + z.w.last, 'm', z.r.m))")).otherwise(_none())
 
@@ -116,3 +119,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+pat(k, p) AS (VALUES (0, $p${ASSIGN}$p$), (1, $p${ACCESS}$p$), (2, $p${HEX}$p$), (3, $p${RUN}$p$)),
+found AS (SELECT rid, k, p, regexp_extract_all(t, p) AS ms, string_split_regex(t, p) AS gs FROM d, pat WHERE regexp_matches(t, p)),
+each AS (SELECT rid, k, p, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM found),
+placed AS (
+  SELECT rid, k, p, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM each),
+base AS (SELECT rid, k, s, s + length(m) AS e FROM placed WHERE k < 3 AND (k > 0 OR length(regexp_extract(m, p, 2)) >= {ASSIGN_VALUE})),
+runs AS (
+  SELECT rid, s, m, regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') AS hexed FROM placed
+  WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOW_WORDS}') AND NOT regexp_matches(replace(m, left(m, 1), ''), '^=*$')),
+windows AS (SELECT rid, s, m, hexed, unnest(range(1, length(m) - {WIDTH} + 2)) AS j FROM runs),
+chars AS (SELECT rid, s, hexed, j, unnest(string_split(substr(m, j, {WIDTH}), '')) AS c FROM windows),
+counts AS (SELECT rid, s, hexed, j, c, count(*) AS n FROM chars GROUP BY ALL),
+bits AS (SELECT rid, s, hexed, j, log2({WIDTH}) - sum(n * log2(n)) / {WIDTH} AS h FROM counts GROUP BY ALL),
+more AS (
+  SELECT rid, CASE WHEN hexed THEN 3 ELSE 4 END AS k, s + min(j) - 1 AS s, s + max(j) + {WIDTH - 1} AS e FROM bits
+  WHERE h >= CASE WHEN hexed THEN {HEX_BITS} ELSE {BASE_BITS} END - {SLACK} GROUP BY rid, bits.s, hexed),
+named AS (SELECT rid, k, s, [{", ".join(f"'{k}'" for k in KINDS)}][k + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
+per AS (
+  SELECT rid, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+    string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS own, string_agg(x, ',' ORDER BY s, k) AS every FROM named GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN per USING (rid)
+"""

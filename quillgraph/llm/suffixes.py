@@ -360,3 +360,20 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("runs")
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT rid, b, unnest(range(1, octet_length(b) - {MATCH - 2})) AS i FROM d WHERE octet_length(b) >= {MATCH}),
+w AS (SELECT rid, i, md5(b[i:i + {MATCH - 1}]) AS h FROM places),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM w SEMI JOIN again USING (h)),
+steps AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {MATCH} THEN 0 ELSE 1 END AS fresh FROM hit),
+islands AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM steps),
+runs AS (SELECT rid, min(i) AS s, max(i) + {MATCH} AS e FROM islands GROUP BY rid, k),
+l AS (SELECT rid, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, sum(e - s) AS removed, count(*) AS n FROM runs GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN ss IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(ss) + 1),
+    lambda j: b[(CASE WHEN j = 0 THEN 1 ELSE es[j] END):(CASE WHEN j = len(ss) THEN octet_length(b) ELSE ss[j + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN l USING (rid)
+"""
