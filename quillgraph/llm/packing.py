@@ -209,8 +209,9 @@ def ranked(items: DataFrame, buckets: int) -> DataFrame:
     dealt = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
+    # the window and the join need the same partitioning, so items are shuffled once
     inner = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return dealt.withColumn("rank", F.row_number().over(inner) - 1).join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("bucket", "base")
+    return dealt.withColumn("rank", F.row_number().over(inner) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("bucket", "base")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -154,7 +154,7 @@ class ShardStore:
         name = F.col("file_name") if columns is not None else F.col("_metadata.file_name")
         rows = rows.select(*[f"`{c}`" for c in own], F.regexp_replace(name, r"\.parquet$", "").alias(shard))
         sizes = m.select(F.col("shard").alias(shard), F.col("tier").alias(tier), F.col("n_rows").alias(n_rows), F.col("n_bytes").alias(n_bytes))
-        return rows.join(F.broadcast(sizes), shard)  # a row a file
+        return rows.join(sizes, shard)  # Spark broadcasts the manifest while it is small
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
