@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.extract import build, java, rules, scripts, web
 from quillgraph.graph import Graph
+from quillgraph.session import ship
 
 Extractor = Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]]
 
@@ -24,6 +25,7 @@ def run(spark: SparkSession, files: DataFrame, only: Iterable[str] | None = None
 
     library usage needs archive packages and runs through extra, as any plug-in does.
     """
+    ship(spark)
     graph = graph or Graph(spark)
     summary = []
     for name, extract in (REGISTRY | (extra or {})).items():

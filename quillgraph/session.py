@@ -1,11 +1,16 @@
-"""Folders that driver and executors share."""
+"""What a session needs of its cluster: a shared folder, and this package on every executor."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir; below the warehouse where the session sets none."""
@@ -14,3 +19,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once an application.
+
+    The driver serves the file; executors need neither its folder nor an installed copy.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "quillgraph_src.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
