@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import fresh, table
+from quillgraph.session import ship
 
 DIMS = 1 << 16
 PER_LABEL = 600
@@ -138,6 +139,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> tuple[list[str], np.ndarray]:
     """Labels and calibrated weights (dims x labels, inverse document frequency included)."""
+    ship(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     df, n_docs = document_frequencies(train, dims)
     if not n_docs:
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> tuple[
 
 def predict(docs: DataFrame, labels: list[str], weights: np.ndarray) -> DataFrame:
     """docs with lang_pred and score (which replace columns of those names), the rest kept."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     dims = len(weights)
 
