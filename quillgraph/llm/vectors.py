@@ -3,7 +3,7 @@
 Unit vectors are cut in two halves with a codebook each; a vector lives in the cell of the
 product grid that its halves name. A multi-sequence traversal visits cells in order of
 distance; how many is calibrated on a sample so that the target share of true pairs is
-found. Every candidate is verified by cosine in double precision.
+found in each band of cosines, in groups of near copies and outside them. Every candidate is verified by cosine in double precision.
 
 * Codebooks and the number of visited cells come from a bounded sample (``SAMPLE`` rows,
   those of the smallest hashes); every row is indexed and queried.
@@ -34,6 +34,10 @@ from quillgraph.llm.components import components, union_find
 THRESHOLD = 0.9
 SAMPLE = 8_192
 TARGET = 0.995
+#: Bands of cosines, as shares of the way from the threshold to 1, that each must meet the target.
+BANDS = (0.0, 0.2, 0.5, 0.8)
+#: Made-up pairs of each kind that calibration adds to the sample's own.
+MADE = 1_024
 BLOCK = 1_024
 SLACK = 1e-12
 
@@ -83,10 +87,11 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, k: int, threshold: float, target: float):
         self.half = sample.shape[1] // 2
-        self.books = (kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k))
+        held = sample[: len(sample) // 4] if len(sample) >= 8 else sample
+        fitted = sample[len(held) :] if len(sample) >= 8 else sample
+        self.books = (kmeans(fitted[:, : self.half], k), kmeans(fitted[:, self.half :], k))
         self.k = len(self.books[1])
-        self.visits = 1
-        self.visits = self._calibrate(sample, threshold, target)
+        self.visits = self._calibrate(fitted, held, threshold, target)
 
     def _distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [((h * h).sum(1)[:, None] + (c * c).sum(1) - 2 * h @ c.T) for h, c in zip((x[:, : self.half], x[:, self.half :]), self.books)]
@@ -107,25 +112,58 @@ class MultiIndex:
             out.append(found)
         return out
 
-    def _calibrate(self, sample: np.ndarray, threshold: float, target: float) -> int:
-        """Visits that find the target share of the sample's pairs, made-up ones if it has few."""
-        near = np.argwhere(np.triu(sample[:2048] @ sample.T >= threshold, 1))[:4096]
-        pairs = [(sample[a], sample[b]) for a, b in near]
+    def _needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair the visits after which one side reaches the other's cell."""
+        out = []
+        for at in range(0, len(a), 64):
+            da, ea = self._distances(a[at : at + 64])
+            db, eb = self._distances(b[at : at + 64])
+            row = np.arange(len(da))
+            sides = []
+            for d, e, p, q in ((da, ea, db.argmin(1), eb.argmin(1)), (db, eb, da.argmin(1), ea.argmin(1))):
+                bound = d[row, p] + e[row, q] + 1e-9  # ties and rounding count as nearer
+                e = np.sort(e, axis=1)
+                sides.append([sum(np.searchsorted(e_row, b - d_row, side="right")) for d_row, e_row, b in zip(d, e, bound)])
+            out.append(np.minimum(*np.array(sides)))
+        return np.concatenate(out)
+
+    def _calibrate(self, fitted: np.ndarray, held: np.ndarray, threshold: float, target: float) -> int:
+        """Visits that find the target share of pairs in each band of cosines.
+
+        A row gives a pair a band at most and counts by one over its partners, so that groups
+        of near copies weigh no more than the rows outside. Borderline pairs are always
+        made up too, from rows that the codebooks were not fitted to.
+        """
         rng = np.random.default_rng(5)
-        for x in sample[: max(0, 256 - len(pairs))]:
-            noise = rng.normal(size=len(x))
-            noise -= noise @ x * x
-            cosine = rng.uniform(threshold, 1)
-            pairs.append((x, cosine * x + math.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise)))
-        a, b = (np.array(s) for s in zip(*pairs))
-        most = len(self.books[0]) * self.k
+        sample = np.concatenate([fitted, held])
+        asked = rng.permutation(len(sample))[:2048]
+        cosines = sample[asked] @ sample.T
+        cosines[np.arange(len(asked)), asked] = -1
+        degree = (cosines >= threshold).sum(1)
+        edges = threshold + (1 - threshold) * np.array(BANDS)
+        groups = []
+        for low, high in zip(edges, [*edges[1:], np.inf]):
+            inside = (cosines >= low) & (cosines < high)
+            mine = np.flatnonzero(inside.any(1))
+            partner = (inside[mine] * rng.random((len(mine), 1 + inside.shape[1]))[:, 1:]).argmax(1)
+            groups.append((sample[asked[mine]], sample[partner], 1 / np.maximum(degree[mine], 1)))
+        base = rng.permutation(len(held))
+        weight = 1 / np.maximum((held[base] @ held.T >= threshold).sum(1), 1)
+        for low, high in ((0, BANDS[1]), (0, 1)):
+            x = held[rng.choice(base, MADE, p=weight / weight.sum())]
+            noise = rng.normal(size=x.shape)
+            noise -= (noise * x).sum(1)[:, None] * x
+            noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
+            cosine = (threshold + (1 - threshold) * rng.uniform(low, high, size=MADE))[:, None]
+            groups.append((x, cosine * x + np.sqrt(1 - cosine**2) * noise, np.ones(MADE)))
         visits = 2
-        while visits < most:
-            from_a, from_b = self.cells(a, visits), self.cells(b, visits)
-            if np.mean([y[0] in x or x[0] in y for x, y in zip(from_a, from_b)]) >= target:
-                break
-            visits *= 2
-        return min(visits, most)
+        for a, b, w in groups:
+            if len(a):
+                need = self._needed(a, b)
+                order = need.argsort(kind="stable")
+                share = np.cumsum(w[order]) / w.sum()
+                visits = max(visits, int(need[order][min(np.searchsorted(share, target), len(need) - 1)]))
+        return min(visits, len(self.books[0]) * self.k)
 
 
 def fit_index(classes: DataFrame, n: int, threshold: float, target: float) -> dict[int, MultiIndex]:

@@ -49,6 +49,25 @@ def test_recall_on_tables(spark):
     assert true and 0.99 * true <= sum(r.n_links for r in got.values()) <= true
 
 
+def test_recall_outside_copy_groups():
+    """Groups of near copies must not settle the visits for pairs near the threshold."""
+    rng = np.random.default_rng(4)
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    copies = norm(np.repeat(rng.normal(size=(8, 32)), 500, axis=0) + 0.002 * rng.normal(size=(4000, 32)))
+    left = norm(rng.normal(size=(2000, 32)))
+    noise = rng.normal(size=left.shape)
+    noise = norm(noise - (noise * left).sum(1)[:, None] * left)
+    cosine = rng.uniform(0.9, 0.92, size=(2000, 1))
+    right = cosine * left + np.sqrt(1 - cosine**2) * noise
+    index = V.MultiIndex(rng.permutation(np.concatenate([copies, left, right])), 32, 0.9, 0.995)
+    found = [b[0] in a or a[0] in b for a, b in zip(index.cells(left), index.cells(right))]
+    assert np.mean(found) >= 0.985
+    needed = index._needed(left[:50], right[:50])
+    for a, b, n in zip(left[:50], right[:50], needed.tolist()):
+        near = lambda k: index.cells(b[None], 1)[0][0] in index.cells(a[None], k)[0] or index.cells(a[None], 1)[0][0] in index.cells(b[None], k)[0]  # noqa: E731, B023
+        assert near(n)
+
+
 def test_empty(spark):
     assert V.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
