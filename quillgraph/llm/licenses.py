@@ -79,8 +79,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 _KNOWN = [(name, re.compile(rf"(?:^| )(?:{pattern})(?: |$)" if name != "BsdEndorse" else pattern)) for name, pattern in SENTENCES]
 _SIGNS = re.compile(r"[^\w.+,]+|[,_]+|\.(?!\d)|(?<!\d)\.")
-#: A notice's sentences may be wrapped over so many lines.
-WRAP = 12
 
 
 def normal(sentence: str) -> str:
@@ -98,20 +96,17 @@ def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
 
 
 def sentences(text: str) -> list[str]:
-    """Licence-like sentences in normal form; a line that holds none ends a wrapped one."""
+    """Licence-like sentences in normal form; they may be wrapped over any lines of a block."""
     out = []
     for block in re.split(r"\n\s*\n", text):
         low = block.lower()
         if not any(w in low for w in WORDS) and "as is" not in low and "advertis" not in low and "endorse" not in low:
             continue
-        lines = block.split("\n")
-        wrapped = [lines[k : k + WRAP] for k in range(0, len(lines), WRAP)] if len(lines) > WRAP else [lines]
-        for part in wrapped:
-            joined = " ".join(x.strip(" \t*#/-") for x in part)
-            for s in re.split(r"[.;](?=\s|$)", joined):
-                s = normal(s)
-                if s and (any(w in s for w in WORDS) or "as is" in s or "advertis" in s or "endorse" in s or "this file" in s):
-                    out.append(s)
+        joined = " ".join(x.strip(" \t*#/-") for x in block.split("\n"))
+        for s in re.split(r"[.;](?=\s|$)", joined):
+            s = normal(s)
+            if s and (any(w in s for w in WORDS) or "as is" in s or "advertis" in s or "endorse" in s or "this file" in s):
+                out.append(s)
     return out
 
 

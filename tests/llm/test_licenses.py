@@ -34,6 +34,14 @@ def test_texts():
     assert names(MIT + "\n\n" + BSD) == ["BSD-3-Clause", "MIT"]
 
 
+def test_notice_at_every_line_of_a_long_block():
+    for text, name in ((MIT, "MIT"), (BSD, "BSD-3-Clause")):
+        lines = text.replace("\n\n", "\n *\n").split("\n")
+        for before in range(30):
+            block = "\n".join(["/*", *[" * Copyright (c) 2020 someone."] * before, *[f" * {x}" for x in lines], *[" * more words"] * 15, " */"])
+            assert L.scan_text(block)[0] == [name], before
+
+
 def test_documents(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
