@@ -6,7 +6,8 @@ identifier. The sequence of identifiers is then matched against ordered rules: t
 rule whose sequence occurs names a licence and uses its identifiers up; this goes on until
 no rule matches. Licence-like sentences that nothing knows are counted.
 
-Only texts that hold a licence word at all are sent to Python.
+Only texts that hold a word which a known sentence needs, or a licence word, are sent to
+Python; those words are read off the patterns.
 
 Defined results: null, empty and unrelated texts give an empty list and zero counts;
 repeated rows each get a row; other columns are ignored.
@@ -41,16 +42,18 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("BsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BsdEndorse", r"neither the name of .* may be used to endorse or promote products"),
+    ("BsdEndorse", r"neither the name of .*? may be used to endorse or promote products"),
     ("BsdAdvert", r"all advertising materials mentioning features or use of this software must display"),
-    ("BsdWarranty", r"this software is provided by .* as is and any express or implied warranties"),
-    ("LgplVersion", r"gnu (lesser|library) general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>2\.1|2|3)(\.0)?(?P<later> of the licen[sc]e or at your option any later version)?"),
-    ("AgplVersion", r"gnu affero general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>3)(\.0)?(?P<later> of the licen[sc]e or at your option any later version)?"),
-    ("GplVersion", r"gnu general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>[123])(\.0)?(?P<later> of the licen[sc]e or at your option any later version)?"),
+    ("BsdWarranty", r"this software is provided by .*? as is and any express or implied warranties"),
+    ("LgplVersion", r"gnu (lesser|library) general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>2\.1|2|3)(\.0)?(?P<later>( of the licen[sc]e)? or at your option any later version)?"),
+    ("AgplVersion", r"gnu affero general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>3)(\.0)?(?P<later>( of the licen[sc]e)? or at your option any later version)?"),
+    ("GplVersion", r"gnu general public licen[sc]e,? (as published by the free software foundation )?(either )?(version|v) ?(?P<v>[123])(\.0)?(?P<later>( of the licen[sc]e)? or at your option any later version)?"),
     ("MplVersion", r"subject to the terms of the mozilla public licen[sc]e,? v(ersion)? ?(?P<v>1\.1|2\.0)"),
     ("EplVersion", r"eclipse public licen[sc]e,? (version |v ?)?(?P<v>1\.0|2\.0)"),
-    ("CcVersion", r"(under|terms of) (a |the )?(creative commons |cc )(?P<v>(by|attribution)( (nc|noncommercial))?( (sa|sharealike|nd|noderivatives))?)( \d\.\d)?"),
-    ("CcZero", r"(cc0|creative commons zero)"),
+    ("CcVersion", r"(under|terms of) (a |the )?creative commons (?P<v>(by|attribution)( (nc|noncommercial))?( (sa|sharealike|nd|noderivatives))?)( \d\.\d)?"),
+    ("CcVersion", r"(under|terms of) (a |the )?cc (?P<v>(by|attribution)( (nc|noncommercial))?( (sa|sharealike|nd|noderivatives))?)( \d\.\d)?"),
+    ("CcZero", r"cc0"),
+    ("CcZero", r"creative commons zero"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(placed|dedicated|is|released) (in|into|to) the public domain"),
     ("AllRights", r"all rights reserved"),
@@ -77,36 +80,65 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Public-Domain", ("PublicDomain",)),
 )
 
-_KNOWN = [(name, re.compile(rf"(?:^| )(?:{pattern})(?: |$)" if name != "BsdEndorse" else pattern)) for name, pattern in SENTENCES]
 _SIGNS = re.compile(r"[^\w.+,]+|[,_]+|\.(?!\d)|(?<!\d)\.")
+#: An SPDX mark and its expression, which ends at its line.
+_SPDX = re.compile(r"spdx[ _-]license[ _-]identifier[\x20\t\"']*[:=]?[\x20\t\"']*(?:\(*[\w.+:-]+\)*(?:[\x20\t]+(?-i:AND|OR|WITH)[\x20\t]+\(*[\w.+:-]+\)*)*)?", re.IGNORECASE)
+
+
+def needed(pattern: str) -> str:
+    """A word that every match of a pattern holds: a licence word, else its longest."""
+    bare = re.sub(r"\[[^\]]*\]|\\.", " ", pattern)
+    while "(" in bare:
+        bare = re.sub(r"\([^()]*\)\??", " ", bare)
+    words = re.findall(r"[a-z0-9]+", re.sub(r".[?*]", " ", bare))
+    return max(words, key=lambda w: (any(x in w for x in WORDS), len(w)))
+
+
+#: Identifier, the word it needs, what it ends with if its middle is open, and the pattern.
+_KNOWN = [(name, needed(pattern), pattern.partition(".*?")[2], re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])" if name != "BsdEndorse" else pattern)) for name, pattern in SENTENCES]
+#: Words one of which any text with a known or licence-like sentence holds.
+HINTS = tuple(sorted({w for _, w, _, _ in _KNOWN} | {max(reversed(w.split()), key=len) for w in WORDS}))
+#: The same as a pattern that Spark knows too; short words stand alone.
+HINT = "|".join(w if len(w) > 3 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in HINTS)
+_HINT = re.compile(HINT)
 
 
 def normal(sentence: str) -> str:
     return " ".join(_SIGNS.sub(" ", sentence.lower()).split())
 
 
+def matches(sentence: str) -> list[tuple[int, int, str, dict[str, str]]]:
+    """Start, end, identifier and detail of the known sentences that a normal form holds, in order."""
+    found: list[tuple[int, int, str, dict[str, str]]] = []
+    for name, word, tail, pattern in _KNOWN:
+        if word in sentence:
+            end = sentence.rfind(tail) + len(tail) if tail else len(sentence)  # nothing after it is tried in vain
+            for m in pattern.finditer(sentence, 0, max(end, 0)):
+                if m.end() == len(sentence) or sentence[m.end()] == " " or name == "BsdEndorse":
+                    found.append((m.start(), m.end(), name, {k: v for k, v in m.groupdict().items() if v}))
+    return sorted(found, key=lambda f: f[0])
+
+
 def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
     """The known sentences that a normal-form sentence holds, in their order in it."""
-    found: list[tuple[int, str, dict[str, str]]] = []
-    for name, pattern in _KNOWN:
-        m = pattern.search(sentence)
-        if m:
-            found.append((m.start(), name, {k: v for k, v in m.groupdict().items() if v}))
-    return [(name, detail) for _, name, detail in sorted(found, key=lambda f: f[0])]
+    return [(name, detail) for _, _, name, detail in matches(sentence)]
 
 
-def sentences(text: str) -> list[str]:
-    """Licence-like sentences in normal form; they may be wrapped over any lines of a block."""
+def sentences(text: str) -> list[list[str]]:
+    """Sentences, each as the normal forms of its parts between semicolons.
+
+    They may be wrapped over any lines of a block; blocks without a hint are left out.
+    """
     out = []
     for block in re.split(r"\n\s*\n", text):
-        low = block.lower()
-        if not any(w in low for w in WORDS) and "as is" not in low and "advertis" not in low and "endorse" not in low:
+        if not _HINT.search(block.lower()):
             continue
+        block = _SPDX.sub(lambda m: f" . {m[0]}. ", block)
         joined = " ".join(x.strip(" \t*#/-") for x in block.split("\n"))
-        for s in re.split(r"[.;](?=\s|$)", joined):
-            s = normal(s)
-            if s and (any(w in s for w in WORDS) or "as is" in s or "advertis" in s or "endorse" in s or "this file" in s):
-                out.append(s)
+        for s in re.split(r"\.(?=\s|$)", joined):
+            parts = [p for p in map(normal, re.split(r";(?=\s|$)", s)) if p]
+            if parts:
+                out.append(parts)
     return out
 
 
@@ -147,10 +179,14 @@ def named(licence: str, detail: dict[str, str]) -> str:
 def scan_text(text: str) -> tuple[list[str], list[str], int]:
     """Licences, sentence identifiers in order, and unknown licence-like sentences."""
     ids, unknown = [], 0
-    for s in sentences(text):
-        known = identify(s)
-        ids += known
-        unknown += not known and any(w in s for w in WORDS)
+    for parts in sentences(text):
+        known = matches(" ".join(parts))
+        ids += [(name, detail) for _, _, name, detail in known]
+        at = 0
+        for part in parts:
+            end = at + len(part)
+            unknown += any(w in part for w in WORDS) and not any(a < end and b > at for a, b, _, _ in known)
+            at = end + 1
     return sorted(set(apply_rules(ids))), [i for i, _ in ids], unknown
 
 
@@ -165,10 +201,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"licenses": [g[0] for g in got], "sentence_ids": [g[1] for g in got], "n_unknown": [g[2] for g in got]})
 
     ship(docs.sparkSession)
-    low = F.lower("text")
-    has = low.contains(WORDS[0])
-    for w in WORDS[1:]:
-        has = has | low.contains(w)
+    has = F.lower("text").rlike(HINT)
     name = fresh([c for c in docs.columns if c != "license_scan"], "license_scan")
     return docs.withColumn(name, read(F.when(has, F.col("text"))))
 

@@ -42,6 +42,37 @@ def test_notice_at_every_line_of_a_long_block():
             assert L.scan_text(block)[0] == [name], before
 
 
+def test_standard_notices(spark):
+    gpl = "it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version."
+    want = {
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+        gpl.format("", "2"): "GPL-2.0-or-later",
+        gpl.format("Library ", "2"): "LGPL-2.0-or-later",
+        gpl.format("Affero ", "3"): "AGPL-3.0-or-later",
+        gpl.format("", "3").replace(" of the License", ""): "GPL-3.0-or-later",
+        "GNU General Public License as published by the Free Software Foundation; version 2.": "GPL-2.0-only",
+        "Released under CC0 1.0": "CC0-1.0",
+        "This is available under CC BY 4.0": "CC-BY",
+        "under a Creative Commons Attribution-ShareAlike 4.0 deed": "CC-BY-SA",
+        "// SPDX-License-Identifier: MIT\n// Some other text that goes on\nint x = 1": "MIT",
+        "/* SPDX-License-Identifier: GPL-2.0-only */ int x": "GPL-2.0-ONLY",
+        "# SPDX-License-Identifier:\n# MIT or so": "",
+        "Permission is\nhereby granted, free of charge, to any person obtaining a copy of this\nsoftware.\n\n" + MIT.partition("\n\n")[2]: "MIT",
+        "Code: GNU General Public License version 2; docs: GNU General Public License version 3.": "GPL-2.0-only,GPL-3.0-only",
+        BSD.replace("conditions are met:", "conditions are met;").replace("notice.\n", "notice;\n"): "BSD-3-Clause",
+    }
+    got = {r.text: ",".join(r.license_scan.licenses) for r in L.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
+    assert got == want
+    assert L.scan_text("The licence is odd; the licence is even.")[2] == 2
+    assert L.scan_text("Released under the MIT License; the licence is odd.")[2] == 1
+    assert L.scan_text("neither the name of " * 20000 + "this software is provided by " * 20000)[0] == []
+
+
+def test_every_pattern_is_hinted():
+    assert all(L.needed(pattern) in L.HINTS for _, pattern in L.SENTENCES)
+    assert L.needed(r"(under|terms of) (a )?cc (by)( \d\.\d)?") == "cc" and L.needed("copies? of licen[sc]e") == "licen"
+
+
 def test_documents(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
