@@ -7,7 +7,8 @@ of the key, the type and the entity in normal form, so every mention of an entit
 same one. All distinct entities are checked for collisions, with one another and with
 entities that the corpus really holds; the losers draw again until none is left.
 
-Types: email, phone, ip, card, account (IBAN), ssn, name (after a title).
+Types: email, phone, ip, card, account (IBAN), ssn, name (after a title, of any
+number of parts, initials and particles).
 
 Defined results: null text stays null with no entities; text without entities is returned
 as it is; repeated rows each get a row; the other columns are kept.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,14 +49,23 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma
 ENDING = {("latin", "m"): "", ("latin", "f"): "", ("latin", "n"): "", ("cyrillic", "m"): "в", ("cyrillic", "f"): "ва", ("cyrillic", "n"): "в"}
 
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
-_NAME_PART = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+"
-_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\x20)({_NAME_PART}(?:[\x20-]{_NAME_PART})?)")
+_LETTER, _UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-яё]"
+#: A name part: a word, an initial with its dot, or a lone letter that is no English word.
+_PART = rf"(?:{_UPPER}(?:{_LETTER}|['’](?={_UPPER}))+|(?:{_UPPER}|Ph|Th|Chr|St)\.|{_UPPER}(?!\w)(?:(?<![IA])|(?=\x20{_UPPER})))"
+#: Small words that may stand before a name part.
+_PARTICLE = r"(?:(?:von|van|vom|zu|zur|zum|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|le|las|los|el|al|bin|ibn|ben|ter|ten|te|af|av|фон|де)[\x20-])*"
+_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\x20(?:(?:{_TITLE})\.?\x20)*)({_PARTICLE}{_PART}(?:(?:[\x20-]|(?<=\.)){_PARTICLE}{_PART})*)")
 _DIGITS = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)\d(?:[\x20-]?\d){12,18}(?!\w))"
 )
+#: Digits at blanks and hyphens, of which some may be a card.
+_RUN = re.compile(r"(?<!\w)\d(?:[\x20-]?\d){12,}(?!\w)")
+#: Lengths of the groups in which card numbers are printed.
+_PRINTED = {(4, 4, 4, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 3, 3, 3), (4, 5, 6)}
+#: First digits and lengths of the numbers that are issued.
+_ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})\Z|3[47]\d{13}\Z|(?:5\d|2[2-7])\d{14}\Z|(?:30|36|38|39)\d{12,17}\Z|35\d{14,17}\Z|(?:5[06-9]|6\d)\d{11,17}\Z|220\d{13,16}\Z")
 _ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")
@@ -70,6 +81,39 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def cards(text: str, others: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and digits of the card numbers in runs of digits, whatever numbers stand beside them.
+
+    A run is first read as the tool reads it, as long as a card may be; where the check digit
+    fails, and in what is left, shorter groupings are tried: printed forms and issued numbers
+    first. Other entities (others, in order and apart) end a run.
+    """
+    starts, ends = [a for a, _ in others], [b for _, b in others]
+    for run in _RUN.finditer(text):
+        groups = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\d+", run[0])]
+        near = others[bisect_right(ends, run.start()) : bisect_left(starts, run.end())]
+        free = [not any(a < y and b > x for x, y in near) for a, b in groups]
+        tried = []
+        for i in range(len(groups)):
+            digits = ""
+            for j in range(i, len(groups)):
+                digits += text[groups[j][0] : groups[j][1]]
+                if len(digits) > 19:
+                    break
+                if len(digits) < 13 or not luhn(digits):
+                    continue
+                longest = i == 0 and (j + 1 == len(groups) or len(digits) + groups[j + 1][1] - groups[j + 1][0] > 19)
+                shape = i == j or tuple(b - a for a, b in groups[i : j + 1]) in _PRINTED
+                issued = bool(_ISSUED.match(digits))
+                if (longest or shape or issued) and (longest or all(free[i : j + 1])):
+                    tried.append((not (shape and issued), not longest, not shape, -len(digits), i, j, digits))
+        used: set[int] = set()
+        for *_, i, j, digits in sorted(tried):
+            if used.isdisjoint(range(i, j + 1)):
+                used.update(range(i, j + 1))
+                yield groups[i][0], groups[j][1], digits
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of every entity, in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
@@ -89,10 +133,6 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 if any(int(p) > 255 for p in x.split(".")):
                     continue
                 norm = ".".join(str(int(p)) for p in x.split("."))
-            elif kind == "card":
-                if not luhn(digits):
-                    continue
-                norm = digits
             elif kind == "phone":
                 if not 7 <= len(digits) <= 15:
                     continue
@@ -100,14 +140,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 norm = digits
             found.append((m.start(), m.end(), kind, norm))
+        others = [(a, b) for a, b, kind, _ in found if kind != "email"]
+        found += [(a, b, "card", digits) for a, b, digits in cards(text, others)]
         for m in _ACCOUNT.finditer(text):
             norm = m[0].replace(" ", "")
             if iban(norm):
                 found.append((m.start(), m.end(), "account", norm))
     if any(t in text for t in TITLES):
         for m in _NAME.finditer(text):
-            found.append((m.start(3), m.end(3), "name", f"{TITLES[m[1]]}:{' '.join(m[3].split()).casefold()}"))
-    found.sort(key=lambda f: (f[0], -f[1]))
+            name = m[3].removesuffix(".")  # the dot may end the sentence
+            found.append((m.start(3), m.start(3) + len(name), "name", f"{TITLES[m[1]]}:{' '.join(name.split()).casefold()}"))
+    found.sort(key=lambda f: (f[0], f[2] == "card", -f[1]))
     kept, end = [], 0
     for f in found:
         if f[0] >= end:
@@ -179,7 +222,7 @@ def surface(kind: str, mention: str, made: str) -> str:
     if kind == "name":
         made = re.sub(r"\w+", lambda m: m[0].capitalize(), made.partition(":")[2])
         made = made.replace(" ", "-") if "-" in mention and " " not in mention else made
-        return made.upper() if mention.isupper() else made
+        return made.upper() if mention.isupper() and len(mention) > 1 else made
     if kind == "email":
         return made.upper() if mention.isupper() else "".join(b.upper() if a.isupper() else b for a, b in zip(mention, made)) if len(mention) == len(made) else made
     if kind == "ip":

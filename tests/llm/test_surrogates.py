@@ -17,6 +17,29 @@ def test_find():
     ]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("card 4111 1111 1111 1111 123 end", ["4111 1111 1111 1111"]),
+    ("card 4111111111111111 12/25", ["4111111111111111"]),
+    ("4111111111111111 4 times", ["4111111111111111"]),
+    ("order 12 4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+    ("2 cards 4111-1111-1111-1111 5500-0000-0000-0004 99", ["4111-1111-1111-1111", "5500-0000-0000-0004"]),
+    ("amex 3782 822463 10005 1234", ["3782 822463 10005"]),
+    ("4111 1111 1111 1111 123-45-6789", ["4111 1111 1111 1111", "123-45-6789"]),
+    ("5 4111 1111 1111 1111 743-555-3824", ["4111 1111 1111 1111", "743-555-3824"]),
+    ("411111 1111111111 7", ["411111 1111111111"]),
+    ("no card 4111 1111 1111 1112 12 and 1234567890123456789012", []),
+    ("Dr. Anna Maria Schmidt met", ["Anna Maria Schmidt"]),
+    ("Mr. J. Smith met Mrs. J.R.R. Tolkien.", ["J. Smith", "J.R.R. Tolkien"]),
+    ("Mr. John Q. Adams Jr. and Mr. O'Brien's dog", ["John Q. Adams Jr", "O'Brien"]),
+    ("Prof. Dr. Ludwig van der Rohe, Frau Dr. Eva-Maria von Berg", ["Ludwig van der Rohe", "Eva-Maria von Berg"]),
+    ("I met Mr. X. The end", ["X. The"]),
+    ("Sir I think, Miss A is one; Mr. Jones. The end", ["Jones"]),
+    ("г-н Иван И. Петров", ["Иван И. Петров"]),
+])
+def test_find_beside_other_words(text, want):
+    assert [text[a:b] for a, b, _, _ in S.find(text)] == want
+
+
 def test_surrogates_keep_type_and_format():
     for a, b, kind, norm in S.find(TEXT):
         old, new = TEXT[a:b], S.surface(kind, TEXT[a:b], S.surrogate(b"k", kind, norm))
