@@ -185,32 +185,41 @@ class Stream:
         return c
 
 
+#: Attempts in the form and length of the entity; later ones have a character more each.
+SAME_LENGTH = {"email": 2, "phone": 8, "ip": 24, "card": 8, "account": 8, "ssn": 8}
+
+
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The surrogate in normal form; surface() gives it a mention's format."""
+    """The surrogate in normal form; surface() gives it a mention's format.
+
+    The space to draw from grows with the attempt, so any set of entities gets distinct ones:
+    names by a syllable each, the others, once their own form has been tried, in length.
+    """
     s = Stream(key, kind, norm, attempt)
+    more = max(0, attempt - SAME_LENGTH.get(kind, 0))
     digits = lambda n: "".join(str(s.draw(10)) for _ in range(n))
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         d = Stream(key, "domain", domain, 0)
         *labels, top = domain.split(".")
-        return "".join(map(s.letter, local)) + "@" + ".".join(["".join(map(d.letter, x)) for x in labels] + [top])
+        return "".join(map(s.letter, local + "a" * more)) + "@" + ".".join(["".join(map(d.letter, x)) for x in labels] + [top])
     if kind == "ip":
-        return ".".join(str(1 + s.draw(254)) for _ in range(4))
+        return ".".join(str(1 + s.draw(254)) for _ in range(4 + more))
     if kind == "card":
-        body = norm[0] + digits(len(norm) - 2)
+        body = norm[0] + digits(len(norm) - 2 + more)
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
     if kind == "phone":
         keep = 0 if norm[0] != "+" else 2 if norm[1] in "17" else 3
-        return norm[:keep] + digits(len(norm) - keep)
+        return norm[:keep] + digits(len(norm) - keep + more)
     if kind == "ssn":
-        return str(900 + s.draw(100)) + digits(6)  # never issued
+        return str(900 + s.draw(100)) + digits(6 + more)  # never issued
     if kind == "account":
-        body = "".join(map(s.letter, norm[4:]))
+        body = "".join(map(s.letter, norm[4:] + "0" * more))
         check = 98 - int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return norm[:2] + f"{check:02d}" + body
     gender, _, name = norm.partition(":")
     script = "cyrillic" if "а" <= name[0] <= "я" or name[0] == "ё" else "latin"
-    last = "".join(SYLLABLES[script][s.draw(len(SYLLABLES[script]))] for _ in range(3)).capitalize() + ENDING[script, gender]
+    last = "".join(SYLLABLES[script][s.draw(len(SYLLABLES[script]))] for _ in range(3 + attempt)).capitalize() + ENDING[script, gender]
     if " " not in name and "-" not in name:
         return f"{gender}:{last}".casefold()
     pool = GIVEN[script, gender if gender != "n" else "mf"[s.draw(2)]]
@@ -228,7 +237,7 @@ def surface(kind: str, mention: str, made: str) -> str:
     if kind == "ip":
         return made
     take = iter(made.lstrip("+"))
-    return "".join(next(take, c) if c.isalnum() else c for c in mention)
+    return "".join([next(take, c) if c.isalnum() else c for c in mention] + list(take))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -255,7 +264,7 @@ def with_surrogates(found: DataFrame, key: bytes) -> DataFrame:
 def settled(found: DataFrame, key: bytes) -> DataFrame:
     """kind, norm, attempt, made with no two entities alike and none that the corpus holds.
 
-    Every round is written; the rounds end as collisions get rarer by orders each time.
+    Every round is written; the rounds end as the losers draw from a space that grows each time.
     """
     state = cut(with_surrogates(found.withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:

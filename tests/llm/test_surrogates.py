@@ -54,6 +54,36 @@ def test_surrogates_keep_type_and_format():
     assert S.surrogate(b"other", "ip", "1.2.3.4") != S.surrogate(b"k", "ip", "1.2.3.4")
 
 
+def test_more_entities_than_a_pool(spark, monkeypatch):
+    """More surnames than syllables make, more mailboxes of one letter than letters: all get their own."""
+    monkeypatch.setattr(S, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба"]})
+    real = S.surrogate
+
+    def limited(key, kind, norm, attempt=0):
+        if attempt > 40:
+            raise AssertionError("no end of attempts")
+        return real(key, kind, norm, attempt)
+
+    monkeypatch.setattr(S, "surrogate", limited)
+    found = [("name", f"m:name{i}") for i in range(40)] + [("name", f"f:имя{i}") for i in range(5)]
+    found += [("email", f"{c}@x.{t}") for t in ("com", "org") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("email", f"_@{c}.com") for c in "abcdefgh"]
+    got = S.settled(spark.createDataFrame(found, "kind string, norm string"), b"key").collect()
+    assert len(got) == len(found) == len({(r.kind, r.made) for r in got})
+    assert not {(r.kind, r.made) for r in got} & set(found)
+
+
+@pytest.mark.parametrize("attempt", [0, 9, 30])
+def test_longer_surrogates_reach_the_text(attempt):
+    for a, b, kind, norm in S.find(TEXT):
+        mention, made = TEXT[a:b], S.surrogate(b"k", kind, norm, attempt)
+        if kind not in ("name", "email", "ip"):
+            assert "".join(c for c in S.surface(kind, mention, made) if c.isalnum()) == made.lstrip("+")
+        if kind == "account":
+            assert S.iban(made)
+        if kind == "card":
+            assert S.luhn(made)
+
+
 @pytest.mark.parametrize("joined", [False, True])
 def test_documents(spark, monkeypatch, joined):
     if joined:
