@@ -1,6 +1,6 @@
 """Command line: build a graph, show its statistics, ask it, evaluate answers.
 
-python -m quillgraph.cli build --root DIR --out DIR [--only NAME...] [--append] [--validate]
+python -m quillgraph.cli build --root DIR --out DIR [--only NAME...] [--append] [--validate] [--archives DIR...] [--prefixes CSV]
 python -m quillgraph.cli stats --graph DIR
 python -m quillgraph.cli ask QUESTION --graph DIR [--set KEY=VALUE...]
 python -m quillgraph.cli cases --cases FILE [--ids ID...] [--categories C...] [--tags T...]
@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--only", nargs="*")
     b.add_argument("--append", action="store_true")
     b.add_argument("--validate", action="store_true")
+    b.add_argument("--archives", nargs="*", help="archive caches (files-2.1 folders) in place of the build tool's own")
+    b.add_argument("--prefixes", help="CSV with prefix, coordinate for imports that no archive owns")
     s = sub.add_parser("stats")
     s.add_argument("--graph", required=True)
     a = sub.add_parser("ask")
@@ -45,13 +47,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
     from quillgraph.evaluation import report, scoring, transcripts
-    from quillgraph.extract import registry
+    from quillgraph.extract import libraries, registry
     from quillgraph.graph import Graph
     from quillgraph.sources import corpus
 
     if args.command == "build":
         files = corpus.tree(spark, args.root).unionByName(corpus.hidden(spark, args.root, ("CODEOWNERS", ".gitlab-ci.yml"))).cache()
-        graph, summary = registry.run(spark, files, args.only)
+        manual = args.prefixes and spark.read.csv(args.prefixes, header=True, schema="prefix string, coordinate string")
+        usage = libraries.extractor(args.archives, f"{args.out}/_packages", f"{args.root}/gradle.lockfile", manual or None)
+        graph, summary = registry.run(spark, files, args.only, extra={"lib_usage": usage})
         graph.write(args.out, "append" if args.append else "overwrite")
         summary.show(100, truncate=80)
         if args.validate:

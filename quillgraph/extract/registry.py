@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.extract import build, java, rules, scripts, web
+from quillgraph.extract import build, java, libraries, rules, scripts, web
 from quillgraph.graph import Graph
 from quillgraph.session import ship
 
 Extractor = Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]]
 
 REGISTRY: dict[str, Extractor] = {
-    "gradle": build.gradle, "java": java.java, "sail": rules.rules, "cross_language": rules.bind, "spring_di": java.spring, "external_libs": build.external_libraries, "lib_transitivity": build.dependency_tree,
+    "gradle": build.gradle, "java": java.java, "sail": rules.rules, "cross_language": rules.bind, "spring_di": java.spring, "external_libs": build.external_libraries, "lib_transitivity": build.dependency_tree, "lib_usage": libraries.extractor(),
     "npm": build.npm, "typescript": scripts.typescript, "k": scripts.k_files, "db": web.database, "toggle": rules.toggles, "infra_jsp": web.pages, "infra_docker": web.services, "infra_owners": web.owners, "infra_api": web.endpoints,
     "expression_tests": rules.expression_tests, "resource_bundles": rules.resource_bundles, "xsd_cdt": rules.data_types, "gitlab_ci": web.pipelines, "freemarker": web.templates, "web_xml": web.descriptors, "groovy_tests": web.groovy_tests,
 }
@@ -23,7 +23,7 @@ REGISTRY: dict[str, Extractor] = {
 def run(spark: SparkSession, files: DataFrame, only: Iterable[str] | None = None, graph: Graph | None = None, extra: dict[str, Extractor] | None = None) -> tuple[Graph, DataFrame]:
     """The graph of a corpus, and extractor, status, elapsed_seconds, error of each run.
 
-    library usage needs archive packages and runs through extra, as any plug-in does.
+    extra adds plug-ins, or takes an extractor's place (lib_usage with other archive caches).
     """
     ship(spark)
     graph = graph or Graph(spark)

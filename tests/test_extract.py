@@ -3,8 +3,10 @@ import zipfile
 
 import pytest
 
-from quillgraph.extract import build, java, registry
+from quillgraph import cli
+from quillgraph.extract import build, java, libraries, registry
 from quillgraph.extract.java_syntax import Reader
+from quillgraph.graph import Graph
 
 J = "libs/records/records-java/src/main/java/com/acme/rec/"
 FILES = {
@@ -193,6 +195,34 @@ def test_library_usage(spark, built):
     assert rows(java.ranked_archives(jars, none), "path") == [("g/a-2.0.jar",)] and rows(java.ranked_archives(jars, spark.createDataFrame([("g", "a", "1.9")], none.schema)), "path") == [("g/a-1.9.jar",)]
 
 
+def test_full_build_has_library_usage(spark, tmp_path):
+    def jar(group, artifact, version, *names):
+        path = tmp_path / "gradle/caches/modules-2/files-2.1" / group / artifact / version / "hash" / f"{artifact}-{version}.jar"
+        path.parent.mkdir(parents=True)
+        with zipfile.ZipFile(path, "w") as z:
+            for n in names:
+                z.writestr(n, "")
+
+    jar("org.slf4j", "slf4j-api", "1.0", "org/slf4j/Logger.class", "org/slf4j/old/X.class")
+    jar("org.slf4j", "slf4j-api", "9.0", "org/slf4j/Logger.class")
+    jar("a.fat", "jar", "1", "org/slf4j/Logger.class")
+    root, out = tmp_path / "root", str(tmp_path / "out")
+    for name, content in FILES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    caches = str(tmp_path / "gradle/caches/modules-2/files-2.1")
+    for _ in range(2):
+        assert cli.main(["build", "--root", str(root), "--out", out, "--archives", caches, "--only", "gradle", "java", "external_libs", "lib_usage"], spark) == 0
+    g = Graph.read(spark, out)
+    assert rows(g.nodes("USES_LIBRARY_Module"), "from_id", "to_id") == [(":libs:records:records-java", "org.slf4j:slf4j-api")]
+    impact = g.query("library_impact", coordinate="org.slf4j:slf4j-api").first()
+    assert impact.classesAffected > 0 and impact.modulesAffected == 1
+    assert "lib_usage" in registry.REGISTRY
+    known = spark.createDataFrame([("org.slf4j:slf4j-api", "9.0"), ("b.c:d", "managed"), ("b:e", "2")], "coordinate string, latestVersion string")
+    claims = spark.createDataFrame([("org.slf4j:slf4j-api", "1.0", "org.slf4j.old"), ("b.c:d", "1.9", "b.c"), ("b.c:d", "1.10", "b.x"), ("b:e", "2", "b.c"), ("b:e", "1", "b.x"), ("no:lib", "1", "n")], "coordinate string, version string, package string")
+    assert rows(libraries.owners(claims, known), "package", "coordinate") == [("b.c", "b:e"), ("b.x", "b.c:d"), ("org.slf4j.old", "org.slf4j:slf4j-api")]
+
+
 def test_graph_storage(spark, built, tmp_path):
     g, files = built
     stats = {(r.kind, r.name): r.n for r in g.stats().collect()}
