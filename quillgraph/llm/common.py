@@ -70,9 +70,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast where the counted rows stay under limit; else Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes up to which a table is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int, width: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast where rows of about width bytes stay under limit; else Spark shuffles."""
+    return F.broadcast(df) if rows * width <= limit else df
 
 
 def fresh(columns: list[str], name: str) -> str:

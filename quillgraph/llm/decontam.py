@@ -5,6 +5,11 @@ document only where its rarest word occurs, so that word alone (the prefix of th
 in rarity order) is joined with the documents' words; length and position bounds and an
 exact comparison of the whole window follow for the few places that are left.
 
+Windows carry no lists of items: windows of the same items share an owner number, a
+document gathers the numbers it meets, and items are looked up once for each set of numbers.
+While the windows are small (measured in bytes) they are sent round and compared where the
+text is; beyond, places alone are shuffled, and texts are joined to those that have any.
+
 Defined results: null text and null items have no words; a text without words has
 ``n_words`` 0 and is clean; repeated rows each get their row; an empty benchmark leaves
 every document clean; a null ``item_id`` hits words but is not listed among the items.
@@ -16,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, fresh, table
+from quillgraph.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, fresh, table
 
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words while the text still has its case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Window rows up to which the join table is sent to every executor.
-BROADCAST_ROWS = 200_000
+#: Bytes of a row of the join table beside the window's own.
+ROW_BYTES = 64
 
 
 def words(text: Column) -> Column:
@@ -35,23 +40,56 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: win (words joined by blanks), len, items (sorted ids as strings)."""
+def windows_of(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows: w, win (words joined by blanks), len, owner; and owner, items (sorted ids as strings)."""
     w = items.select(F.col("item_id").cast("string").alias("item"), F.transform(words(F.col("text")), ascii_lower).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
-    cut = w.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    cut = cut.select("item", F.slice("w", F.col("at") + 1, size).alias("w"))
-    return cut.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.array_join("w", " ").alias("win"), F.size("w").alias("len"), "w", "items")
+    each = w.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", F.slice("w", F.col("at") + 1, size).alias("w"))
+    per = cut(each.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    owners = cut(per.select("items").distinct().withColumn("owner", F.monotonically_increasing_id()), "owners")
+    return per.join(owners, "items").select("w", F.array_join("w", " ").alias("win"), F.size("w").alias("len"), "owner"), owners
 
 
-def prefix_tokens(docs: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
+def prefix_tokens(docs: DataFrame, windows: DataFrame, n_bytes: int, limit: int) -> DataFrame:
     """For every window its rarest word over all documents, with the word's place."""
-    parts = windows.select("win", "len", "items", F.posexplode("w").alias("off", "token")).withColumn("key", F.lower("token"))
-    vocabulary = broadcast_if_small(parts.select("key").distinct(), n_windows * WINDOW, BROADCAST_ROWS * WINDOW)
+    parts = windows.select("win", "len", "owner", F.posexplode("w").alias("off", "token")).withColumn("key", F.lower("token"))
+    vocabulary = broadcast_if_small(parts.select("key").distinct(), n_bytes, 1, limit)
     counts = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("key")).join(vocabulary, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     rated = parts.join(counts, "key", "left")
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"), F.col("off"))
-    return rated.groupBy("win", "len", "items").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("key"), F.col("r.off").alias("off"), "len", "win", "items")
+    return rated.groupBy("win", "len", "owner").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("key"), F.col("r.off").alias("off"), "len", "win", "owner")
+
+
+def _found(start: Column, length: Column) -> Column:
+    """The words of w from start on, as a window has them."""
+    return ascii_lower(F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), length), " "))
+
+
+def occurrences(docs: DataFrame, tokens: DataFrame, near: bool) -> DataFrame:
+    """doc_id, h, n_words, s, e, owner: a row with null owner for each document, others for each window in it."""
+    w = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
+    start = F.col("pos") - F.col("off")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+    place = (start.alias("s"), (start + F.col("len")).alias("e"), F.col("owner"))
+    if near:
+        # The empty word closes every document's words; its one partner gives the document's own row.
+        mark = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.lit("").alias("win"), F.lit(None).cast("long").alias("owner"))
+        each = w.select("doc_id", "h", "w", F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
+        met = each.withColumn("key", F.lower("word")).join(F.broadcast(tokens.unionByName(mark)), "key")
+        return met.where((F.col("len") == 0) | (fits & (_found(start, F.col("len")) == F.col("win")))).select("doc_id", "h", "n_words", *place)
+    own = w.select("doc_id", "h", F.size("w").alias("n_words"))
+    places = w.select("doc_id", "h", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    met = places.select("doc_id", "h", "n_words", "pos", F.lower("word").alias("key")).join(tokens, "key").where(fits).select(F.col("doc_id").alias("d"), F.col("h").alias("t"), *place, "win")
+    likely = met.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "owner", "win")).alias("likely"))
+    texts = w.join(likely, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")))
+    exact = F.filter("likely", lambda x: _found(x["s"], x["e"] - x["s"]) == x["win"])
+    hits = texts.select("doc_id", "h", F.size("w").alias("n_words"), F.explode(exact).alias("x")).select("doc_id", "h", "n_words", "x.s", "x.e", "x.owner")
+    return own.select("*", F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("owner")).unionByName(hits)
+
+
+def covered(spans: str) -> Column:
+    """How many words the sorted spans (s, e) of an array cover together."""
+    return F.expr(f"aggregate({spans}, named_struct('end', 0, 'n', 0), (a, x) -> named_struct('end', greatest(a.end, x.e), 'n', a.n + greatest(0, x.e - greatest(a.end, x.s))), a -> a.n)")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
@@ -71,27 +109,19 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, share
     return docs.join(broadcast_if_small(bad, bad.count()), gone, "left_anti")
 
 
-def judged(docs: DataFrame, items: DataFrame, size: int, share: int) -> DataFrame:
-    """As decontaminate, with h, the hash of the text."""
-    windows = windows_of(items, size)
-    n = windows.count()
-    tokens = prefix_tokens(docs, windows, n)
-    # The empty word closes every document's words; its one partner brings n_words along.
-    mark = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.lit("").alias("win"), F.array().cast("array<string>").alias("items"))
-    partners = broadcast_if_small(tokens.unionByName(mark), n, BROADCAST_ROWS)
-    w = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    each = w.select("doc_id", "h", "w", F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
-    start = F.col("pos") - F.col("off")
-    found = ascii_lower(F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("len")), " "))
-    met = each.withColumn("key", F.lower("word")).join(partners, "key")
-    met = met.where((F.col("len") == 0) | ((start >= 0) & (start + F.col("len") <= F.col("n_words")) & (found == F.col("win"))))
-    seen = F.when(F.col("len") > 0, F.struct(start.alias("s"), (start + F.col("len") - 1).alias("e")))
-    by_doc = met.groupBy("doc_id", "h", "n_words").agg(F.sum(F.when(F.col("len") == 0, 1).otherwise(0)).alias("copies"), F.collect_set(seen).alias("spans"), F.collect_set(F.when(F.col("len") > 0, F.col("items"))).alias("items"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))))
-    ids = F.sort_array(F.array_distinct(F.flatten("items")))
-    out = by_doc.select("doc_id", "h", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), ids.alias("ids"), "copies")
-    out = out.select("doc_id", "h", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "copies")
-    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copies", "copy")
+def judged(docs: DataFrame, items: DataFrame, size: int, share: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """As decontaminate, with h, the hash of the text. limit: bytes of windows that are sent round."""
+    windows, owners = windows_of(items, size)
+    n_bytes = windows.agg(F.coalesce(F.sum(F.octet_length("win") + ROW_BYTES), F.lit(0))).first()[0]
+    met = cut(occurrences(docs, prefix_tokens(docs, windows, n_bytes, limit), n_bytes <= limit), "occurrences")
+    hits = met.where("owner IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"), F.sort_array(F.collect_set("owner")).alias("owners"))
+    hits = cut(hits.select("d", "t", covered("spans").alias("hit"), F.sha2(F.array_join("owners", ","), 256).alias("bag"), "owners"), "hits")
+    bags = hits.groupBy("bag").agg(F.first("owners").alias("owners")).select("bag", F.explode("owners").alias("owner")).join(owners, "owner")
+    bags = bags.select("bag", F.explode("items").alias("item")).groupBy("bag").agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    per = hits.select("d", "t", "hit", "bag").join(bags, "bag", "left")
+    out = met.where("owner IS NULL").select("doc_id", "h", "n_words").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
+    n_words, n_hit, ids = F.col("n_words").cast("long"), F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
+    return out.select("doc_id", "h", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,11 @@ def brute(texts, items):
     return out
 
 
-def run(spark, texts, items):
+def run(spark, texts, items, limit=None):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, item_id string, h int")
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    return [tuple(r)[1:] for r in D.decontaminate(docs, bench).orderBy("doc_id").collect()]
+    found = D.decontaminate(docs, bench) if limit is None else D.judged(docs, bench, 13, 20, limit).drop("h")
+    return [tuple(r)[1:] for r in found.orderBy("doc_id").collect()]
 
 
 def test_against_brute_force(spark):
@@ -41,7 +42,19 @@ def test_against_brute_force(spark):
     items = [(k, text(rng.choice([1, 2, 5, 13, 14, 30]))) for k in range(25)] + [(7, "the of"), (100, None), (101, ""), (102, "..."), (None, "w1 w2 w3")]
     texts = [None, "", "!!", "the"] + ["".join(rng.choice([text(rng.randint(0, 20)), rng.choice(items)[1] or ""]) for _ in range(rng.randint(0, 5))) for _ in range(60)]
     texts += [texts[6], "w5 " * 3000]
-    assert run(spark, texts, items) == brute(texts, items)
+    want = brute(texts, items)
+    assert run(spark, texts, items) == want
+    assert run(spark, texts, items, limit=0) == want  # windows that are too many to be sent round
+
+
+def test_long_text_and_many_owners(spark):
+    """A passage that 300 items share, and a text of 50,000 words, on both sides of the size limit."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    items = [(k, f"{passage} own{k}") for k in range(300)]
+    texts = ["x " * 25_000 + passage + " y" * 25_000, passage, f"{passage} own7", "p1 p2"]
+    got = run(spark, texts, items)
+    assert got == run(spark, texts, items, limit=0)
+    assert [g[:3] + g[4:] for g in got] == [(50_060, 60, 300, False), (60, 60, 300, True), (61, 61, 300, True), (2, 0, 0, False)]
 
 
 def test_empty_tables(spark):
