@@ -6,9 +6,10 @@ elastic net) and calibrated with a temperature.
 
 * Document frequencies come from every training document.
 * The classifier is fitted on a bounded sample: the ``per_label`` training documents of
-  each label with the smallest hashes. That bound is a parameter; the labels are taken to
-  be few (one weight column each).
+  each label with the smallest hashes of their ids. That bound is a parameter and holds for
+  repeated and lacking ids too; the labels are taken to be few (one weight column each).
 * Weights are ``dims`` x labels numbers, so their broadcast does not grow with the data.
+* Long texts are counted and scored in blocks, so a task's memory does not grow with them.
 
 Defined results: null text, and text without a letter, gets ``und`` with score 0; with no
 training documents at all every prediction is ``und``; rows with null labels are predicted
@@ -18,6 +19,7 @@ but never learnt from; repeated rows each get a row; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import fresh, table
+from quillgraph.llm.common import cut, fresh, table
 from quillgraph.session import ship
 
 DIMS = 1 << 16
@@ -62,45 +64,97 @@ def _text_codes(text: str) -> np.ndarray:
     return np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def text_ids(text: str, dims: int = DIMS) -> np.ndarray:
-    """Ids of all n-grams of one text."""
-    codes = _text_codes(text)
-    g = grams(codes, dims)
-    return np.concatenate([g[k, : len(codes) - k] for k in range(3)])
+def pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Parts of a text's codes, and how many codes at their end only complete n-grams begun before."""
+    for at in range(0, max(1, len(codes) - 2), BLOCK):
+        part = codes[at : at + BLOCK + 2]
+        yield part, 2 if at + BLOCK + 2 < len(codes) else 0
+
+
+def id_blocks(text: str, dims: int = DIMS) -> Iterator[np.ndarray]:
+    """Ids of all n-grams of one text, a block at a time."""
+    for part, extra in pieces(_text_codes(text)):
+        g = grams(part, dims)
+        yield np.concatenate([g[k, : len(part) - max(k, extra)] for k in range(3)])
 
 
 def counted(text: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = text_ids(text, dims)
+    """The distinct n-grams of a text and how often each occurs."""
+    blocks = id_blocks(text, dims)
+    ids = next(blocks)
     if len(ids) > dims // 2:
         counts = np.bincount(ids, minlength=dims)
+        for more in blocks:
+            counts += np.bincount(more, minlength=dims)
         ids = np.flatnonzero(counts)
         return ids, counts[ids]
-    return np.unique(ids, return_counts=True)
+    return np.unique(np.concatenate([ids, *blocks]), return_counts=True)
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, int]:
-    """How many of the documents hold each hashed n-gram, over all of them."""
+def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, dict[str, int]]:
+    """How many of the documents hold each hashed n-gram, and how many each label has, over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(dims, dtype=np.int64), 0
+        total, labels = np.zeros(dims, dtype=np.int64), Counter()
         seen = np.zeros(dims, dtype=bool)
         for batch in batches:
             for text in batch.column(0):
-                seen[text_ids(text.as_py(), dims)] = True
+                for ids in id_blocks(text.as_py(), dims):
+                    seen[ids] = True
                 total += seen
                 seen[:] = False
-                n += 1
+            labels.update(batch.column(1).to_pylist())
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, dims).astype(np.int32)), pa.array(np.append(total[at], n))], ["id", "n"])
-
-    df = np.zeros(dims + 1, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # dims + 1 rows at most
-        df[r["id"]] = r["n"]
-    return df[:dims], int(df[dims])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(total[at])], ["id", "lang", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(labels), pa.int32()), pa.array(list(labels), pa.string()), pa.array(list(labels.values()), pa.int64())], ["id", "lang", "n"])
+
+    df, n_of = np.zeros(dims, dtype=np.int64), {}
+    counts = docs.select("text", "lang").mapInArrow(count, "id int, lang string, n long").groupBy("id", "lang").agg(F.sum("n").alias("n"))
+    for r in counts.collect():  # dims rows and one a label at most
+        if r["lang"] is None:
+            df[r["id"]] = r["n"]
+        else:
+            n_of[r["lang"]] = r["n"]
+    return df, n_of
+
+
+def inverse(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Smoothed inverse document frequencies."""
+    return np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
+
+def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF of a text's n-grams: their shares of the text, SCALE in all, times idf."""
+    return SCALE * counts / counts.sum() * idf[ids]
+
+
+def sampled(train: DataFrame, n_of: dict[str, int], per_label: int) -> DataFrame:
+    """lang, text, k (from 1): at most per_label rows of each label, those of the least hashes.
+
+    Ids are first thinned by a bound on their hash, from the label counts, so that no task
+    ranks more than a few samples of each label; where ids repeat so much that too few are
+    left, the bound is widened, up to all of them.
+    """
+    rows = train.withColumn("h", F.xxhash64("doc_id"))
+    share = {x: min(1.0, (1.5 * per_label + 64) / n) for x, n in n_of.items()}
+    while True:
+        bound = F.element_at(F.create_map(*[F.lit(v) for x in share.items() for v in x]), F.col("lang"))
+        ids = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= bound).select("lang", "h", "doc_id").distinct()
+        ranked = ids.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_label)
+        ranked = cut(ranked.select(F.col("lang").alias("l"), F.col("doc_id").alias("d")), "sample")
+        got = {r["l"]: r["count"] for r in ranked.groupBy("l").count().collect()}  # a row a label
+        few = [x for x in share if share[x] < 1 and got.get(x, 0) < per_label]
+        if not few:
+            break
+        share |= {x: min(1.0, 8 * share[x]) for x in few}
+    # Only the sample's few ids travel; its texts are read by a join with that bounded table.
+    met = rows.join(F.broadcast(ranked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")))
+    order = W.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("lang", "text", "k")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -108,23 +162,26 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], dims: int, n_labels: int, epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal with L1 and L2; one accumulator pair per weight."""
-    z, n, w = (np.zeros((dims, n_labels)) for _ in range(3))
+def train_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], dims: int, n_labels: int, epochs: int = EPOCHS, l1: float = L1, l2: float = L2) -> np.ndarray:
+    """FTRL-proximal with an elastic net (l1, l2); one accumulator pair per weight.
+
+    A weight whose accumulated gradient stays within l1 is exactly 0, so unseen and
+    uninformative n-grams have none.
+    """
+    z, n = np.zeros((dims, n_labels)), np.zeros((dims, n_labels))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for k in rng.permutation(len(samples)):
             ids, x, y = samples[k]
             zi, ni = z[ids], n[ids]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + l2))
             p = softmax(x @ wi)
             p[y] -= 1.0
             g = x[:, None] * p[None, :]
             step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[ids] = zi + g - step * wi
             n[ids] = ni + g * g
-            w[ids] = wi
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + l2))
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -141,14 +198,10 @@ def fit(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> tuple[
     """Labels and calibrated weights (dims x labels, inverse document frequency included)."""
     ship(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    df, n_docs = document_frequencies(train, dims)
-    if not n_docs:
+    df, n_of = document_frequencies(train, dims)
+    if not n_of:
         return [], np.zeros((dims, 0), dtype=np.float32)
-    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
-    sample = train.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("doc_id", "lang", "k")
-    # Only the sample's few ids travel; its texts are read by a join with that bounded table.
-    sample = train.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
+    idf = inverse(df, sum(n_of.values()))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,22 +212,21 @@ def fit(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> tuple[
                 counts.append(c.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "k", "ids", "counts"])
 
-    rows = sample.select("lang", "text", "k").mapInArrow(featurise, "lang string, k int, ids binary, counts binary").collect()  # per_label rows of each label
+    rows = sampled(train, n_of, per_label).mapInArrow(featurise, "lang string, k int, ids binary, counts binary").collect()  # per_label rows of each label
     labels = sorted({r["lang"] for r in rows})
     number = {x: k for k, x in enumerate(labels)}
     held, kept = [], []
     for r in sorted(rows, key=lambda r: (r["k"], r["lang"], r["ids"])):
         i, c = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)
-        x = SCALE * c / c.sum() * idf[i]
-        (held if r["k"] % 5 == 0 else kept).append((i, x, number[r["lang"]]))
+        (held if r["k"] % 5 == 0 else kept).append((i, weighted(i, c, idf), number[r["lang"]]))
     w = train_ftrl(kept, dims, len(labels))
     if held and len(labels) > 1:
         w = w / temperature(np.array([x @ w[i] for i, x, _ in held]), np.array([y for _, _, y in held]))
     return labels, (w * idf[:, None] * SCALE).astype(np.float32)
 
 
-def predict(docs: DataFrame, labels: list[str], weights: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score (which replace columns of those names), the rest kept."""
+def predict(docs: DataFrame, labels: list[str], weights: np.ndarray, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the columns of names, prediction and score (which replace any of those names), the rest kept."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     dims = len(weights)
@@ -184,51 +236,54 @@ def predict(docs: DataFrame, labels: list[str], weights: np.ndarray) -> DataFram
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not labels:
             return names, scores
-        block: list[tuple[int, np.ndarray]] = []
-        size = 0
+        sums, counts = np.zeros((len(texts), len(labels))), np.zeros(len(texts))
+        block: list[tuple[int, np.ndarray, int]] = []
 
         def flush() -> None:
-            if not block:
-                return
-            codes = np.concatenate([c for _, c in block])
-            ends = np.cumsum([len(c) for _, c in block])
+            codes = np.concatenate([c for _, c, _ in block])
+            lengths, extra = np.array([len(c) for _, c, _ in block]), np.array([e for _, _, e in block])
+            ends = np.cumsum(lengths)
             g = grams(codes, dims)
-            # an n-gram that reaches into the next text counts for nothing
-            total = w[g[0]]
-            for n in (1, 2):
+            total = np.zeros((len(codes), len(labels)), dtype=np.float32)
+            own = np.array([k for k, _, _ in block])
+            for n in range(3):
                 part = w[g[n]]
-                for back in range(1, n + 1):
-                    part[ends - back] = 0
+                # an n-gram that reaches into the next text, or begins in the next piece, counts for nothing here
+                for back in (1, 2):
+                    part[ends[np.maximum(extra, n) >= back] - back] = 0
                 total += part
-            sums = np.add.reduceat(total, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
-            count = 3 * np.diff(np.concatenate([[0], ends])) - 3
-            p = softmax(sums / np.maximum(count, 1)[:, None])
-            for (k, _), best, row in zip(block, p.argmax(axis=1), p):
-                names[k], scores[k] = labels[best], float(min(1.0, row[best]))
+                np.add.at(counts, own, lengths - np.maximum(extra, n))
+            np.add.at(sums, own, np.add.reduceat(total, ends - lengths, axis=0, dtype=np.float64))
             block.clear()
 
+        size = 0
         for k, text in enumerate(texts):
             if text is None or not any(map(str.isalpha, text)):
                 continue
-            codes = _text_codes(text)
-            block.append((k, codes))
-            size += len(codes)
-            if size >= BLOCK:
-                flush()
-                size = 0
-        flush()
+            for part, extra in pieces(_text_codes(text)):
+                block.append((k, part, extra))
+                size += len(part)
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        if block:
+            flush()
+        known = np.flatnonzero(counts)
+        p = softmax(sums[known] / counts[known, None])
+        for k, best, row in zip(known.tolist(), p.argmax(axis=1).tolist(), p):
+            names[k], scores[k] = labels[best], float(min(1.0, row[best]))
         return names, scores
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def identify(texts):
         import pandas as pd
 
-        names, scores = score([None if t is None or t != t else t for t in texts])
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        found, scores = score([None if t is None or t != t else t for t in texts])
+        return pd.DataFrame({"lang_pred": found, "score": scores})
 
-    found = fresh(docs.columns, "found")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn(found, identify("text")).select(*kept, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
+    found = fresh([*docs.columns, *names], "found")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.withColumn(found, identify("text")).select(*kept, F.col(found)["lang_pred"].alias(names[0]), F.col(found)["score"].alias(names[1]))
 
 
 def identify_languages(docs: DataFrame, dims: int = DIMS, per_label: int = PER_LABEL) -> DataFrame:
