@@ -3,8 +3,9 @@
 Candidate strings are maximal runs of token characters. A window of 20 characters slides
 over each; its Shannon entropy is kept up to date from the counts of the character that
 enters and the one that leaves. The threshold depends on the run's character class. Runs
-on the allow list (placeholders, UUIDs, one repeated character) get no span of this kind;
-spans of the base patterns always stay.
+on the allow list (placeholders, UUIDs, alphabets written out) get no span of this kind;
+spans of the base patterns always stay. Work grows in proportion to the text: characters of
+a run are split once, and the places of matches are summed up in parts of ``PART``.
 
 Defined results: null text counts as empty; every row gets a row, repeated ones too; other
 columns are ignored. Positions are code points, ends exclusive.
@@ -31,21 +32,31 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 HEX_BITS, BASE_BITS = 3.0, 3.8
 #: What sums of logarithms may be off by.
 SLACK = 1e-9
-ALLOW_WORDS = r"(?i)example|sample|dummy|placeholder|changeme|your_|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-ALLOW = ALLOW_WORDS + r"|^(.)\1+=*$"
+ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|your_|0123456789|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Matches whose places are summed up together.
+PART = 256
 
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
 def located(text: str, pattern: str, kind: int) -> str:
-    """SQL for the spans of a pattern: lengths of what lies between matches, summed up."""
+    """SQL for the spans of a pattern: lengths of what lies between matches, summed up.
+
+    Sums run over parts first and then inside each, so appending copies short arrays only.
+    """
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"""aggregate(
-      zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
-      named_struct('at', 0, 'out', cast(array() AS {SPAN})),
-      (a, x) -> named_struct('at', a.at + length(x.g) + coalesce(length(x.m), 0), 'out',
-        if(x.m IS NULL, a.out, array_append(a.out, named_struct('s', a.at + length(x.g), 'k', {kind}, 'e', a.at + length(x.g) + length(x.m), 'm', x.m)))),
-      a -> a.out)"""
+    part = f"slice(p, cast(b * {PART} + 1 AS int), {PART})"
+    return f"""transform(array(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', length(g), 'm', m))), p ->
+      flatten(transform(
+        aggregate(sequence(0, cast((size(p) - 1) div {PART} AS int)),
+          named_struct('at', 0, 'out', cast(array() AS array<int>)),
+          (a, b) -> named_struct('at', a.at + aggregate({part}, 0, (n, x) -> n + x.g + coalesce(length(x.m), 0)), 'out', array_append(a.out, a.at)),
+          a -> a.out),
+        (base, b) -> aggregate({part},
+          named_struct('at', base, 'out', cast(array() AS {SPAN})),
+          (a, x) -> named_struct('at', a.at + x.g + coalesce(length(x.m), 0), 'out',
+            if(x.m IS NULL, a.out, array_append(a.out, named_struct('s', a.at + x.g, 'k', {kind}, 'e', a.at + x.g + length(x.m), 'm', x.m)))),
+          a -> a.out))))[0]"""
 
 
 def _none() -> Column:
@@ -68,25 +79,23 @@ def base_spans(text: str, allowed_kinds: tuple[int, ...] = (0, 1, 2)) -> dict[in
 
 
 def window_state(run: str, width: int = WIDTH) -> str:
-    """SQL: slides the window over a run; gives first and last window at or over the bits.
+    """SQL: slides the window over a run's characters (numbers in ALPHABET); first and last window at or over the bits.
 
     State: n (counts per character), h (sum of c log2 c), and where the threshold was met.
     """
     f = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0:.17g}D" for c in range(width + 2)) + ")"
-    code = f"instr('{ALPHABET}', substr({run}.m, i, 1))"
-    gone = f"if(i > {width}, instr('{ALPHABET}', substr({run}.m, i - {width}, 1)), 0)"
-    after_out = "if(x.o = 0, 0D, get(x.f, get(a.n, x.o - 1) - 1) - get(x.f, get(a.n, x.o - 1)))"
-    after_in = "get(x.f, get(a.n, x.c - 1) + 1) - get(x.f, get(a.n, x.c - 1))"
-    change = f"if(x.c = x.o, 0D, {after_out} + {after_in})"
-    bits = f"log2({width}D) - (a.h + {change}) / {width}"
-    return f"""aggregate(
-      transform(sequence(1, length({run}.m)), i -> named_struct('i', i, 'c', {code}, 'o', {gone}, 'f', {f})),
+    n = lambda x: f"get(a.n, {x} - 1)"
+    change = f"if(x.c = x.o, 0D, if(x.o = 0, 0D, get({f}, {n('x.o')} - 1) - get({f}, {n('x.o')})) + get({f}, {n('x.c')} + 1) - get({f}, {n('x.c')}))"
+    put = lambda array, x, by: f"concat(slice({array}, 1, {x} - 1), array(get({array}, {x} - 1) + {by}), slice({array}, {x} + 1, {len(ALPHABET)}))"
+    met = f"x.i >= {width} AND log2({width}D) - h / {width} >= {run}.need"
+    return f"""aggregate(sequence(1, size({run}.c)),
       named_struct('n', array_repeat(0, {len(ALPHABET)}), 'h', 0D, 'first', 0, 'last', 0),
-      (a, x) -> named_struct(
-        'n', if(x.c = x.o, a.n, transform(a.n, (c, k) -> c + if(k + 1 = x.c, 1, 0) - if(k + 1 = x.o, 1, 0))),
-        'h', a.h + {change},
-        'first', if(a.first = 0 AND x.i >= {width} AND {bits} >= {run}.need, x.i - {width - 1}, a.first),
-        'last', if(x.i >= {width} AND {bits} >= {run}.need, x.i, a.last)))"""
+      (a, i) -> transform(array(named_struct('i', i, 'c', get({run}.c, i - 1), 'o', coalesce(get({run}.c, i - {width + 1}), 0))), x ->
+        transform(array(a.h + {change}), h -> named_struct(
+          'n', if(x.c = x.o, a.n, transform(array({put('a.n', 'x.c', 1)}), n -> if(x.o = 0, n, {put('n', 'x.o', -1)}))[0]),
+          'h', h,
+          'first', if(a.first = 0 AND {met}, x.i - {width - 1}, a.first),
+          'last', if({met}, x.i, a.last)))[0])[0])"""
 
 
 def entropy_spans(text: str) -> Column:
@@ -94,7 +103,8 @@ def entropy_spans(text: str) -> Column:
     allow = "'" + ALLOW.replace("\\", "\\\\") + "'"
     runs = f"filter({located(text, RUN, 0)}, x -> x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]' AND NOT x.m rlike {allow})"
     hexed = "(x.m rlike '^[0-9a-f]+$' OR x.m rlike '^[0-9A-F]+$')"
-    classed = f"transform({runs}, x -> named_struct('s', x.s, 'm', x.m, 'k', if({hexed}, 3, 4), 'need', if({hexed}, {HEX_BITS - SLACK!r}D, {BASE_BITS - SLACK!r}D)))"
+    chars = f"transform(filter(split(x.m, ''), y -> y <> ''), y -> instr('{ALPHABET}', y))"
+    classed = f"transform({runs}, x -> named_struct('s', x.s, 'm', x.m, 'c', {chars}, 'k', if({hexed}, 3, 4), 'need', if({hexed}, {HEX_BITS - SLACK!r}D, {BASE_BITS - SLACK!r}D)))"
     met = f"transform({classed}, r -> named_struct('r', r, 'w', {window_state('r')}))"
     return F.when(F.col(text).rlike(RUN), F.expr(f"transform(filter({met}, z -> z.w.first > 0), z -> named_struct('s', z.r.s + z.w.first - 1, 'k', z.r.k, 'e', z.r.s + z.w.last, 'm', z.r.m))")).otherwise(_none())
 
@@ -131,7 +141,7 @@ placed AS (
 base AS (SELECT rid, k, s, s + length(m) AS e FROM placed WHERE k < 3 AND (k > 0 OR length(regexp_extract(m, p, 2)) >= {ASSIGN_VALUE})),
 runs AS (
   SELECT rid, s, m, regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') AS hexed FROM placed
-  WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOW_WORDS}') AND NOT regexp_matches(replace(m, left(m, 1), ''), '^=*$')),
+  WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOW}')),
 windows AS (SELECT rid, s, m, hexed, unnest(range(1, length(m) - {WIDTH} + 2)) AS j FROM runs),
 chars AS (SELECT rid, s, hexed, j, unnest(string_split(substr(m, j, {WIDTH}), '')) AS c FROM windows),
 counts AS (SELECT rid, s, hexed, j, c, count(*) AS n FROM chars GROUP BY ALL),
