@@ -4,9 +4,16 @@ A store is a folder of immutable Parquet shards and versioned manifests. Arrival
 appended as small shards, written by the tasks that read them, without a shuffle. A tier
 holds shards of like size (within a factor of ``FAN_IN``); once it has FAN_IN of them they
 are merged into target-sized files: the shards are coalesced to as many tasks as the tier
-has target sizes, and each task writes one file, again without a shuffle. Each step ends by committing
-a manifest with one atomic rename, so readers see the old version or the new one; a
-writer that was overtaken fails. Shards that no kept version names are then deleted.
+has target sizes, and each task writes one file, again without a shuffle.
+
+*Manifests* are Parquet tables, written and read by Spark, so their rows do not pass the
+driver; a merge takes ``MERGE_SHARDS`` paths at a time to the driver, and rounds go on until
+no tier is full. *A commit* makes the version's file, which names the manifest, appear at
+once and only if no other writer's is there: by a hard link on a local file system, else by a
+rename that does not overwrite, which HDFS does in one step; a writer that was overtaken
+fails. (Object stores without such a rename need a committer of their own.) *Vacuum* deletes
+versions that were superseded longer ago than readers need, and shards that no kept version
+names.
 
 Defined results: rows are stored as they come, nulls and repeats included, whatever their
 columns; an empty table has a manifest without shards.
@@ -16,8 +23,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +36,10 @@ ARRIVAL_ROWS = 2_048
 TARGET_BYTES = 32 << 20
 BASE_BYTES = 1 << 19
 FAN_IN = 4
-#: Versions whose shards stay after a commit.
-KEEP_VERSIONS = 1
+#: Seconds for which a superseded version can still be read.
+RETAIN = 24 * 3600.0
+#: Shards that are merged at a time at most; the next round goes on with the rest.
+MERGE_SHARDS = 20_000
 MANIFEST = "shard string, path string, tier int, n_rows long, n_bytes long"
 
 
@@ -44,62 +55,88 @@ class ShardStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.path}/_manifests")
+    def _versions(self) -> dict[int, float]:
+        """Committed versions and when each was, in order."""
+        fs, p = self._fs(f"{self.path}/_versions")
         if not fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName()[1:9]) for s in fs.listStatus(p) if s.getPath().getName()[0] == "v")
+            return {}
+        found = ((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(p))
+        return dict(sorted((int(name[1:]), at) for name, at in found if name[0] == "v"))
+
+    def versions(self) -> list[int]:
+        return list(self._versions())
+
+    def _named(self, version: int) -> str:
+        """The manifest's path that a version's file names."""
+        fs, p = self._fs(f"{self.path}/_versions/v{version:010d}")
+        with_name = fs.open(p)
+        try:
+            return f"{self.path}/_manifests/{json.loads(bytes(with_name.readAllBytes()).decode())['manifest']}"
+        finally:
+            with_name.close()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """shard, path, tier, n_rows, n_bytes of the latest or a given version."""
-        version = self.versions()[-1] if version is None else version
-        return self.spark.read.schema(MANIFEST).json(f"{self.path}/_manifests/v{version:08d}.json")
-
-    def _tier(self, n_bytes: int) -> int:
-        return max(0, math.ceil(math.log(max(n_bytes, 1) / self.base, self.fan_in)))
-
-    def _listed(self, folder: str) -> list[tuple]:
-        """Manifest rows of a folder's files; row counts come from the files' footers."""
-        fs, p = self._fs(folder)
-        sizes = {s.getPath().toString(): s.getLen() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")}
-        if not sizes:
-            return []
-        counts = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"))
-        rows = {r["f"]: r["n"] for r in counts.collect()}  # one row a file
-        out = []
-        for path, size in sizes.items():
-            name = path.rpartition("/")[2]
-            if rows.get(name):
-                out.append((name.removesuffix(".parquet"), path, self._tier(size), rows[name], size))
-        return out
-
-    def _commit(self, rows: list[tuple], after: int) -> int:
-        """Write version after + 1 beside the others and rename it into place."""
-        staged = f"{self.path}/_manifests/.staged-{uuid.uuid4().hex}"
-        fs, src = self._fs(staged)
-        names = [c.split()[0] for c in MANIFEST.split(", ")]
+        return self.spark.read.schema(MANIFEST).parquet(self._named(self.versions()[-1] if version is None else version))
+
+    def _listed(self, folder: str) -> DataFrame:
+        """Manifest rows of a folder's files that hold rows."""
+        m = F.col("_metadata")
+        files = self.spark.read.parquet(folder).groupBy(m["file_name"].alias("shard"), m["file_path"].alias("path"), m["file_size"].alias("n_bytes")).agg(F.count("*").alias("n_rows"))
+        tier = F.greatest(F.lit(0), F.ceil(F.log(float(self.fan_in), F.col("n_bytes") / self.base) - 1e-9))
+        return files.select(F.regexp_replace("shard", r"\.parquet$", "").alias("shard"), "path", tier.cast("int").alias("tier"), "n_rows", "n_bytes")
+
+    def _commit(self, rows: DataFrame, after: int) -> int:
+        """Write the manifest of version after + 1, then make the version appear if it is not there."""
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/_manifests/{name}")
+        fs, src = self._fs(f"{self.path}/_versions/.staged-{name}")
         out = fs.create(src, False)
         try:
-            out.write(bytearray("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows), "utf-8"))
+            out.write(bytearray(json.dumps({"manifest": name}), "utf-8"))
         finally:
             out.close()
-        _, dst = self._fs(f"{self.path}/_manifests/v{after + 1:08d}.json")
-        if fs.exists(dst) or not fs.rename(src, dst):
-            fs.delete(src, True)
-            raise RuntimeError(f"version {after + 1} was committed by another writer")
+        _, dst = self._fs(f"{self.path}/_versions/v{after + 1:010d}")
+        try:
+            self._appear(fs, src, dst)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            manifests, p = self._fs(f"{self.path}/_manifests/{name}")
+            manifests.delete(p, True)
+            raise RuntimeError(f"version {after + 1} was committed by another writer") from e
+        finally:
+            fs.delete(src, False)
         return after + 1
 
-    def vacuum(self, keep: int = KEEP_VERSIONS) -> None:
-        """Delete versions before the last keep, and shards that no version left names."""
-        versions = self.versions()
-        named = {r["path"] for v in versions[-keep:] for r in self.manifest(v).collect()}
-        old = {r["path"] for v in versions[:-keep] for r in self.manifest(v).collect()}
-        for path in old - named:
-            fs, p = self._fs(path)
+    def _appear(self, fs, src, dst) -> None:
+        """Give src the name dst, in one step and only if nothing has it."""
+        jvm = self.spark._jvm
+        if fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(dst), local(src))
+            return
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), self.spark._jsc.hadoopConfiguration()).rename(src, dst, none)
+
+    def vacuum(self, retain: float = RETAIN) -> None:
+        """Delete versions superseded over retain seconds ago, and shards that no version left names."""
+        versions = self._versions()
+        numbers, now = list(versions), time.time()
+        old = [v for v, later in zip(numbers, numbers[1:]) if now - versions[later] >= retain]
+        if not old:
+            return
+        paths = lambda vs: self.spark.read.schema(MANIFEST).parquet(*map(self._named, vs)).select("path").distinct()
+        gone = paths(old).join(paths(numbers[len(old) :]), "path", "left_anti")
+        for r in gone.toLocalIterator():  # a partition at a time
+            fs, p = self._fs(r["path"])
             fs.delete(p, False)
-        for v in versions[:-keep]:
-            fs, p = self._fs(f"{self.path}/_manifests/v{v:08d}.json")
-            fs.delete(p, True)
+        for v in old:  # the version goes before its manifest, so none that is seen lacks one
+            manifest = self._named(v)
+            for path in (f"{self.path}/_versions/v{v:010d}", manifest):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
 
     # -- operations
 
@@ -108,34 +145,36 @@ class ShardStore:
         versions = self.versions()
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", arrival_rows).option("compression", "zstd").parquet(folder)
-        kept = [tuple(r) for r in self.manifest().collect()] if versions else []
-        return self._commit(kept + self._listed(folder), versions[-1] if versions else 0)
+        new = self._listed(folder)
+        return self._commit(self.manifest().unionByName(new) if versions else new, versions[-1] if versions else 0)
 
-    def compact(self) -> int:
+    def compact(self, retain: float = RETAIN) -> int:
         """Merge tiers that are full until none is; gives the last version."""
         while True:
             version = self.versions()[-1]
-            shards = self.manifest(version).where(F.col("n_bytes") < self.target // 2)
-            full = shards.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fan_in).orderBy("tier").collect()  # a row a tier
+            every = self.manifest(version)
+            small = every.where(F.col("n_bytes") < self.target // 2)
+            full = small.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fan_in).orderBy("tier").collect()  # a row a tier
             if not full:
                 return version
-            before = [tuple(r) for r in self.manifest(version).collect()]
-            every = {r[0]: r for r in before}
+            merged, new = [], []
             for tier in full:
-                old = [r for r in before if r[2] == tier["tier"] and r[4] < self.target // 2]
-                new = self._merge([r[1] for r in old], sum(r[4] for r in old))
-                for r in old:
-                    every.pop(r[0])
-                every |= {r[0]: r for r in new}
-            self._commit(list(every.values()), version)
-            self.vacuum()
-
-    def _merge(self, paths: list[str], n_bytes: int) -> list[tuple]:
-        """Rewrite shards as fewer files of about the target size."""
+                old = small.where(F.col("tier") == tier["tier"]).orderBy("path").limit(MERGE_SHARDS).select("path", "n_bytes").collect()  # bounded
+                merged += [r["path"] for r in old]
+                new.append(self._merge([r["path"] for r in old], sum(r["n_bytes"] for r in old)))
+            gone = self.spark.createDataFrame([(p,) for p in merged], "path string")
+            rows = every.join(gone, "path", "left_anti").select(*every.columns)
+            for folder in new:
+                rows = rows.unionByName(self._listed(folder))
+            self._commit(rows, version)
+            self.vacuum(retain)
+
+    def _merge(self, paths: list[str], n_bytes: int) -> str:
+        """Rewrite shards as fewer files of about the target size; gives their folder."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         files = max(1, math.ceil(n_bytes / self.target))
         self.spark.read.parquet(*paths).coalesce(files).write.option("compression", "zstd").parquet(folder)
-        return self._listed(folder)
+        return folder
 
     def read(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """Rows of a version with their shard's manifest row, as shard, tier, shard_rows, shard_bytes.
@@ -143,7 +182,7 @@ class ShardStore:
         Where the stored rows have such a column, the manifest's gets an underscore.
         """
         m = self.manifest(version)
-        paths = [r["path"] for r in m.select("path").collect()]
+        paths = [r["path"] for r in m.select("path").toLocalIterator()]  # Spark's reader takes its files as a list
         rows = self.spark.read.parquet(*paths) if paths else self.spark.range(0).select()
         if columns is not None:
             rows = rows.select("_metadata.file_name", *[c for c in columns if c in rows.columns]) if paths else rows
@@ -162,7 +201,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, scratch_path(spark, "store"))
     store.append(docs)
-    version = store.compact()
+    version = store.compact(retain=0)  # nothing else reads this store
     out = store.read(columns=["doc_id"])
     if "doc_id" not in out.columns:
         out = out.withColumn("doc_id", F.lit(None).cast("long"))
