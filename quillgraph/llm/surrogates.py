@@ -2,13 +2,21 @@
 
 Entities are found by pattern and check digit, and each is replaced by a keyed surrogate of
 its own type: digits stay digits, letters keep case and script, separators stay, card and
-account numbers keep valid check digits, titled names keep gender. A surrogate is a function
-of the key, the type and the entity in normal form, so every mention of an entity gets the
-same one. All distinct entities are checked for collisions, with one another and with
+account numbers keep valid check digits. A surrogate is a function of the key, the type and
+the entity in normal form, so every mention of an entity gets the same one. All distinct
+entities are checked for collisions in what the text will show, with one another and with
 entities that the corpus really holds; the losers draw again until none is left.
 
-Types: email, phone, ip, card, account (IBAN), ssn, name (after a title, of any
-number of parts, initials and particles).
+Types: email, phone, ip, card, account (IBAN), ssn, name (after a title, of any number of
+parts, initials and particles; in the same text also without the title, wherever the surname
+stands again).
+
+Names are replaced part by part, and a part gets one surrogate whatever title or other part
+stands beside it, so "Mr. John Smith", "Dr. Smith" and a later "Smith" remain one person. A
+part that is somewhere a surname looks like a surname; others are given names of the gender
+that the corpus' titles tell. Initials are drawn letter by letter and may coincide.
+
+The key is the session's ``spark.quillgraph.pii.key`` unless the caller gives one.
 
 Defined results: null text stays null with no entities; text without entities is returned
 as it is; repeated rows each get a row; the other columns are kept.
@@ -27,8 +35,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import cut, fresh, table
 
-KEY = b"quillgraph-demo-key"
-#: Colliding entities up to which their attempts are sent to every executor; beyond, joined.
+#: Where a session names its key, and the key of sessions that name none (tests, trials).
+KEY_SETTING, KEY = "spark.quillgraph.pii.key", b"quillgraph-demo-key"
+#: Entities drawn again up to which their surrogates are sent to every executor; beyond, joined.
 BROADCAST_ENTITIES = 100_000
 KINDS = ("email", "phone", "ip", "card", "account", "ssn", "name")
 
@@ -46,7 +55,10 @@ GIVEN = {
     ("cyrillic", "f"): "Алла Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so ta te to va ve vi".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
-ENDING = {("latin", "m"): "", ("latin", "f"): "", ("latin", "n"): "", ("cyrillic", "m"): "в", ("cyrillic", "f"): "ва", ("cyrillic", "n"): "в"}
+#: What a part of a name is, the first of several that a corpus shows: a surname, else a given name by gender.
+ROLES = {"s": "0", "f": "1", "m": "2", "n": "3"}
+#: Parts that stand after a surname and tell nothing.
+SUFFIXES = {"jr", "sr", "ii", "iii", "iv"}
 
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _LETTER, _UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-яё]"
@@ -70,6 +82,8 @@ _ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")
 _ANY = re.compile(r"[0-9@]").search
+_PARTS = re.compile(_PART).finditer
+_CAPITALISED = re.compile(rf"(?<!\w){_UPPER}(?:{_LETTER}|['’](?={_UPPER}))+").finditer
 
 
 def luhn(digits: str) -> bool:
@@ -150,15 +164,66 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in _NAME.finditer(text):
             name = m[3].removesuffix(".")  # the dot may end the sentence
             found.append((m.start(3), m.start(3) + len(name), "name", f"{TITLES[m[1]]}:{' '.join(name.split()).casefold()}"))
-    found.sort(key=lambda f: (f[0], f[2] == "card", -f[1]))
+    kept = apart(found)
+    named = [f for f in kept if f[2] == "name"]
+    return apart(kept + again(text, named)) if named else kept
+
+
+def apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Entities in order; of overlapping ones the first, the longer, cards last."""
     kept, end = [], 0
-    for f in found:
+    for f in sorted(found, key=lambda f: (f[0], f[2] == "card", -f[1])):
         if f[0] >= end:
             kept.append(f)
             end = f[1]
     return kept
 
 
+def name_parts(text: str, start: int, end: int, gender: str) -> list[tuple[int, int, str, str, str]]:
+    """Start, end, kind (part or initial), normal form and role of the parts of a name; particles stay."""
+    spaced = list(re.finditer(r"[^\x20]+", text[start:end]))
+    while len(spaced) > 1 and spaced[-1][0].rstrip(".").casefold() in SUFFIXES:
+        spaced.pop()
+    last = start + spaced[-1].start() if spaced else end
+    out = []
+    for m in _PARTS(text, start, end):
+        word = m[0].rstrip(".")
+        if m.start() > last and word.casefold() in SUFFIXES:
+            continue
+        kind = "initial" if len(word) == 1 or m[0] != word else "part"
+        out.append((m.start(), m.start() + len(word), kind, word.casefold(), ROLES["s" if m.start() >= last else gender]))
+    return out
+
+
+def again(text: str, named: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions without a title of the surnames among named, with given names of theirs before them."""
+    surnames: dict[str, str] = {}
+    given: set[str] = set()
+    for start, end, _, norm in named:
+        for a, b, kind, part, role in name_parts(text, start, end, norm[0]):
+            if kind == "part" and role == ROLES["s"] and b - a > 2:
+                surnames.setdefault(part, norm[0])
+            elif kind == "part":
+                given.add(part)
+    found, first = [], None
+    for m in _CAPITALISED(text):
+        word = m[0].casefold()
+        if word in surnames:
+            start = first[0] if first and text[first[1] : m.start()] == " " else m.start()
+            found.append((start, m.end(), "name", f"{surnames[word]}:{text[start : m.end()].casefold()}"))
+            first = None
+        elif word in given:
+            first = (first[0] if first and text[first[1] : m.start()] == " " else m.start(), m.end())
+        else:
+            first = None
+    return found
+
+
+def expand(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """What is replaced: the entities that find gives, names part by part, with the parts' roles."""
+    return [x for a, b, kind, norm in found for x in (name_parts(text, a, b, norm[0]) if kind == "name" else [(a, b, kind, norm, "")])]
+
+
 class Stream:
     """Numbers drawn from a keyed hash of (kind, normal form, attempt)."""
 
@@ -189,12 +254,15 @@ class Stream:
 SAME_LENGTH = {"email": 2, "phone": 8, "ip": 24, "card": 8, "account": 8, "ssn": 8}
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0, role: str = "") -> str:
     """The surrogate in normal form; surface() gives it a mention's format.
 
     The space to draw from grows with the attempt, so any set of entities gets distinct ones:
     names by a syllable each, the others, once their own form has been tried, in length.
+    role: of a name's part, as in ROLES.
     """
+    if kind == "initial":
+        return "".join(map(Stream(key, kind, norm, 0).letter, norm))
     s = Stream(key, kind, norm, attempt)
     more = max(0, attempt - SAME_LENGTH.get(kind, 0))
     digits = lambda n: "".join(str(s.draw(10)) for _ in range(n))
@@ -217,21 +285,22 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         body = "".join(map(s.letter, norm[4:] + "0" * more))
         check = 98 - int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return norm[:2] + f"{check:02d}" + body
-    gender, _, name = norm.partition(":")
-    script = "cyrillic" if "а" <= name[0] <= "я" or name[0] == "ё" else "latin"
-    last = "".join(SYLLABLES[script][s.draw(len(SYLLABLES[script]))] for _ in range(3 + attempt)).capitalize() + ENDING[script, gender]
-    if " " not in name and "-" not in name:
-        return f"{gender}:{last}".casefold()
-    pool = GIVEN[script, gender if gender != "n" else "mf"[s.draw(2)]]
-    return f"{gender}:{pool[s.draw(len(pool))]} {last}".casefold()
+    script = "cyrillic" if "а" <= norm[0] <= "я" or norm[0] == "ё" else "latin"
+    gender = {"1": "f", "2": "m", "3": "mf"[s.draw(2)]}.get(role, "")
+    if gender and not attempt:
+        pool = GIVEN[script, gender]
+        return pool[s.draw(len(pool))].casefold()
+    made = "".join(SYLLABLES[script][s.draw(len(SYLLABLES[script]))] for _ in range((2 if gender else 3) + attempt))
+    if script == "cyrillic":
+        feminine = gender == "f" or not gender and norm[-1] in "ая"
+        return made + ("на" if feminine else "н") if gender else made + ("ва" if feminine else "в")
+    return made + {"f": "na", "m": "n", "": ""}[gender]
 
 
 def surface(kind: str, mention: str, made: str) -> str:
     """A surrogate in the format of the mention it replaces."""
-    if kind == "name":
-        made = re.sub(r"\w+", lambda m: m[0].capitalize(), made.partition(":")[2])
-        made = made.replace(" ", "-") if "-" in mention and " " not in mention else made
-        return made.upper() if mention.isupper() and len(mention) > 1 else made
+    if kind in ("part", "initial"):
+        return made.upper() if mention.isupper() and (len(mention) > 1 or len(made) == 1) else made.capitalize()
     if kind == "email":
         return made.upper() if mention.isupper() else "".join(b.upper() if a.isupper() else b for a, b in zip(mention, made)) if len(mention) == len(made) else made
     if kind == "ip":
@@ -241,32 +310,35 @@ def surface(kind: str, mention: str, made: str) -> str:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, norm) over all whole texts."""
+    """Distinct (kind, norm) over all whole texts, with the first of their roles and whether there are more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(kind, norm) for t in batch.column(0) if t.is_valid for _, _, kind, norm in find(t.as_py())}
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], ["kind", "norm"])
+            texts = [t.as_py() for t in batch.column(0) if t.is_valid]
+            seen = {(kind, norm, role) for t in texts for _, _, kind, norm, role in expand(t, find(t)) if kind != "initial"}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["kind", "norm", "role"])
 
-    return docs.select("text").mapInArrow(scan, "kind string, norm string").distinct()
+    found = docs.select("text").mapInArrow(scan, "kind string, norm string, role string")
+    return found.groupBy("kind", "norm").agg(F.min("role").alias("role"), (F.min("role") != F.max("role")).alias("mixed"))
 
 
 def with_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     @F.pandas_udf("string")
-    def made(kind, norm, attempt):
+    def made(kind, norm, attempt, role):
         import pandas as pd
 
-        return pd.Series([surrogate(key, *x) for x in zip(kind, norm, attempt)], dtype=object)
+        return pd.Series([surrogate(key, *x) for x in zip(kind, norm, attempt, role)], dtype=object)
 
-    return found.withColumn("made", made("kind", "norm", "attempt"))
+    return found.withColumn("made", made("kind", "norm", "attempt", "role"))
 
 
 def settled(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, norm, attempt, made with no two entities alike and none that the corpus holds.
+    """kind, norm, role, mixed, attempt, made with no two entities alike and none that the corpus holds.
 
     Every round is written; the rounds end as the losers draw from a space that grows each time.
     """
     state = cut(with_surrogates(found.withColumn("attempt", F.lit(0)), key), "surrogates")
+    columns = [c for c in state.columns if c != "made"]
     while True:
         first = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         shared = first.where("n > 1").select("kind", "made", F.col("first.norm").alias("keeps"))
@@ -276,64 +348,74 @@ def settled(found: DataFrame, key: bytes) -> DataFrame:
         lost = cut(lost, "collisions")
         if lost.isEmpty():
             return state
-        again = state.join(lost, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
-        state = cut(state.join(lost, ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "made").unionByName(with_surrogates(again, key)), "surrogates")
+        redraw = state.join(lost, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1).select(columns)
+        state = cut(state.join(lost, ["kind", "norm"], "left_anti").select(*columns, "made").unionByName(with_surrogates(redraw, key)), "surrogates")
+
+
+MADE = "array<struct<kind:string,norm:string,made:string>>"
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with surrogates in text, plus pii_spans: array of kind:start:end in the old text."""
+    return swapped(docs, key, "pii_spans")
+
+
+def swapped(docs: DataFrame, key: bytes | None, spans_name: str | None) -> DataFrame:
+    """As replace_pii, under another name for the spans (which replace a column of that name), or without them."""
     spark = docs.sparkSession
-    redrawn = settled(cut(entities(docs), "entities"), key).where("attempt > 0").select("kind", "norm", "attempt")
-    n = redrawn.count()
-    again, swapped = fresh(docs.columns, "pii_again"), fresh(docs.columns, "pii_swap")
+    if key is None:
+        key = spark.conf.get(KEY_SETTING, "").encode() or KEY
+    # entities whose surrogate does not follow from a mention alone
+    odd = settled(cut(entities(docs), "entities"), key).where("attempt > 0 OR mixed").select("kind", "norm", "made")
+    n = odd.count()
+    own_name, done_name = fresh(docs.columns, "pii_own"), fresh(docs.columns, "pii_swap")
     if n <= BROADCAST_ENTITIES:
-        attempts = spark.sparkContext.broadcast({(r["kind"], r["norm"]): r["attempt"] for r in redrawn.collect()})
-        rows = docs.withColumn(again, F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
+        known = spark.sparkContext.broadcast({(r["kind"], r["norm"]): r["made"] for r in odd.collect()})
+        rows = docs.withColumn(own_name, F.lit(None).cast(MADE))
     else:
-        attempts = spark.sparkContext.broadcast({})
-        rows = _with_attempts(docs, redrawn, again)
+        known = spark.sparkContext.broadcast({})
+        rows = _with_own(docs, odd, own_name)
 
     @F.pandas_udf("struct<text:string,spans:array<string>>")
-    def swap(texts, redraws):
+    def swap(texts, owns):
         import pandas as pd
 
         out, spans = [], []
-        for text, more in zip(texts, redraws):
+        for text, more in zip(texts, owns):
             if text is None or text != text:
                 out.append(None)
                 spans.append([])
                 continue
-            own = {(x["kind"], x["norm"]): x["attempt"] for x in more} if more is not None else attempts.value
-            parts, at, places = [], 0, []
-            for start, end, kind, norm in find(text):
-                made = surrogate(key, kind, norm, own.get((kind, norm), 0))
+            own = {(x["kind"], x["norm"]): x["made"] for x in more} if more is not None else known.value
+            found = find(text)
+            parts, at = [], 0
+            for start, end, kind, norm, role in expand(text, found):
+                made = own.get((kind, norm)) or surrogate(key, kind, norm, 0, role)
                 parts += [text[at:start], surface(kind, text[start:end], made)]
-                places.append(f"{kind}:{start}:{end}")
                 at = end
             out.append("".join([*parts, text[at:]]) if parts else text)
-            spans.append(places)
+            spans.append([f"{kind}:{start}:{end}" for start, end, kind, _ in found])
         return pd.DataFrame({"text": pd.Series(out, dtype=object), "spans": spans})
 
-    done = rows.withColumn(swapped, swap("text", again))
-    kept = [F.col(swapped)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "pii_spans"]
-    return done.select(*kept, F.col(swapped)["spans"].alias("pii_spans"))
+    done = rows.withColumn(done_name, swap("text", own_name))
+    kept = [F.col(done_name)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != spans_name]
+    return done.select(*kept, *[F.col(done_name)["spans"].alias(x) for x in (spans_name,) if x])
 
 
-def _with_attempts(docs: DataFrame, redrawn: DataFrame, again: str) -> DataFrame:
-    """Where too many entities were drawn again to send them round: each text's own, joined."""
+def _with_own(docs: DataFrame, odd: DataFrame, own_name: str) -> DataFrame:
+    """Where too many surrogates would have to be sent round: each text's own, joined."""
 
     @F.pandas_udf("array<struct<kind:string,norm:string>>")
     def mentioned(texts):
         import pandas as pd
 
-        return pd.Series([[{"kind": k, "norm": n} for k, n in {(f[2], f[3]) for f in find(t)}] if isinstance(t, str) else [] for t in texts])
+        return pd.Series([[{"kind": k, "norm": n} for k, n in {(f[2], f[3]) for f in expand(t, find(t))}] if isinstance(t, str) else [] for t in texts])
 
     h = fresh(docs.columns, "pii_hash")
     keyed = docs.withColumn(h, F.xxhash64("text"))
-    own = keyed.select(h, F.explode(mentioned("text")).alias("m")).select(h, "m.kind", "m.norm").distinct().join(redrawn, ["kind", "norm"])
-    per_text = own.groupBy(h).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(again))
-    empty = F.array().cast("array<struct<kind:string,norm:string,attempt:int>>")
-    return keyed.join(per_text, h, "left").withColumn(again, F.coalesce(again, empty)).drop(h)
+    own = keyed.select(h, F.explode(mentioned("text")).alias("m")).select(h, "m.kind", "m.norm").distinct().join(odd, ["kind", "norm"])
+    per_text = own.groupBy(h).agg(F.collect_list(F.struct("kind", "norm", "made")).alias(own_name))
+    return keyed.join(per_text, h, "left").withColumn(own_name, F.coalesce(own_name, F.array().cast(MADE))).drop(h)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

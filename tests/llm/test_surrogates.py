@@ -41,13 +41,13 @@ def test_find_beside_other_words(text, want):
 
 
 def test_surrogates_keep_type_and_format():
-    for a, b, kind, norm in S.find(TEXT):
-        old, new = TEXT[a:b], S.surface(kind, TEXT[a:b], S.surrogate(b"k", kind, norm))
+    for a, b, kind, norm, role in S.expand(TEXT, S.find(TEXT)):
+        old, new = TEXT[a:b], S.surface(kind, TEXT[a:b], S.surrogate(b"k", kind, norm, 0, role))
         assert new != old
-        if kind not in ("name", "ip"):
+        if kind not in ("part", "ip"):
             assert re.sub(r"\d", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", new)))[:4] == re.sub(r"\d", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", old)))[:4]
             assert len(new) == len(old)
-        got = S.find(f" {new} ") if kind != "name" else [(0, 0, "name", "")]
+        got = S.find(f" {new} ") if kind != "part" else [(0, 0, "part", "")]
         assert [g[2] for g in got] == [kind], (old, new)
     same = [S.surrogate(b"k", k, n) for _, _, k, n in S.find(TEXT) if k in ("email", "card")]
     assert same[0] == same[1] and same[2] == same[3]
@@ -59,24 +59,24 @@ def test_more_entities_than_a_pool(spark, monkeypatch):
     monkeypatch.setattr(S, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба"]})
     real = S.surrogate
 
-    def limited(key, kind, norm, attempt=0):
+    def limited(key, kind, norm, attempt=0, role=""):
         if attempt > 40:
             raise AssertionError("no end of attempts")
-        return real(key, kind, norm, attempt)
+        return real(key, kind, norm, attempt, role)
 
     monkeypatch.setattr(S, "surrogate", limited)
-    found = [("name", f"m:name{i}") for i in range(40)] + [("name", f"f:имя{i}") for i in range(5)]
-    found += [("email", f"{c}@x.{t}") for t in ("com", "org") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("email", f"_@{c}.com") for c in "abcdefgh"]
-    got = S.settled(spark.createDataFrame(found, "kind string, norm string"), b"key").collect()
+    found = [("part", f"name{i}", "0123"[i % 4]) for i in range(60)] + [("part", f"имя{i}", "01"[i % 2]) for i in range(5)]
+    found += [("email", f"{c}@x.{t}", "") for t in ("com", "org") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("email", f"_@{c}.com", "") for c in "abcdefgh"]
+    got = S.settled(spark.createDataFrame([(*f, False) for f in found], "kind string, norm string, role string, mixed boolean"), b"key").collect()
     assert len(got) == len(found) == len({(r.kind, r.made) for r in got})
-    assert not {(r.kind, r.made) for r in got} & set(found)
+    assert not {(r.kind, r.made) for r in got} & {f[:2] for f in found}
 
 
 @pytest.mark.parametrize("attempt", [0, 9, 30])
 def test_longer_surrogates_reach_the_text(attempt):
-    for a, b, kind, norm in S.find(TEXT):
-        mention, made = TEXT[a:b], S.surrogate(b"k", kind, norm, attempt)
-        if kind not in ("name", "email", "ip"):
+    for a, b, kind, norm, role in S.expand(TEXT, S.find(TEXT)):
+        mention, made = TEXT[a:b], S.surrogate(b"k", kind, norm, attempt, role)
+        if kind not in ("part", "email", "ip"):
             assert "".join(c for c in S.surface(kind, mention, made) if c.isalnum()) == made.lstrip("+")
         if kind == "account":
             assert S.iban(made)
@@ -90,7 +90,7 @@ def test_documents(spark, monkeypatch, joined):
         monkeypatch.setattr(S, "BROADCAST_ENTITIES", 0)
         # a surrogate space so small that most entities collide at first
         real = S.surrogate
-        monkeypatch.setattr(S, "surrogate", lambda key, kind, norm, attempt=0: real(key, kind, norm, attempt) if kind != "ip" or attempt > 8 else f"10.0.0.{S.Stream(key, norm, attempt).draw(40)}")
+        monkeypatch.setattr(S, "surrogate", lambda key, kind, norm, attempt=0, role="": real(key, kind, norm, attempt, role) if kind != "ip" or attempt > 8 else f"10.0.0.{S.Stream(key, norm, attempt).draw(40)}")
     rows = [(i, f"from 9.8.7.{i} and {TEXT if i % 7 == 0 else 'no more'}", "pii_spans") for i in range(60)] + [(90, None, None), (91, "", None), (92, "clean text, no 12 numbers", None), (92, "clean text, no 12 numbers", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _h string")
     got = S.replace_pii(docs, b"key").orderBy("doc_id").collect()
@@ -105,3 +105,41 @@ def test_documents(spark, monkeypatch, joined):
         assert re.sub(r"^from \S+ ", "", new) == re.sub(r"^from \S+ ", "", by_id[i % 7 and 1].text)
     assert len(ips) == 60
     assert S.replace_pii(docs.limit(0), b"key").count() == 0
+
+
+def swapped_texts(spark, texts, key=b"key"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in S.replace_pii(docs, key).orderBy("doc_id").collect()]
+
+
+def test_one_person_keeps_one_name(spark):
+    """Titles, given names and initials beside a name, and mentions without a title, change nothing."""
+    got = swapped_texts(spark, ["Mr. John Smith and Dr. John Smith and Mr. Smith agreed. Smith left, John Smith too, SMITH. A smith stayed.", "Frau Smith-Meier met Mr. J. Smith Jr. here", "Smith is free text", "Mrs. Ann Smith"])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) and Dr\. (\w+) (\w+) and Mr\. (\w+) agreed\. (\w+) left, (\w+) (\w+) too, (\w+)\. A smith stayed\.", got[0])
+    given, last = m[1], m[2]
+    assert m.groups() == (given, last, given, last, last, last, given, last, last.upper()) and "Smith" not in got[0] and given in [x for x in S.GIVEN["latin", "m"]] + [given]
+    assert re.fullmatch(rf"Frau {last}-(\w+) met Mr\. [A-Z]\. {last} Jr\. here", got[1])
+    assert got[2] == "Smith is free text" and re.fullmatch(rf"Mrs\. \w+ {last}", got[3]) and given not in got[3]
+
+
+def test_names_stay_distinct_in_the_text(spark):
+    """Distinct names, under titles of every gender, show distinct surrogates; given names keep their gender."""
+    names = [f"{t} {a}{b}" for t in ("Mr.", "Mrs.", "Dr.") for a in ("Ka", "Lo", "Mi", "Nu") for b in (f"r{x}{y}" for x in "abcdefghij" for y in "klmnopqrst")]
+    got = swapped_texts(spark, [f"{n} spoke" for n in names])
+    old, new = {}, {}
+    for a, b in zip(names, got):
+        shown = b.split()[1]
+        assert old.setdefault(a.split()[1], shown) == shown and new.setdefault(shown, a.split()[1]) == a.split()[1]
+    assert not set(new) & set(old)
+    women = swapped_texts(spark, ["Mrs. Anna Kern", "г-жа Анна Петрова", "г-н Иван Петров"])
+    assert women[0].split()[1] in S.GIVEN["latin", "f"] and women[1].split()[1] in S.GIVEN["cyrillic", "f"] and women[1].endswith("ва") and women[2].endswith("в")
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org")], "doc_id long, text string")
+    default = S.replace_pii(docs).first().text
+    spark.conf.set(S.KEY_SETTING, "another")
+    try:
+        assert S.replace_pii(docs).first().text == S.replace_pii(docs, b"another").first().text != default
+    finally:
+        spark.conf.unset(S.KEY_SETTING)
