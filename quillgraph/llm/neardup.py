@@ -13,7 +13,11 @@ Jaccard similarity that also asks for equal order, found by banded bit-parallel
    (a matrix product) rule out most pairs; the rest are aligned, most alike first, and only
    until no pair is left whose members are still apart. What is written are the links of
    that forest, so output grows with members, and no link between parts is lost.
-4. Buckets of over ``BLOCK`` texts or ``BLOCK_BYTES`` are dealt as pairs of blocks.
+4. Buckets of over ``BLOCK`` texts or ``BLOCK_BYTES`` are dealt to blocks. Each member is first
+   aligned with ``STARS`` members of its bucket. Members that are then, over all buckets, in
+   one component need no more comparisons among themselves: only those outside a bucket's
+   largest component meet all others, block by block. A group of near copies of any size so
+   costs in proportion to its members.
 5. Links of all buckets are joined into components.
 
 Defined results: a document's class is the smallest doc_id of its component; texts without
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ SIMILARITY = 0.8
 SKETCHES = 12
 #: Texts, and bytes of shingles, of a block: a task holds two.
 BLOCK, BLOCK_BYTES = 1_536, 12 << 20
+#: Members of a crowded bucket that all others are aligned with first.
+STARS = 8
 #: Columns of the overlap matrix that are multiplied at a time.
 COLUMNS = 4_096
 WORD_CACHE = 150_000
@@ -211,12 +217,12 @@ def overlaps(seqs: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def bucket_links(seqs: list[np.ndarray], own: np.ndarray, least: float) -> list[tuple[int, int]]:
+def bucket_links(seqs: list[np.ndarray], own: np.ndarray, label: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links (by place) that join all members that similar pairs connect.
 
-    own: the members' blocks; if there are two, only pairs between them are looked at.
+    own: the members' sides; if there are two, only pairs between them are looked at.
+    label: members of one label are joined already.
     """
-    n = len(seqs)
     size = np.array([len(s) for s in seqs], dtype=np.float32)
     both = size[:, None] + size[None, :]
     overlap = overlaps(seqs)
@@ -226,7 +232,7 @@ def bucket_links(seqs: list[np.ndarray], own: np.ndarray, least: float) -> list[
     i, j = np.nonzero(likely)
     order = np.argsort(-(overlap[i, j] / (both[i, j] - overlap[i, j])), kind="stable")
     i, j = i[order], j[order]
-    part, links, at = np.arange(n), [], 0
+    part, links, at = np.unique(label, return_inverse=True)[1], [], 0
     while at < len(i):
         near = slice(at, at + 4096)
         apart = np.flatnonzero(part[i[near]] != part[j[near]])
@@ -255,39 +261,96 @@ def buckets(texts: DataFrame, sketches: int, block: int = BLOCK, block_bytes: in
     return each.select("bucket", "rid").join(once, "bucket")
 
 
-def linked(members: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """x, y: verified links between members of a bucket."""
-    own = F.pmod(F.xxhash64("rid", F.lit(1)), F.col("g")).cast("int")
-    met = members.join(seqs, "rid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rid", "seq")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["x", "y"])
+
+
+def linked(met: DataFrame, least: float) -> DataFrame:
+    """x, y: labels of members that verified links join.
+
+    met: bucket, p, q (which together are a task's), own (side), rid, label, seq.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush(out: list[tuple[int, int]]) -> None:
             if len(held) > 1:
-                found = bucket_links([np.frombuffer(h[5], np.uint32) for h in held], np.array([h[3] for h in held]), least)
-                out += [(held[i][4], held[j][4]) for i, j in found]
+                found = bucket_links([np.frombuffer(h[6], np.uint32) for h in held], np.array([h[3] for h in held]), np.array([h[5] for h in held]), least)
+                out += [(held[i][5], held[j][5]) for i, j in found]
             held.clear()
 
-        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["x", "y"])
-
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if held and row[:3] != held[0][:3]:
                     flush(out)
                 held.append(row)
-            yield batch_of(out)
+            yield _pairs(out)
         out = []
         flush(out)
-        yield batch_of(out)
+        yield _pairs(out)
 
-    dealt = met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "rid")
+    dealt = met.select("bucket", "p", "q", "own", "rid", "label", "seq").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "rid")
     return dealt.mapInArrow(verify, "x long, y long")
 
 
+def _dealt(n: str) -> Column:
+    return F.pmod(F.xxhash64("rid", F.lit(1)), F.col(n)).cast("int")
+
+
+def _every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def starred(crowded: DataFrame, seqs: DataFrame, least: float, stars: int) -> DataFrame:
+    """x, y: links between members of crowded buckets (bucket, g, rid) and the bucket's stars."""
+    h = F.xxhash64("rid", F.lit(2))
+    chosen = crowded.groupBy("bucket", "g", F.pmod(h, F.lit(stars)).cast("int").alias("star")).agg(F.min(F.struct(h.alias("h"), "rid"))["rid"].alias("rid"))
+    sent = chosen.join(seqs, "rid").select("bucket", _every("g").alias("own"), "star", "rid", "seq")
+    members = crowded.join(seqs, "rid").select("bucket", _dealt("g").alias("own"), F.lit(stars).alias("star"), "rid", "seq")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, centres = None, []
+        for batch in batches:
+            out = []
+            for bucket, own, star, rid, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if task != (bucket, own):
+                    task, centres = (bucket, own), []
+                seq = np.frombuffer(raw, np.uint32)
+                if star < stars:
+                    centres.append((rid, seq))
+                    continue
+                at = next((c for c in centres if c[0] == rid), None)
+                # a star looks for an earlier one, others for the first that is like them
+                for c in centres:
+                    if c is at:
+                        break
+                    if similar(seq, c[1], least):
+                        out.append((rid, c[0]))
+                        break
+            yield _pairs(out)
+
+    dealt = sent.unionByName(members).repartition("bucket", "own").sortWithinPartitions("bucket", "own", "star", "rid")
+    return dealt.mapInArrow(align, "x long, y long")
+
+
+def across(crowded: DataFrame, seqs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What linked takes: members outside the largest component of their crowded bucket, against all others.
+
+    labels: node, root of the components so far.
+    """
+    named = crowded.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "g", "rid", F.coalesce("root", "rid").alias("label"))
+    named = cut(named, "named")
+    sizes = named.groupBy("bucket", "g", "label").agg(F.count("*").alias("n")).groupBy("bucket", "g").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
+    # their blocks, f, are of the size that the g blocks of all are of
+    few = F.col("total") - F.col("m.n")
+    sizes = cut(sizes.where(few > 0).select("bucket", F.col("m.label").alias("most"), F.ceil(F.col("g") * few / F.col("total")).cast("int").alias("f")), "sizes")
+    met = named.join(sizes, "bucket").join(seqs, "rid")
+    few = met.where("label <> most").select("bucket", _dealt("f").alias("p"), _every("g").alias("q"), F.lit(0).alias("own"), "rid", "label", "seq")
+    return few.unionByName(met.select("bucket", _every("f").alias("p"), _dealt("g").alias("q"), F.lit(1).alias("own"), "rid", "label", "seq"))
+
+
 def sequences(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """rid, seq (4 bytes a shingle) of the wanted texts."""
 
@@ -321,22 +384,28 @@ def kept_documents(docs: DataFrame, least: float = SIMILARITY, sketches: int = S
     return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col(out), "left_anti")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, class_id, kept: a row for each row of docs; one row of a class is kept."""
-    return _classes(*with_rids(docs), least, sketches).drop("rid")
+    return _classes(*with_rids(docs), least, sketches, block, block_bytes).drop("rid")
 
 
-def _classes(rows: DataFrame, odd: bool, least: float, sketches: int) -> DataFrame:
+def _classes(rows: DataFrame, odd: bool, least: float, sketches: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid, doc_id, class_id, kept of rows (rid, doc_id, text)."""
     sketch = cut(sketched(rows, sketches), "sketches")
     classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rid"))
     # the sketch of a class is that of the document that stands for it
     texts = cut(sketch.select("rid", "n", "keys").join(classes.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]), "texts")
-    members = cut(buckets(texts, sketches), "members")
+    members = cut(buckets(texts, sketches, block, block_bytes), "members")
     wanted = members.select("rid").distinct()
     seqs = cut(sequences(rows, wanted, members.count()), "sequences")
     release(rows.sparkSession)
-    links = cut(linked(members, seqs, least), "links")
+    single = members.where("g = 1").join(seqs, "rid").select("bucket", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("own"), "rid", F.col("rid").alias("label"), "seq")
+    links = linked(single, least)
+    crowded = members.where("g > 1")
+    if not crowded.isEmpty():
+        known = components(cut(links.unionByName(starred(crowded, seqs, least, STARS)), "links"))
+        links = known.toDF("x", "y").unionByName(linked(across(crowded, seqs, known), least))
+    links = cut(links, "links")
     release(rows.sparkSession)
     roots = components(links).select(F.col("node").alias("rid"), "root")
     of_class = classes.join(roots, "rid", "left")

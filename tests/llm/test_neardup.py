@@ -58,13 +58,12 @@ def test_common_subsequence(band):
         assert N.common_subsequence(a, b, band) == lcs(a.tolist(), b.tolist())
 
 
-@pytest.mark.parametrize("block", [1536, 3])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "stars"), [(1536, 8), (3, 8), (5, 1)])
+def test_against_brute_force(spark, monkeypatch, block, stars):
     texts = [None, "", "?!", "...", *corpus(block, 150), "One, two", "one two", "ONE two three"]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, n int").repartition(5)
-    real = N.buckets
-    monkeypatch.setattr(N, "buckets", lambda t, s: real(t, s, block))
-    got = {r.doc_id: r for r in N.near_duplicates(docs).collect()}
+    monkeypatch.setattr(N, "STARS", stars)
+    got = {r.doc_id: r for r in N.near_duplicates(docs, block=block).collect()}
     assert [got[i].class_id for i in range(len(texts))] == brute(texts)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
@@ -82,7 +81,26 @@ def test_bucket_links_connect_what_pairs_connect():
     assert all(got[i, j] == exact[i][j] for i in range(8) for j in range(8) if i != j)
     for own in (np.zeros(60), np.arange(60) % 2):
         pairs = [(i, j) for i in range(60) for j in range(i) if N.similar(seqs[i], seqs[j]) and (not own.any() or own[i] != own[j])]
-        assert union_find(N.bucket_links(seqs, own, 0.8)) == union_find(pairs) and len(pairs) > 200
+        assert union_find(N.bucket_links(seqs, own, np.arange(60), 0.8)) == union_find(pairs) and len(pairs) > 200
+
+
+def test_crowded_bucket_of_chains(spark):
+    """A crowded bucket with one large group, a second one, and a bridge between them that no star is."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for k in range(42):  # near copies of one text, and of one that is less alike
+        w = base[:] if k < 28 else base[:176] + [f"c{j}" for j in range(24)]
+        w[rng.randrange(150)] = f"x{k}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base[:188] + [f"c{j}" for j in range(12)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute(texts)
+    for stars in (1, 8):
+        N.STARS, kept = stars, N.STARS
+        got = {r.doc_id: r.class_id for r in N.near_duplicates(docs, block=10).collect()}
+        N.STARS = kept
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_odd_rows(spark):
