@@ -4,38 +4,39 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.session import ship
+from quillgraph.session import shared_path, ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark alone so that any store Spark knows will do."""
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: The setting of how much text goes to Python at once, Spark's own value, and what this package asks for.
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+def prepared(spark: SparkSession) -> None:
+    """Ship the package, and keep batches to Python small unless the session says otherwise.
 
-    Where the session names none (tests, a laptop) one below the warehouse is set.
+    Executors hold a batch or two for each core outside their heap, and Python holds them again.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    ship(spark)
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_SETTING, BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, read by Spark alone so that any store Spark knows will do."""
+    prepared(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    ship(spark)
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    prepared(spark)
+    return shared_path(spark, name)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -41,8 +41,8 @@ END = 0
 BUCKETS, BUCKET_ROWS = 64, 200_000
 #: Signs that make one token run of their own after a word.
 SIGNS = string.punctuation
-#: Words whose ids a worker remembers at most (some 90 MB).
-CACHE_WORDS = 500_000
+#: Words whose ids a worker remembers at most (some 35 MB).
+CACHE_WORDS = 200_000
 
 
 def tokenizer_path() -> str:
