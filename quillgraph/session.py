@@ -13,9 +13,11 @@ _shipped: set[str] = set()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; below the warehouse where the session sets none."""
+    """A new path in spark.checkpoint.dir; below the warehouse where a session on one machine sets none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
