@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillgraph.plans import tables
+from quillgraph.plans import tables, trees
 
 D = "/root/testdata/sf0.001"
 
@@ -23,12 +23,15 @@ def norm(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", list(tables.QUERIES))
+QUERIES, ORACLES = tables.QUERIES | trees.QUERIES, tables.ORACLES | trees.ORACLES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = tables.QUERIES[name](spark, D)
+    df = QUERIES[name](spark, D)
     cols = sorted(df.columns)
     got = sorted(repr([norm(r[c]) for c in cols]) for r in df.collect())
-    sql = con.execute(tables.ORACLES[name])
+    sql = con.execute(ORACLES[name])
     names = [d[0] for d in sql.description]
     assert sorted(names) == cols
     assert got == sorted(repr([norm(dict(zip(names, r))[c]) for c in cols]) for r in sql.fetchall())
@@ -36,4 +39,4 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["p_partkey", "p_name", "p_size"]
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(tables.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
