@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--out", required=True)
     b.add_argument("--only", nargs="*")
     b.add_argument("--append", action="store_true")
+    b.add_argument("--clean", action="store_true", help="delete the stored graph first")
     b.add_argument("--validate", action="store_true")
     b.add_argument("--archives", nargs="*", help="archive caches (files-2.1 folders) in place of the build tool's own")
     b.add_argument("--prefixes", help="CSV with prefix, coordinate for imports that no archive owns")
@@ -52,7 +53,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from quillgraph.sources import corpus
 
     if args.command == "build":
-        files = corpus.tree(spark, args.root).unionByName(corpus.hidden(spark, args.root, ("CODEOWNERS", ".gitlab-ci.yml"))).cache()
+        if args.clean:
+            Graph.clear(spark, args.out)
+        files = corpus.tree(spark, args.root).unionByName(corpus.hidden(spark, args.root, ("CODEOWNERS", r"\.gitlab-ci.*\.ya?ml"))).cache()
         manual = args.prefixes and spark.read.csv(args.prefixes, header=True, schema="prefix string, coordinate string")
         usage = libraries.extractor(args.archives, f"{args.out}/_packages", f"{args.root}/gradle.lockfile", manual or None)
         graph, summary = registry.run(spark, files, args.only, extra={"lib_usage": usage})
@@ -72,7 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "cases":
             cases.select("id", "category", "scenario").orderBy("id").show(500, truncate=100)
         else:
-            compared = scoring.compare(cases, transcripts.results(transcripts.read_sessions(spark, args.sessions)))
+            compared = scoring.compare(cases, transcripts.results(transcripts.read_sessions(spark, args.sessions), transcripts.read_meta(spark, args.sessions)))
             report.save(compared, args.out)
             scoring.overall_report(compared).show(truncate=False)
     return 0

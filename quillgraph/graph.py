@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +61,10 @@ class Graph:
         return with_path.join(known, "path", "left").agg(F.count_if(F.col("ok")).alias("valid"), F.count_if(F.col("ok").isNull()).alias("invalid"))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """A Parquet folder for each frame. Appending merges nodes by key and edges by all columns."""
+        """A Parquet folder for each frame. Appending merges nodes by key and edges by all columns.
+
+        Overwriting leaves no frame of an earlier graph behind.
+        """
         old = None if mode == "overwrite" else Graph.read(self.spark, path)
         for name, df in self.frames.items():
             if old is not None and name in old.frames:
@@ -72,6 +76,18 @@ class Graph:
                 df.write.mode("overwrite").parquet(f"{path}/_next/{name}")
                 df = self.spark.read.parquet(f"{path}/_next/{name}")
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if old is None:
+            Graph.clear(self.spark, path, keep=self.frames)
+
+    @classmethod
+    def clear(cls, spark: SparkSession, path: str, keep: Iterable[str] = ()) -> None:
+        """Delete a stored graph's frames, but for those to keep; other folders stay."""
+        base = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        known = (set(model.LABELS) | set(model.EDGES)) - set(keep)
+        for s in fs.listStatus(base) if fs.exists(base) else []:
+            if s.getPath().getName() in known:
+                fs.delete(s.getPath(), True)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Graph:

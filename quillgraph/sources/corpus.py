@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,12 @@ def tree(spark: SparkSession, root: str, globs: Sequence[str] = ("*",)) -> DataF
     return files.select(F.substring(below, start, 1 << 20).alias("path"), F.decode(F.col("content"), "UTF-8").alias("content"))
 
 
-def hidden(spark: SparkSession, root: str, names: Sequence[str], most_bytes: int = 1 << 20) -> DataFrame:
-    """path and content of small files whose names begin with a dot, or that lie in such folders."""
+def hidden(spark: SparkSession, root: str, names: Sequence[str], most_bytes: int = 1 << 26) -> DataFrame:
+    """path and content of files whose names begin with a dot, or that lie in such folders.
+
+    names: patterns that a name matches whole. The driver reads these files, so one over
+    most_bytes is an error, not left out.
+    """
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,7 +37,9 @@ def hidden(spark: SparkSession, root: str, names: Sequence[str], most_bytes: int
         status = found.next()
         path = status.getPath().toString()
         rel = path[len(prefix) :]
-        if status.getLen() <= most_bytes and rel.rpartition("/")[2] in names and ("/." in f"/{rel}"):
+        if "/." in f"/{rel}" and any(re.fullmatch(n, rel.rpartition("/")[2]) for n in names):
+            if status.getLen() > most_bytes:
+                raise ValueError(f"{rel} has {status.getLen()} bytes, more than {most_bytes}")
             stream = fs.open(status.getPath())
             try:
                 rows.append((rel, bytes(stream.readAllBytes()).decode("utf-8", "replace")))

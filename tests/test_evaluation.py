@@ -1,6 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quillgraph import cli
+from quillgraph.graph import Graph
 from quillgraph.evaluation import report, scoring, transcripts
 
 NONE: list[str] = []
@@ -81,7 +84,12 @@ def test_transcripts(spark, tmp_path):
     a, b, d = got["one", "graph_assisted"], got["one", "tools_only"], got["two", "graph_assisted"]
     assert len(got) == 3 and a.answer_items == ["A", "B"] and a.unsupported_claims == ["c"] and a.tools == {"read": 2, "read_g_cypher": 1} and (a.graph_queries, a.file_reads, a.total_tool_calls) == (1, 2, 3)
     assert b.answer_items == ["Foo", "Bar", "Qux"] and b.tools == {"grep": 1, "shell": 2} and d.answer_items == ["In"]
-    assert a.total_tokens_in == int(len(TEXT) // 4 * 0.2)
+    assert a.total_tokens_in == int(len(TEXT) // 4 * 0.2) and transcripts.read_meta(spark, str(tmp_path / "s")).count() == 0
+    (tmp_path / "s" / "one_graph_assisted.meta.json").write_text('{"duration_ms": 1500.5, "model": "m"}')
+    timed = transcripts.results(transcripts.read_sessions(spark, str(tmp_path / "s")), transcripts.read_meta(spark, str(tmp_path / "s"))).collect()
+    assert {(r.test_case_id, r.method): r.wall_time_ms for r in timed} == {("one", "graph_assisted"): 1500, ("one", "tools_only"): None, ("two", "graph_assisted"): None}
+    nested = 'x {"answer_items": ["a {b}", "c"], "answer_summary": "```", "confidence": 1} y {"other": {"answer_items": 1}}'
+    assert spark.createDataFrame([(nested,), ("{" * 50,), (None,)], "t string").select(transcripts.last_answer(F.col("t")).alias("x")).select("x.answer_items").collect() == [(["a {b}", "c"],), (None,), (None,)]
     cases = [{"id": "one", "scenario": "s", "category": "ownership", "tags": ["t"], "ground_truth": {"expected_items": ["a"], "excluded_items": ["z"], "other": 1}}, {"id": "two", "category": "blast_radius", "ground_truth": {}}]
     (tmp_path / "cases.json").write_text(json.dumps(cases))
     read = {r.id: r for r in transcripts.read_cases(spark, str(tmp_path / "cases.json")).collect()}
@@ -102,3 +110,10 @@ def test_cli_build(spark, tmp_path, capsys):
     assert cli.main(["build", "--root", str(root), "--out", out, "--only", "gradle", "java", "infra_owners", "--validate"], spark) == 0
     assert cli.main(["stats", "--graph", out], spark) == 0 and cli.main(["ask", "class_owner", "--graph", out, "--set", "name=A"], spark) == 0
     assert "team" in capsys.readouterr().out
+    (root / ".gitlab-ci-extra.yaml").write_text("job:\n  script: [x]\n  rules:\n  - changes: ['a/**']\n")
+    assert cli.main(["build", "--root", str(root), "--out", out, "--only", "gradle", "gitlab_ci", "--clean"], spark) == 0
+    stored = Graph.read(spark, out)
+    assert "JavaClass" not in stored.frames and [r.from_id for r in stored.nodes("CI_TRIGGERED_BY").collect()] == ["job"]
+    stored.write(str(tmp_path / "copy"))
+    Graph(spark, {"Module": stored.nodes("Module")}).write(str(tmp_path / "copy"))
+    assert set(Graph.read(spark, str(tmp_path / "copy")).frames) == {"Module"}
