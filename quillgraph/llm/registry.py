@@ -1,8 +1,8 @@
-"""The ten operators' queries, by name, with SQL where SQL can express them."""
+"""The operators' queries, by name, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, licenses, neardup, packing, secrets, shards, suffixes, surrogates, vectors
+from quillgraph.llm import decontam, langid, licenses, merkle, neardup, packing, secrets, shards, suffixes, surrogates, vectors
 
 QUERIES = {
     "op6_shards": shards.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op4_secrets": secrets.query,
     "op10_decontam": decontam.query,
+    "op11_merkle": merkle.query,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_secrets": secrets.ORACLE_SQL,
     "op9_vectors": vectors.ORACLE_SQL,
     "op10_decontam": decontam.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
