@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, licenses, merkle, neardup, packing, secrets, shards, suffixes, surrogates, vectors
+from quillgraph.llm import decontam, langid, licenses, merkle, neardup, packing, pieces, secrets, shards, suffixes, surrogates, vectors
 
 QUERIES = {
     "op6_shards": shards.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_secrets": secrets.query,
     "op10_decontam": decontam.query,
     "op11_merkle": merkle.query,
+    "op12_pieces": pieces.query,
 }
 
 ORACLES = {
