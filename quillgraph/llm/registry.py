@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, licenses, merkle, neardup, packing, pieces, secrets, shards, suffixes, surrogates, vectors
+from quillgraph.llm import codes, decontam, langid, licenses, merkle, neardup, packing, pieces, secrets, shards, suffixes, surrogates, vectors
 
 QUERIES = {
     "op6_shards": shards.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontam": decontam.query,
     "op11_merkle": merkle.query,
     "op12_pieces": pieces.query,
+    "op13_codes": codes.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_vectors": vectors.ORACLE_SQL,
     "op10_decontam": decontam.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op13_codes": codes.ORACLE_SQL,
 }
