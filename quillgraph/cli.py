@@ -48,17 +48,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
     from quillgraph.evaluation import report, scoring, transcripts
-    from quillgraph.extract import libraries, registry
+    from quillgraph.extract import build, libraries, registry
     from quillgraph.graph import Graph
     from quillgraph.sources import corpus
 
     if args.command == "build":
         if args.clean:
             Graph.clear(spark, args.out)
-        files = corpus.tree(spark, args.root).unionByName(corpus.hidden(spark, args.root, ("CODEOWNERS", r"\.gitlab-ci.*\.ya?ml"))).cache()
+        files = corpus.tree(spark, args.root).unionByName(corpus.hidden(spark, args.root, ("CODEOWNERS", r"\.gitlab-ci.*\.ya?ml")))
         manual = args.prefixes and spark.read.csv(args.prefixes, header=True, schema="prefix string, coordinate string")
         usage = libraries.extractor(args.archives, f"{args.out}/_packages", f"{args.root}/gradle.lockfile", manual or None)
-        graph, summary = registry.run(spark, files, args.only, extra={"lib_usage": usage})
+        graph, summary = registry.run(spark, files, args.only, extra={"lib_usage": usage, "lib_transitivity": build.dependency_trees(args.root)})
         graph.write(args.out, "append" if args.append else "overwrite")
         summary.show(100, truncate=80)
         if args.validate:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import merge, resolve
+from quillgraph.operators import merge, outline, resolve
 from quillgraph.sources import corpus as C
 
 # Configurations that make a module dependency: those of the build tool's Java plugins. Projects name their own with configs=.
@@ -125,54 +127,42 @@ def external_libraries(files: DataFrame, graph: dict[str, DataFrame], configs: t
     return {"ExternalLibrary": libraries, "DEPENDS_ON_LIB": merge.merge_edges(uses.union(named), ends, libraries, "gradlePath", "coordinate")}
 
 
-def dependency_tree(files: DataFrame, graph: dict[str, DataFrame], pattern: str = r"dependency-tree.*\.txt") -> dict[str, DataFrame]:
+def tree_entries(lines: DataFrame) -> DataFrame:
+    """Lines of dependency texts with depth, name, opens and what they say: child, group, artifact, version.
+
+    The depth is the column of the branch sign, null on an empty line, which ends a tree.
+    Constraints and lines without a branch are left out; projects have no name and no child.
+    """
+    c = F.col
+    at = F.regexp_instr("line", F.lit(r"[+\\]--- "))
+    said = lines.withColumn("at", at).where((c("at") > 0) | c("line").rlike(r"^\s*$")).withColumn("entry", F.trim(F.substring(c("line"), c("at") + 5, F.length("line"))))
+    said = said.where((c("at") == 0) | ~c("entry").endswith("(c)")).withColumn("entry", F.regexp_replace("entry", r"\s*\((?:\*|n)\)\s*$", ""))
+    first = F.substring_index("entry", " -> ", 1)
+    said = said.withColumns({"chosen": F.trim(F.substring(c("entry"), F.length(first) + 5, F.length("entry"))), "parts": F.split(F.trim(first), ":")})
+    library = (c("at") > 0) & ~c("entry").startswith("project ") & ((F.size("parts") >= 3) | ((c("chosen") != "") & (F.size("parts") >= 2)))
+    part = lambda k: F.get("parts", F.lit(k))
+    said = said.withColumn("child", F.when(library, coordinate(part(0), part(1))))
+    version = F.when(c("chosen") != "", c("chosen")).otherwise(F.coalesce(part(2), F.lit("")))
+    return said.select("path", "chunk", F.when(c("at") > 0, c("at")).alias("depth"), c("child").alias("name"), F.lit(True).alias("opens"), "child", part(0).alias("group"), part(1).alias("artifact"), version.alias("version"))
+
+
+def dependency_tree(files: DataFrame, graph: dict[str, DataFrame], pattern: str = r"dependency-tree.*\.txt", lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """LIB_DEPENDS_ON and libraries the tree alone mentions, from indented dependency texts.
 
-    A line's depth is the column of its branch sign. Its parent is the nearest line above
-    that is shallower and names a library; projects are transparent, constraints skipped.
+    A line's parent is the nearest line above that is shallower and names a library; projects
+    are transparent, constraints skipped. lines, as of corpus.text_lines(), take the place of
+    files, so that one text of any size is read by all cores.
     """
-    trees = C.named(files, pattern)
-
-    def parse(batches):
-        import re
-
-        import pandas as pd
-
-        branch = re.compile(r"[+\\]--- ")
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                stack: list[tuple[int, str | None]] = []
-                for line in (content or "").splitlines():
-                    m = branch.search(line)
-                    if not m:
-                        if not line.strip():
-                            stack.clear()
-                        continue
-                    entry = line[m.end() :].strip()
-                    if entry.endswith("(c)"):
-                        continue
-                    entry = re.sub(r"\s*\((?:\*|n)\)\s*$", "", entry)
-                    while stack and stack[-1][0] >= m.start():
-                        stack.pop()
-                    if entry.startswith("project "):
-                        stack.append((m.start(), None))
-                        continue
-                    name, _, chosen = entry.partition(" -> ")
-                    parts = name.strip().split(":")
-                    if len(parts) < 3 and not (chosen and len(parts) >= 2):
-                        continue
-                    key = f"{parts[0]}:{parts[1]}"
-                    version = chosen.strip() or (parts[2] if len(parts) > 2 else "")
-                    parent = next((k for _, k in reversed(stack) if k), None)
-                    out.append((parent, key, parts[0], parts[1], version))
-                    stack.append((m.start(), key))
-            yield pd.DataFrame(out, columns=["parent", "child", "group", "artifact", "version"])
-
-    seen = trees.mapInPandas(parse, "parent string, child string, group string, artifact string, version string")
+    lines = C.lines_of(C.named(files, pattern)) if lines is None else lines
+    seen = outline.parents(tree_entries(lines)).where("child IS NOT NULL").select("parent", "child", "group", "artifact", "version")
     known = graph["ExternalLibrary"]
     mentioned = resolve.elect(seen, "child", resolve.version_key(F.col("version")).desc())
     new = mentioned.join(known.select(F.col("coordinate").alias("child")), "child", "left_anti").select(F.col("child").alias("coordinate"), "group", "artifact", F.col("version").alias("latestVersion"), F.col("artifact").alias("name"), F.lit("").alias("catalogAlias"))
     libraries = known.unionByName(new, allowMissingColumns=True)
     edges = seen.where("parent IS NOT NULL AND parent <> child").select(F.col("parent").alias("from_id"), F.col("child").alias("to_id"))
     return {"ExternalLibrary": libraries, "LIB_DEPENDS_ON": merge.merge_edges(edges, libraries, libraries, "coordinate", "coordinate")}
+
+
+def dependency_trees(root: str, pattern: str = r"dependency-tree.*\.txt") -> Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]]:
+    """dependency_tree() as an extractor that reads the texts below root in splits."""
+    return lambda files, graph: dependency_tree(files, graph, lines=C.text_lines(files.sparkSession, root, pattern))

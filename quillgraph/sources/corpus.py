@@ -9,17 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _below(spark: SparkSession, root: str) -> Column:
+    """A file's path below root, from the metadata alone."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    start = len(base.replace("file:///", "file:/")) + 2
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.substring(F.regexp_replace(whole, "^file:/+", "file:/"), start, 1 << 20)
+
+
 def tree(spark: SparkSession, root: str, globs: Sequence[str] = ("*",)) -> DataFrame:
     """path (relative to root) and content (text) of the files below root that match a glob.
 
-    Hidden files, which Spark's readers pass over, are added by hidden().
+    The path comes from the files' metadata, so a condition on it is decided on the listing:
+    a file that fails it is not opened. Each extractor reads its own files therefore, and
+    nobody those that none asks for. Hidden files, which Spark's readers pass over, are added
+    by hidden().
     """
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(globs) + "}").load(root)
-    below = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
-    start = len(base.replace("file:///", "file:/")) + 2
-    return files.select(F.substring(below, start, 1 << 20).alias("path"), F.decode(F.col("content"), "UTF-8").alias("content"))
+    return files.select(_below(spark, root).alias("path"), F.decode(F.col("content"), "UTF-8").alias("content"))
+
+
+def text_lines(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
+    """path, chunk, line of the files below root whose name matches a pattern whole, of any size.
+
+    A large file is read in splits, by all cores; chunk is where a split begins. The rows of a
+    chunk stand in the file's order as long as they are not shuffled.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(root)
+    return named(read.select(_below(spark, root).alias("path"), F.col("_metadata.file_block_start").alias("chunk"), F.col("value").alias("line")), *patterns)
 
 
 def hidden(spark: SparkSession, root: str, names: Sequence[str], most_bytes: int = 1 << 26) -> DataFrame:
@@ -101,6 +119,11 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", r"\r\n|\n|\r", -1)).alias("k", "line")).select("path", (F.col("k") + 1).alias("line_no"), "line")
 
 
+def lines_of(files: DataFrame) -> DataFrame:
+    """text_lines() of files that are at hand whole: each is one chunk."""
+    return lines(files).select("path", F.lit(0).cast("long").alias("chunk"), "line")
+
+
 def is_comment(line: Column) -> Column:
     return line.rlike(r"^\s*(?://|/\*|\*)")
 
