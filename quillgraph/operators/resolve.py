@@ -31,12 +31,14 @@ def longest_prefix(left: DataFrame, path: str, owners: DataFrame, owner_path: st
 def raw_prefix(left: DataFrame, name: str, table: DataFrame, prefix: str, value: str) -> DataFrame:
     """The value of the longest entry that name begins with, ending at a segment's end.
 
-    For hand-made tables of bounded size, which are sent to every executor.
+    An entry that ends in a dot wants more segments. Names' leading runs of segments are
+    equi-joined with the entries, so no name meets every entry.
     """
-    t = F.broadcast(table.select(F.col(prefix).alias("_p"), F.col(value).alias("_v")))
+    entry = table.select(F.regexp_replace(prefix, r"\.$", "").alias("_prefix"), F.col(prefix).endswith(".").alias("_more"), F.length(prefix).alias("_n"), F.col(value).alias("_v")).where(F.col(prefix) != "")
     tagged = left.withColumn("_row", F.monotonically_increasing_id())
-    hit = (F.col(name) == F.col("_p")) | F.col(name).startswith(F.concat("_p", F.when(F.col("_p").endswith("."), "").otherwise(".")))
-    best = tagged.join(t, hit).groupBy("_row").agg(F.max(F.struct(F.length("_p").alias("n"), F.col("_v").alias("v"))).alias("_best"))
+    tries = tagged.select("_row", F.col(name).alias("_name"), F.explode(prefixes(F.col(name), ".")).alias("_prefix"))
+    hit = tries.join(entry, "_prefix").where(~F.col("_more") | (F.length("_name") > F.length("_prefix")))
+    best = hit.groupBy("_row").agg(F.max(F.struct(F.col("_n").alias("n"), F.col("_v").alias("v"))).alias("_best"))
     return tagged.join(best, "_row").withColumn(value, F.col("_best")["v"]).drop("_row", "_best")
 
 
