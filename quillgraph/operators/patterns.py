@@ -20,10 +20,19 @@ def listed(col: str | Column, most: int | None = None, distinct: bool = True, se
     return F.array_join(collected(col, most, distinct), sep)
 
 
+def first_lists(pairs: DataFrame, key: str, value: str, most: int, name: str) -> DataFrame:
+    """key and a sorted list of its least distinct values, at most so many.
+
+    The rank is cut off before the shuffle and again after it (Spark's window group limit,
+    for up to a thousand values), so no task sends or gathers more than most values of a key.
+    """
+    once = pairs.where(F.col(value).isNotNull()).select(key, value).distinct().withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(value))).where(F.col("_k") <= most)
+    return once.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
 def first_values(pairs: DataFrame, key: str, value: str, most: int, name: str, sep: str = "|") -> DataFrame:
-    """The least values of each key as text; of a large group only so many are ever gathered."""
-    ranked = pairs.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(value))).where(F.col("_k") <= most)
-    return ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(value)), sep).alias(name))
+    """The least distinct values of each key as text, of first_lists()."""
+    return first_lists(pairs, key, value, most, name).withColumn(name, F.array_join(name, sep))
 
 
 def optional_branches(base: DataFrame, key: str, **branches: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ rows of their own; only the operators that say so collapse them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.session import shared_path
@@ -58,30 +58,83 @@ def reach(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> Dat
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again."""
-    path = shared_path(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return counted(df)[0]
 
 
-def closure(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """start, node, depth of everything reachable (over most edges at most), cycles included; ends when nothing is new.
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """kept(), and the number of rows, which the write has seen."""
+    path, seen = shared_path(df.sparkSession, "round"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+#: Rounds whose rows are kept apart until they go to the bucketed table.
+RECENT = 16
+
 
-    Each round's frontier is written to the shared folder, so lineage stays one round deep
-    and a lost executor costs no recomputation.
+class Bucketed:
+    """Rows of many rounds in one table of the shared folder, bucketed by key and appended to.
+
+    A join on the key reads the buckets where they lie: only the other side is shuffled.
     """
-    pairs = kept(edges.select("src", "dst").distinct())
-    seeds = starts.select(F.col("id").alias("start")).distinct()
-    frontier = kept(seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth")))
-    parts, depth = [], 1
-    while not frontier.isEmpty():
-        parts.append(frontier)
+
+    def __init__(self, spark: SparkSession, keys: Sequence[str]):
+        self.spark, self.keys, self.path = spark, list(keys), shared_path(spark, "seen")
+        self.name, self.schema = f"quillgraph_{self.path[-32:]}", None
+
+    def append(self, rows: DataFrame) -> None:
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.schema = rows.schema
+        # dealt out by the key already, so each task writes its own buckets
+        dealt = rows.repartition(buckets, *self.keys)
+        dealt.write.bucketBy(buckets, *self.keys).sortBy(*self.keys).mode("append").option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def closed(self) -> DataFrame:
+        """The rows by their files; the table's name goes."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def rounds(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """first and what step(rows of the last round, depth) adds to it, as long as keys are new.
+
+    Every round is written, so lineage stays one round deep and a lost executor repeats no
+    earlier one. What a round shuffles follows its own rows and those of the RECENT rounds
+    before it; all earlier ones lie in a bucketed table.
+    """
+    old, recent, depth = Bucketed(first.sparkSession, keys), [], 1
+    rows, n = counted(first)
+    while n:
+        recent.append(rows)
         if depth == most:
             break
+        if len(recent) == RECENT:
+            old.append(reduce(DataFrame.unionByName, recent))
+            recent = []
         depth += 1
-        seen = reduce(DataFrame.unionByName, parts).select("start", "node")
-        step = frontier.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct()
-        frontier = kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, parts) if parts else frontier
+        found = step(rows, depth)
+        if recent:
+            found = found.join(reduce(DataFrame.unionByName, recent).select(*keys), list(keys), "left_anti")
+        if old.schema is not None:
+            found = found.join(old.rows().select(*keys), list(keys), "left_anti")
+        rows, n = counted(found)
+    parts = [*([old.closed()] if old.schema is not None else []), *recent]
+    return reduce(DataFrame.unionByName, parts) if parts else rows
+
+
+def closure(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """start, node, depth of everything reachable (over most edges at most), cycles included; ends when nothing is new."""
+    pairs = kept(edges.select("src", "dst").distinct())
+    seeds = starts.select(F.col("id").alias("start")).distinct()
+    first = seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
+
+    def step(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+
+    return rounds(first, step, ["start", "node"], most)
 
 
 def paths(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> DataFrame:
@@ -101,6 +154,82 @@ def paths(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
+class PathGraph:
+    """The paths of up to most edges from starts, kept as layers of edges and not one by one.
+
+    layers[d - 1] has src, dst and edge_id of the edges that can be the d-th of a path, so what
+    is stored grows with edges and depth, whatever the number of paths. Paths are counted by
+    summing over layers; they are written out on demand, up to a stated number.
+    """
+
+    def __init__(self, starts: DataFrame, edges: DataFrame, most: int):
+        e = edges.select("src", "dst", "edge_id")
+        self.starts, self.most, self.layers = kept(starts.select(F.col("id").alias("start")).distinct()), most, []
+        here = self.starts.select(F.col("start").alias("src"))
+        for _ in range(most):
+            layer, n = counted(e.join(here, "src", "left_semi"))
+            if not n:
+                break
+            self.layers.append(layer)
+            here = layer.select(F.col("dst").alias("src")).distinct()
+
+    def edges(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.layers).distinct()
+
+    def counts(self) -> DataFrame:
+        """start, depth, n_paths (decimal): how many paths of that many edges leave a start; none is 0 and has no row.
+
+        A path repeats no edge, as in paths(). Where no cycle is in reach, each walk is a path,
+        and the walks of one length are the sum of those one shorter over the next nodes. The
+        other starts, those that can come to a cycle, have their paths counted one by one.
+        """
+        if not self.layers:
+            return self.starts.select("start", F.lit(1).alias("depth"), F.lit(0).cast("decimal(38,0)").alias("n_paths")).limit(0)
+        e = kept(self.edges())
+        looping = self._before_cycles(e)
+        free = self.starts if looping is None else self.starts.join(looping.withColumnRenamed("node", "start"), "start", "left_anti")
+        n, found = None, []
+        steps = e.groupBy("src", "dst").agg(F.count("*").cast("decimal(38,0)").alias("m"))
+        for depth in range(1, len(self.layers) + 1):
+            way = steps.withColumn("k", F.col("m")) if n is None else steps.join(n.withColumnRenamed("src", "dst"), "dst").withColumn("k", (F.col("m") * F.col("n")).cast("decimal(38,0)"))
+            n = kept(way.groupBy("src").agg(F.sum("k").cast("decimal(38,0)").alias("n")))
+            found.append(free.join(n.withColumnRenamed("src", "start"), "start").select("start", F.lit(depth).alias("depth"), F.col("n").alias("n_paths")))
+        if looping is not None:
+            one_by_one = paths(self.starts.join(looping.withColumnRenamed("node", "start"), "start", "left_semi").select(F.col("start").alias("id")), e, self.most)
+            found.append(one_by_one.groupBy("start", "depth").agg(F.count("*").cast("decimal(38,0)").alias("n_paths")))
+        return reduce(DataFrame.unionByName, found)
+
+    def _before_cycles(self, e: DataFrame) -> DataFrame | None:
+        """Nodes from which a cycle can be reached in the layers; None if there is none.
+
+        Nodes without an edge in or without one out are peeled off until all have both; what
+        is left holds every cycle (and what lies between cycles).
+        """
+        left, n = counted(e.select("src", "dst").distinct())
+        while n:
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            inner, m = counted(inner.select("src", "dst"))
+            if m == n:
+                break
+            left, n = inner, m
+        if not n:
+            return None
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        for _ in range(self.most):
+            nodes = nodes.unionByName(e.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))).distinct()
+        return kept(nodes)
+
+    def total(self) -> int:
+        return int(self.counts().agg(F.sum("n_paths")).first()[0] or 0)
+
+    def listed(self, bound: int) -> DataFrame:
+        """All paths, as of paths(); an error, before any is written, if there are more than bound."""
+        if (n := self.total()) > bound:
+            raise ValueError(f"{n} paths, more than {bound}")
+        e = self.edges() if self.layers else self.starts.sparkSession.createDataFrame([], "src string, dst string, edge_id string")
+        return paths(self.starts.select(F.col("start").alias("id")), e, self.most)
+
+
 def degrees(edges: DataFrame, end: str, other: str) -> DataFrame:
     """node, n_edges (parallel ones counted each), n_neighbours."""
     return edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n_edges"), F.countDistinct(other).alias("n_neighbours"))
@@ -120,17 +249,14 @@ def without_incoming(nodes: DataFrame, edges: DataFrame, key: str = "id") -> Dat
 def nearest_supertypes(direct: DataFrame) -> DataFrame:
     """start, node, depth, bfs: supertypes nearest first; siblings in order of name.
 
-    bfs is the least path of names that leads there, which orders nodes of one depth. Every
-    round is written, as in closure.
+    bfs is the least path of names that leads there, which orders nodes of one depth.
     """
     pairs = kept(direct.select("src", "dst").distinct())
-    frontier = kept(pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).where("start <> node"))
-    parts, depth = [frontier], 1
-    while not frontier.isEmpty():
-        depth += 1
-        seen = reduce(DataFrame.unionByName, parts).select("start", "node")
-        step = frontier.select("start", F.col("node").alias("src"), "bfs").join(pairs, "src")
-        step = step.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
-        frontier = kept(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), "bfs"))
-        parts.append(frontier)
-    return reduce(DataFrame.unionByName, parts)
+    first = pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).where("start <> node")
+
+    def step(rows: DataFrame, depth: int) -> DataFrame:
+        found = rows.select("start", F.col("node").alias("src"), "bfs").join(pairs, "src")
+        found = found.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
+        return found.select("start", "node", F.lit(depth).alias("depth"), "bfs")
+
+    return rounds(first, step, ["start", "node"])

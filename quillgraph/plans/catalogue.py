@@ -59,7 +59,7 @@ def table_impact(g: Graph, name: str, most: int = 10) -> DataFrame:
     maps = g.edges("MAPS_TO").select(c("src").alias("fqn"), c("dst").alias("table"))
     entities = maps.join(_classes(g, "name"), "fqn").groupBy("table").agg(patterns.collected("name").alias("entities"))
     used = maps.join(g.edges("IMPORTS").select(c("dst").alias("fqn"), c("src").alias("consumer")), "fqn").join(_classes(g, "name", "isTest").withColumnRenamed("fqn", "consumer").where("isTest = false"), "consumer")
-    consumers = used.groupBy("table").agg(patterns.collected("name", most).alias("topConsumers"))
+    consumers = patterns.first_lists(used, "table", "name", most, "topConsumers")
     return _filled(patterns.optional_branches(t, "table", children=children, entities=entities, consumers=consumers), "childTables", "entities", "topConsumers")
 
 
@@ -283,7 +283,7 @@ def library_closure(g: Graph, coordinate: str, depth: int = 3) -> DataFrame:
 
 
 @question
-def implementors(g: Graph, name: str) -> DataFrame:
-    """Classes that implement an interface, with their modules."""
+def implementors(g: Graph, name: str, rels: Sequence[str] = ("IMPLEMENTS",)) -> DataFrame:
+    """Classes that implement an interface (or, with EXTENDS, extend a class), with their modules."""
     face = _named(g, "JavaClass", name).select(c("id").alias("dst"))
-    return g.edges("IMPLEMENTS").join(face, "dst", "left_semi").join(_classes(g, "name", "module").withColumnRenamed("fqn", "src"), "src").select("name", "module")
+    return g.edges(*rels).join(face, "dst", "left_semi").join(_classes(g, "name", "module").withColumnRenamed("fqn", "src"), "src").select("name", "module")

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.session import ship
+
 
 class Overlay:
     """Lazy frames over one folder of tables; every method scans only what it needs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

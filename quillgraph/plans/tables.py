@@ -101,6 +101,15 @@ def q_include_paths(g: Overlay) -> DataFrame:
     return found.select("start", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path"), "depth")
 
 
+@query(f"""WITH {_TYPED}, p2 AS (SELECT a.src AS start, a.dst AS a, b.dst AS b, a.rel AS r FROM typed a JOIN typed b ON b.src = a.dst),
+p3 AS (SELECT start FROM p2 JOIN typed e ON e.src = b WHERE NOT (b = start AND e.dst = a AND e.rel = r))
+SELECT src AS start, 1 AS depth, count(*) AS n_paths FROM typed GROUP BY 1 UNION ALL SELECT start, 2, count(*) FROM p2 GROUP BY 1 UNION ALL SELECT start, 3, count(*) FROM p3 GROUP BY 1""")
+def q_path_counts(g: Overlay) -> DataFrame:
+    """How many paths of each length leave every part, without writing them out."""
+    edges = g.typed_next_part().withColumn("edge_id", F.concat_ws(":", "src", "dst", "rel"))
+    return traverse.PathGraph(edges.select(F.col("src").alias("id")), edges, 3).counts().select("start", "depth", F.col("n_paths").cast("long").alias("n_paths"))
+
+
 @query(f"""WITH {_NEXT} SELECT a.src AS a, a.dst AS b FROM next_part a JOIN next_part b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
 def q_mutual_dependencies(g: Overlay) -> DataFrame:
     return traverse.mutual(g.next_part())

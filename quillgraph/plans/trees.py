@@ -297,7 +297,7 @@ def q_extract_groovy_tests(g: Tree) -> DataFrame:
 # -- documented questions over the extracted graph
 
 
-@query(f"{_DEPENDS} SELECT split_part(from_id, ':', 3) AS a, split_part(to_id, ':', 3) AS b FROM (SELECT x.from_id, x.to_id FROM d x JOIN d y ON x.from_id = y.to_id AND x.to_id = y.from_id WHERE x.from_id < x.to_id GROUP BY ALL)")
+@query(f"{_DEPENDS} SELECT DISTINCT split_part(x.from_id, ':', 3) AS a, split_part(x.to_id, ':', 3) AS b FROM d x JOIN d y ON x.from_id = y.to_id AND x.to_id = y.from_id WHERE split_part(x.from_id, ':', 3) < split_part(x.to_id, ':', 3)")
 def q_question_circular_modules(g: Tree) -> DataFrame:
     return _modules(g).query("circular_modules").distinct()
 
@@ -305,6 +305,4 @@ def q_question_circular_modules(g: Tree) -> DataFrame:
 @query(f"WITH {_C} SELECT DISTINCT 'Part' || p AS name FROM c WHERE parent = 'acme.m3.Part3'")
 def q_question_subclasses(g: Tree) -> DataFrame:
     """Classes directly below one."""
-    frames = g.classes()
-    below = frames["EXTENDS"].where("to_id = 'acme.m3.Part3'").select(F.col("from_id").alias("fqn"))
-    return frames["JavaClass"].join(below, "fqn", "left_semi").select("name")
+    return Graph(g.spark, g.classes()).query("implementors", name="Part3", rels=("EXTENDS",)).select("name")
