@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quillgraph import model
 from quillgraph.operators import merge, patterns
+from quillgraph.sources.snapshots import BUCKETS, Conflict, Snapshots
+
+#: How often a merge is done anew because another writer was faster.
+TRIES = 5
 
 
 class Graph:
@@ -60,43 +63,48 @@ class Graph:
         known = files.select("path", F.lit(True).alias("ok")).distinct()
         return with_path.join(known, "path", "left").agg(F.count_if(F.col("ok")).alias("valid"), F.count_if(F.col("ok").isNull()).alias("invalid"))
 
-    def write(self, path: str, mode: str = "overwrite") -> None:
-        """A Parquet folder for each frame. Appending merges nodes by key and edges by all columns.
+    def write(self, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> int:
+        """Store the graph as a new version; gives its number.
 
-        Overwriting leaves no frame of an earlier graph behind.
+        Appending merges nodes by key and edges by all columns, bucket by bucket: buckets that no
+        new row falls in are not read. Readers see the version before until all frames are
+        written. If another writer was faster, the merge is done again on what it left.
         """
-        old = None if mode == "overwrite" else Graph.read(self.spark, path)
-        for name, df in self.frames.items():
-            if old is not None and name in old.frames:
-                before = old.frames[name]
-                if name in model.LABELS:
-                    df = before.join(df.select(model.LABELS[name]), model.LABELS[name], "left_anti").unionByName(df, allowMissingColumns=True)
+        store = Snapshots(self.spark, path)
+        for _ in range(TRIES):
+            last = (store.versions() or [0])[-1]
+            old = store.manifest(last) if last and mode == "append" else {}
+            entries = dict(old)
+            for name, df in self.frames.items():
+                key = [model.LABELS[name]] if name in model.LABELS else ["from_id", "to_id"] if name in model.EDGES else df.columns[:1]
+                if name not in old:
+                    entries[name] = store.put(name, df, key, buckets)
+                elif name in model.LABELS:
+                    entries[name] = store.merged(name, old[name], df, lambda before, new, key=key: before.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True))
                 else:
-                    df = before.unionByName(df, allowMissingColumns=True).distinct()
-                df.write.mode("overwrite").parquet(f"{path}/_next/{name}")
-                df = self.spark.read.parquet(f"{path}/_next/{name}")
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        if old is None:
-            Graph.clear(self.spark, path, keep=self.frames)
+                    entries[name] = store.merged(name, old[name], df, lambda before, new: before.unionByName(new, allowMissingColumns=True).distinct())
+            try:
+                return store.commit(entries, last)
+            except Conflict:
+                if mode != "append":
+                    raise
+        raise Conflict(f"{TRIES} other writers were faster")
+
+    @classmethod
+    def clear(cls, spark: SparkSession, path: str) -> int:
+        """An empty version; those before stay until vacuum()."""
+        store = Snapshots(spark, path)
+        return store.commit({}, (store.versions() or [0])[-1])
 
     @classmethod
-    def clear(cls, spark: SparkSession, path: str, keep: Iterable[str] = ()) -> None:
-        """Delete a stored graph's frames, but for those to keep; other folders stay."""
-        base = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        known = (set(model.LABELS) | set(model.EDGES)) - set(keep)
-        for s in fs.listStatus(base) if fs.exists(base) else []:
-            if s.getPath().getName() in known:
-                fs.delete(s.getPath(), True)
+    def vacuum(cls, spark: SparkSession, path: str, keep: int = 2, retain: float = 86_400.0) -> None:
+        """Delete all but the last versions of a stored graph, with the buckets that only they have."""
+        Snapshots(spark, path).vacuum(keep, retain)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Graph:
-        jvm = spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(path)
-        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
-        known = set(model.LABELS) | set(model.EDGES)
-        return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in names if n in known})
+    def read(cls, spark: SparkSession, path: str, version: int | None = None) -> Graph:
+        store = Snapshots(spark, path)
+        return cls(spark, {n: store.read(entry) for n, entry in store.manifest(version).items()})
 
     def views(self) -> None:
         """Temporary views of all frames, and vertices and edges, for SQL."""

@@ -15,17 +15,25 @@ def prefixes(path: Column, sep: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), sep))
 
 
+def _by_text(left: DataFrame, text: str, best: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with best (_text, _best) by the text itself; equal texts are resolved once."""
+    return left.join(best, F.col(text) == F.col("_text"), how).drop("_text")
+
+
+def _tries(left: DataFrame, text: str, sep: str) -> DataFrame:
+    """_text and each leading run of its segments as _prefix, for the distinct texts of a column."""
+    return left.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct().select("_text", F.explode(prefixes(F.col("_text"), sep)).alias("_prefix"))
+
+
 def longest_prefix(left: DataFrame, path: str, owners: DataFrame, owner_path: str, owner: str, sep: str = "/", keep_unowned: bool = False) -> DataFrame:
     """left with the owner whose path is the longest leading run of segments of path.
 
-    The path's ancestors are exploded and equi-joined, so no row meets every owner.
+    The ancestors of distinct paths are exploded and equi-joined, so no row meets every owner.
     """
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
-    tries = tagged.select("_row", F.explode(prefixes(F.col(path), sep)).alias("_prefix"))
     own = owners.select(F.col(owner_path).alias("_prefix"), F.col(owner).alias("_owner")).where(F.col("_prefix").isNotNull() & (F.col("_prefix") != ""))
-    best = tries.join(own, "_prefix").groupBy("_row").agg(F.max(F.struct(F.length("_prefix").alias("n"), F.col("_owner"))).alias("_best"))
-    out = tagged.join(best, "_row", "left" if keep_unowned else "inner")
-    return out.withColumn("owner", F.col("_best")["_owner"]).drop("_row", "_best")
+    best = _tries(left, path, sep).join(own, "_prefix").groupBy("_text").agg(F.max(F.struct(F.length("_prefix").alias("n"), F.col("_owner"))).alias("_best"))
+    out = _by_text(left, path, best, "left" if keep_unowned else "inner")
+    return out.withColumn("owner", F.col("_best")["_owner"]).drop("_best")
 
 
 def raw_prefix(left: DataFrame, name: str, table: DataFrame, prefix: str, value: str) -> DataFrame:
@@ -35,11 +43,9 @@ def raw_prefix(left: DataFrame, name: str, table: DataFrame, prefix: str, value:
     equi-joined with the entries, so no name meets every entry.
     """
     entry = table.select(F.regexp_replace(prefix, r"\.$", "").alias("_prefix"), F.col(prefix).endswith(".").alias("_more"), F.length(prefix).alias("_n"), F.col(value).alias("_v")).where(F.col(prefix) != "")
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
-    tries = tagged.select("_row", F.col(name).alias("_name"), F.explode(prefixes(F.col(name), ".")).alias("_prefix"))
-    hit = tries.join(entry, "_prefix").where(~F.col("_more") | (F.length("_name") > F.length("_prefix")))
-    best = hit.groupBy("_row").agg(F.max(F.struct(F.col("_n").alias("n"), F.col("_v").alias("v"))).alias("_best"))
-    return tagged.join(best, "_row").withColumn(value, F.col("_best")["v"]).drop("_row", "_best")
+    hit = _tries(left, name, ".").join(entry, "_prefix").where(~F.col("_more") | (F.length("_text") > F.length("_prefix")))
+    best = hit.groupBy("_text").agg(F.max(F.struct(F.col("_n").alias("n"), F.col("_v").alias("v"))).alias("_best"))
+    return _by_text(left, name, best).withColumn(value, F.col("_best")["v"]).drop("_best")
 
 
 def best_candidate(candidates: DataFrame, row: Sequence[str], name: str, priority: str, known: DataFrame, known_key: str) -> DataFrame:
