@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import merge, resolve, traverse
+from quillgraph.session import ship
 from quillgraph.sources import corpus as C
 
 # Public types of java.lang, which every file sees: interfaces, classes, exceptions, errors, annotations.
@@ -48,6 +49,7 @@ def units(files: DataFrame) -> DataFrame:
                 out.append(json.dumps({"package": r.package, "imports": r.imports, "statics": r.statics, "wildcards": r.wildcards, "classes": r.classes, "methods": r.methods, "refs": r.refs, "fields": r.fields}))
             yield pd.DataFrame({"path": batch["path"], "json": out})
 
+    ship(files.sparkSession)
     parsed = C.java_files(files).select("path", "content").mapInPandas(parse, "path string, json string")
     test = F.concat(F.lit("/"), "path").rlike(r"/src/(?:test|integrationTest|unitTest|systemTest|sharedTest|testFixtures)[^/]*/")
     return parsed.select("path", test.alias("isTest"), F.from_json("json", UNIT).alias("unit"))
@@ -182,35 +184,35 @@ def spring(files: DataFrame, graph: dict[str, DataFrame]) -> dict[str, DataFrame
 
 
 def archive_packages(archives: DataFrame) -> DataFrame:
-    """path and package for each package with classes in an archive (path, content as bytes).
+    """path and package for each package with classes in an archive.
 
-    Entries below META-INF/versions/n count as those they stand for; segments that are no
-    identifiers drop an entry.
+    An archive's directory stands at its end: only that is read, from where the archive lies,
+    whatever its size (or from its bytes, where a column content has them). Entries below
+    META-INF/versions/n count as those they stand for; segments that are no identifiers drop an
+    entry; what is no archive has no packages.
     """
+    known = [c for c in ("content",) if c in archives.columns]
 
     def scan(batches):
-        import io
         import re
-        import zipfile
 
         import pandas as pd
 
+        from quillgraph.sources.archives import directory
+
         good = re.compile(r"[A-Za-z_$][\w$]*(?:/[A-Za-z_$][\w$]*)*\Z")
         for batch in batches:
             rows = set()
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    names = zipfile.ZipFile(io.BytesIO(content)).namelist()
-                except (zipfile.BadZipFile, TypeError):
-                    continue
-                for n in names:
+            for k, path in enumerate(batch["path"]):
+                for n in directory(path, batch["content"][k] if known else None):
                     n = re.sub(r"^META-INF/versions/\d+/", "", n)
                     folder, _, name = n.rpartition("/")
                     if name.endswith(".class") and good.match(folder):
                         rows.add((path, folder.replace("/", ".")))
             yield pd.DataFrame(sorted(rows), columns=["path", "package"])
 
-    return archives.select("path", "content").mapInPandas(scan, "path string, package string")
+    ship(archives.sparkSession)
+    return archives.select("path", *known).mapInPandas(scan, "path string, package string")
 
 
 def package_owners(packages: DataFrame, preferred: DataFrame) -> DataFrame:

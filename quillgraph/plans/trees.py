@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.extract import build, java, rules, scripts, web
+from quillgraph.functions import tables as functions
 from quillgraph.graph import Graph
+from quillgraph.operators import traverse
 from quillgraph.plans.overlay import Overlay
+from quillgraph.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +119,21 @@ def q_extract_lib_transitivity(g: Tree) -> DataFrame:
     return build.dependency_tree(files, {"ExternalLibrary": known, "Module": g.modules()})["LIB_DEPENDS_ON"].select("from_id", "to_id").distinct()
 
 
+@query("""WITH l AS (SELECT p_partkey // 25 AS i, p_partkey % 25 AS n, (p_partkey * 7919) % 97 % 6 AS d, CASE WHEN p_partkey % 9 = 4 THEN NULL ELSE 'org.g' || (p_partkey % 10) || ':a' || p_partkey END AS name FROM part),
+up AS (SELECT a.n, a.name, max(b.i) AS j FROM l a JOIN l b ON a.n = b.n AND b.i < a.i AND b.d < a.d AND b.name IS NOT NULL
+  WHERE a.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l x WHERE x.n = a.n AND x.i > b.i AND x.i < a.i AND x.d <= b.d) GROUP BY 1, 2)
+SELECT DISTINCT l.name AS from_id, up.name AS to_id FROM up JOIN l ON l.n = up.n AND l.i = up.j""")
+def q_extract_lib_trees(g: Tree) -> DataFrame:
+    """Deep dependency texts, written as files and read in splits; projects are transparent."""
+    parts = g.table("part").selectExpr("p_partkey AS p", "p_partkey % 25 AS n", "p_partkey div 25 AS i", "cast((p_partkey * 7919) % 97 % 6 AS int) AS d")
+    line = "concat(repeat('|    ', d), if(i % 2 = 0, '+', '\\\\'), '--- ', if(p % 9 = 4, concat('project :x', p), concat('org.g', p % 10, ':a', p, ':1.', i)))"
+    path = shared_path(g.spark, "trees")
+    parts.repartition("n").sortWithinPartitions("n", "i").selectExpr("n", f"{line} AS value").write.partitionBy("n").text(path)
+    none = g.spark.createDataFrame([], "coordinate string, group string, artifact string, latestVersion string, name string, catalogAlias string")
+    found = build.dependency_trees(path, r"part-.*\.txt")(g.java(), {"ExternalLibrary": none})
+    return found["LIB_DEPENDS_ON"].select("from_id", "to_id").distinct()
+
+
 @query(f"WITH {_C} SELECT DISTINCT gp AS from_id, 'org.lib:p' || (p % 10) AS to_id FROM c")
 def q_extract_lib_usage(g: Tree) -> DataFrame:
     """Modules use the libraries that own the packages their classes import."""
@@ -171,6 +189,51 @@ def q_extract_spring_di(g: Tree) -> DataFrame:
     return java.spring(g.java(), g.classes())["INJECTS"].select("from_id", "to_id", "fieldName", "injectionType")
 
 
+#: Interfaces by region, the fourth with a diamond above it; classes by part, each below its half's, with two interfaces.
+_HIERARCHY = """WITH RECURSIVE direct AS (
+  SELECT 'acme.h.Part' || a.p_partkey AS src, 'acme.h.Part' || (a.p_partkey // 2) AS dst FROM part a WHERE p_partkey >= 2
+  UNION SELECT 'acme.h.Part' || p_partkey, 'acme.h.Face' || (p_partkey % 5) FROM part UNION SELECT 'acme.h.Part' || p_partkey, 'acme.h.Face' || ((p_partkey + 1) % 5) FROM part
+  UNION SELECT 'acme.h.Face' || a, 'acme.h.Face' || b FROM (VALUES (1, 0), (2, 0), (3, 1), (3, 2), (4, 3), (4, 0)) AS t(a, b)),
+way AS (SELECT src AS start, dst AS node, 1 AS depth, [dst] AS bfs FROM direct UNION SELECT start, dst, depth + 1, list_append(bfs, dst) FROM way JOIN direct ON src = node),
+near AS (SELECT start, node, min(depth) AS depth, arg_min(bfs, (depth, bfs)) AS bfs FROM way GROUP BY ALL),
+m AS (SELECT 'acme.h.Part' || p_partkey AS owner, unnest([('run', 'int'), ('take', CASE p_partkey % 2 WHEN 0 THEN 'int' ELSE 'String' END), ('m' || (p_partkey % 5), 'String')]) AS s FROM part
+  UNION ALL SELECT 'acme.h.Face' || r_regionkey, unnest([('run', 'int'), ('take', 'String'), ('m' || r_regionkey, 'String')]) FROM region),
+methods AS (SELECT owner, s[1] AS name, s[2] AS type, owner || '#' || s[1] || '(' || s[2] || ')' AS id FROM m),
+met AS (SELECT a.id AS from_id, b.id AS to_id, row_number() OVER (PARTITION BY a.id ORDER BY depth, bfs, CASE WHEN a.type = b.type THEN 0 ELSE 1 END, b.id) AS k, a.type = b.type AS same
+  FROM methods a JOIN near ON start = a.owner JOIN methods b ON b.owner = node AND b.name = a.name)"""
+
+
+def _hierarchy(g: Tree) -> DataFrame:
+    parts = g.table("part").selectExpr("p_partkey AS p", "p_partkey div 2 AS q")
+    text = """concat('package acme.h;\\npublic class Part', p, if(p < 2, '', concat(' extends Part', q)), ' implements Face', p % 5, ', Face', (p + 1) % 5, ' {\\n  public void run(int a) {}\\n  public void take(', if(p % 2 = 0, 'int', 'String'), ' a) {}\\n  public void m', p % 5, '(String s) {}\\n}\\n')"""
+    classes = parts.selectExpr("concat('h/src/main/java/acme/h/Part', p, '.java') AS path", f"{text} AS content")
+    above = "element_at(array('', ' extends Face0', ' extends Face0', ' extends Face2, Face1', ' extends Face3, Face0'), cast(r_regionkey + 1 AS int))"
+    faces = f"concat('package acme.h;\\npublic interface Face', r_regionkey, {above}, ' {{\\n  void run(int x);\\n  void take(String s);\\n  void m', r_regionkey, '(String s);\\n}}\\n')"
+    return classes.unionByName(g.table("region").selectExpr("concat('h/src/main/java/acme/h/Face', r_regionkey, '.java') AS path", f"{faces} AS content"))
+
+
+@query(f"""{_HIERARCHY} SELECT from_id, to_id, CASE WHEN same THEN 'signature' ELSE 'arity' END AS "matchKind" FROM met WHERE k = 1""")
+def q_extract_java_hierarchy(g: Tree) -> DataFrame:
+    """Overrides where classes have several parents: nearest first, siblings by name, diamonds once."""
+    return java.java(_hierarchy(g), {})["OVERRIDES"].select("from_id", "to_id", "matchKind")
+
+
+@query(f"""{_HIERARCHY} SELECT start, node, CAST(depth AS INTEGER) AS depth, array_to_string(bfs, '>') AS way FROM near""")
+def q_nearest_supertypes(g: Tree) -> DataFrame:
+    """All supertypes in breadth-first order."""
+    graph = java.java(_hierarchy(g), {})
+    direct = graph["EXTENDS"].union(graph["IMPLEMENTS"]).selectExpr("from_id AS src", "to_id AS dst").distinct()
+    return traverse.nearest_supertypes(direct).select("start", "node", "depth", F.array_join("bfs", ">").alias("way"))
+
+
+@query(f"WITH {_C} SELECT fqn, 'class' AS kind, CAST(CASE WHEN p < 2 THEN 1 ELSE 2 END AS BIGINT) AS n_imports FROM c")
+def q_parse_in_sql(g: Tree) -> DataFrame:
+    """Sources read in SQL alone, by table functions."""
+    functions.register(g.spark)
+    return g.spark.sql("""SELECT c.fqn, c.kind, count_if(r.kind = 'IMPORTS') AS n_imports FROM {files} f, LATERAL java_classes(f.content) c, LATERAL java_references(f.content) r
+      GROUP BY c.fqn, c.kind""", files=g.java())
+
+
 # -- rules and what binds to them
 
 

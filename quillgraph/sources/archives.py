@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import re
+import zipfile
 from collections.abc import Callable, Mapping
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +28,29 @@ def cache_roots(env: Mapping[str, str] | None = None) -> list[str]:
 
 
 def archives(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """group, artifact, version, path, content of every archive below the roots."""
+    """group, artifact, version, path, n_bytes of every archive below the roots; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jar").load(roots)
     part = lambda k: F.regexp_extract("path", LAYOUT, k)
-    return files.select(part(1).alias("group"), part(2).alias("artifact"), part(3).alias("version"), "path", "content").where("group <> ''")
+    return files.select(part(1).alias("group"), part(2).alias("artifact"), part(3).alias("version"), "path", F.col("length").alias("n_bytes")).where("group <> ''")
+
+
+def opened(path: str) -> IO[bytes]:
+    """A file of any store that Arrow knows, to be read at any place."""
+    if re.match(r"file:/|/", path):
+        return open(re.sub(r"^file:/+", "/", path), "rb")
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def directory(path: str, content: bytes | None = None) -> list[str]:
+    """Names of an archive's entries, from its directory alone; none of what is no archive."""
+    try:
+        with io.BytesIO(content) if content is not None else opened(path) as f, zipfile.ZipFile(f) as z:
+            return z.namelist()
+    except zipfile.BadZipFile:
+        return []
 
 
 def signature(roots: list[str], lockfile: str | None, scanner: int = 1) -> str:

@@ -1,6 +1,11 @@
+import io
+import zipfile
+
 import pytest
 
 from quillgraph.evaluation import record
+from quillgraph.extract import java
+from quillgraph.functions import tables
 from quillgraph.sources import archives, corpus
 
 
@@ -47,3 +52,39 @@ def test_record(spark, tmp_path):
     assert sorted((r.test_case_id, r.answer_items) for r in record.paired(got).collect()) == [("c1", ["a", "b"]), ("c1", ["x"])]
     with pytest.raises(ValueError):
         record.record(spark, path, "c1", "other", [])
+
+
+def test_only_the_directory_of_an_archive_is_read(spark, tmp_path, monkeypatch):
+    jar = tmp_path / "org.big/lib/1.0/abc/lib-1.0.jar"
+    jar.parent.mkdir(parents=True)
+    with zipfile.ZipFile(jar, "w") as z:
+        z.writestr("assets/blob.bin", b"x" * 30_000_000)
+        z.writestr("org/big/A.class", "")
+    (tmp_path / "bad.jar").write_bytes(b"no archive")
+    found = archives.archives(spark, [str(tmp_path)])
+    assert [(r.path.rpartition("/")[2], r.package) for r in java.archive_packages(found).collect()] == [("lib-1.0.jar", "org.big")]
+    read = []
+
+    class Counting(io.FileIO):
+        def readinto(self, b):
+            n = super().readinto(b)
+            read.append(n)
+            return n
+
+        def read(self, n=-1):
+            data = super().read(n)
+            read.append(len(data))
+            return data
+
+    monkeypatch.setattr(archives, "opened", lambda path: Counting(path))
+    assert archives.directory(str(jar)) == ["assets/blob.bin", "org/big/A.class"] and sum(read) < 300_000
+    assert archives.directory(str(tmp_path / "bad.jar")) == []
+
+
+def test_parsers_in_sql(spark):
+    tables.register(spark)
+    spark.createDataFrame([("package a.b; import x.Y; class A extends Y { int f(String s) { return 1; } interface B {} }",), (None,), ("",)], "content string").createOrReplaceTempView("java_sources")
+    got = spark.sql("SELECT c.fqn, c.kind FROM java_sources, LATERAL java_classes(content) c ORDER BY 1").collect()
+    assert [tuple(r) for r in got] == [("a.b.A", "class"), ("a.b.A.B", "interface")]
+    assert spark.sql("SELECT m.id FROM java_sources, LATERAL java_methods(content) m").first().id == "a.b.A#f(String)"
+    assert sorted(r.name for r in spark.sql("SELECT r.name FROM java_sources, LATERAL java_references(content) r").collect()) == ["Y", "x.Y"]
