@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillgraph.plans import questions, tables, trees
+from quillgraph.plans import forms, questions, tables, trees
 
 D = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def norm(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-QUERIES, ORACLES = tables.QUERIES | trees.QUERIES | questions.QUERIES, tables.ORACLES | trees.ORACLES | questions.ORACLES
+QUERIES, ORACLES = tables.QUERIES | trees.QUERIES | forms.QUERIES | questions.QUERIES, tables.ORACLES | trees.ORACLES | forms.ORACLES | questions.ORACLES
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
