@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import broadcast_if_small, cut, fresh, release, remembered, table
+from quillgraph.llm.common import broadcast_if_small, cut, fresh, prepared, release, remembered, table
 from quillgraph.llm.components import components
 
 WORDS = 5
@@ -386,6 +386,7 @@ def kept_documents(docs: DataFrame, least: float = SIMILARITY, sketches: int = S
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, class_id, kept: a row for each row of docs; one row of a class is kept."""
+    prepared(docs.sparkSession)
     return _classes(*with_rids(docs), least, sketches, block, block_bytes).drop("rid")
 
 

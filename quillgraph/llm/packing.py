@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from quillgraph.llm.common import cut, remembered, table
+from quillgraph.llm.common import cut, prepared, remembered, table
 
 CAPACITY = 2048
 END = 0
@@ -103,6 +103,7 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; the texts stay behind."""
+    prepared(docs.sparkSession)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_ids(path), struct.pack("<I", END)
@@ -216,6 +217,7 @@ def ranked(items: DataFrame, buckets: int) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     items = cut(pieces(docs, path, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -27,6 +27,7 @@ HEX = r"[0-9a-f]{24,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WIDTH = 20
+#: The characters of a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Bits per character that a window of a class needs.
 HEX_BITS, BASE_BITS = 3.0, 3.8
@@ -79,20 +80,22 @@ def base_spans(text: str, allowed_kinds: tuple[int, ...] = (0, 1, 2)) -> dict[in
 
 
 def window_state(run: str, width: int = WIDTH) -> str:
-    """SQL: slides the window over a run's characters (numbers in ALPHABET); first and last window at or over the bits.
+    """SQL: slides the window over a run's characters; first and last window at or over the bits.
 
-    State: n (counts per character), h (sum of c log2 c), and where the threshold was met.
+    State: w (the window's characters), h (sum of c log2 c over its counts), and where the
+    threshold was met. A step counts the character that leaves and the one that enters in the
+    window, so it costs the window's width, whatever the length of the run.
     """
     f = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0:.17g}D" for c in range(width + 2)) + ")"
-    n = lambda x: f"get(a.n, {x} - 1)"
-    change = f"if(x.c = x.o, 0D, if(x.o = 0, 0D, get({f}, {n('x.o')} - 1) - get({f}, {n('x.o')})) + get({f}, {n('x.c')} + 1) - get({f}, {n('x.c')}))"
-    put = lambda array, x, by: f"concat(slice({array}, 1, {x} - 1), array(get({array}, {x} - 1) + {by}), slice({array}, {x} + 1, {len(ALPHABET)}))"
+    n = lambda window, x: f"(length({window}) - length(replace({window}, {x}, '')))"
+    change = f"""if(x.i > {width} AND x.c = x.o, 0D, if(x.i > {width}, get({f}, {n('a.w', 'x.o')} - 1) - get({f}, {n('a.w', 'x.o')}), 0D)
+        + get({f}, {n('x.r', 'x.c')} + 1) - get({f}, {n('x.r', 'x.c')}))"""
     met = f"x.i >= {width} AND log2({width}D) - h / {width} >= {run}.need"
     return f"""aggregate(sequence(1, size({run}.c)),
-      named_struct('n', array_repeat(0, {len(ALPHABET)}), 'h', 0D, 'first', 0, 'last', 0),
-      (a, i) -> transform(array(named_struct('i', i, 'c', get({run}.c, i - 1), 'o', coalesce(get({run}.c, i - {width + 1}), 0))), x ->
+      named_struct('w', '', 'h', 0D, 'first', 0, 'last', 0),
+      (a, i) -> transform(array(named_struct('i', i, 'c', get({run}.c, i - 1), 'o', left(a.w, 1), 'r', if(i > {width}, substring(a.w, 2), a.w))), x ->
         transform(array(a.h + {change}), h -> named_struct(
-          'n', if(x.c = x.o, a.n, transform(array({put('a.n', 'x.c', 1)}), n -> if(x.o = 0, n, {put('n', 'x.o', -1)}))[0]),
+          'w', concat(x.r, x.c),
           'h', h,
           'first', if(a.first = 0 AND {met}, x.i - {width - 1}, a.first),
           'last', if({met}, x.i, a.last)))[0])[0])"""
@@ -103,7 +106,7 @@ def entropy_spans(text: str) -> Column:
     allow = "'" + ALLOW.replace("\\", "\\\\") + "'"
     runs = f"filter({located(text, RUN, 0)}, x -> x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]' AND NOT x.m rlike {allow})"
     hexed = "(x.m rlike '^[0-9a-f]+$' OR x.m rlike '^[0-9A-F]+$')"
-    chars = f"transform(filter(split(x.m, ''), y -> y <> ''), y -> instr('{ALPHABET}', y))"
+    chars = "filter(split(x.m, ''), y -> y <> '')"
     classed = f"transform({runs}, x -> named_struct('s', x.s, 'm', x.m, 'c', {chars}, 'k', if({hexed}, 3, 4), 'need', if({hexed}, {HEX_BITS - SLACK!r}D, {BASE_BITS - SLACK!r}D)))"
     met = f"transform({classed}, r -> named_struct('r', r, 'w', {window_state('r')}))"
     return F.when(F.col(text).rlike(RUN), F.expr(f"transform(filter({met}, z -> z.w.first > 0), z -> named_struct('s', z.r.s + z.w.first - 1, 'k', z.r.k, 'e', z.r.s + z.w.last, 'm', z.r.m))")).otherwise(_none())

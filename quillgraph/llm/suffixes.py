@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, release, table
+from quillgraph.llm.common import cut, prepared, release, table
 
 MATCH = 200
 GRAM = 32
@@ -323,6 +323,7 @@ def _gather(spark: SparkSession, rows: DataFrame, match: int, gram: int) -> Data
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and runs (removed byte runs), a row for each row."""
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     odd = not ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, fresh, table
+from quillgraph.llm.common import cut, fresh, prepared, table
 
 #: Where a session names its key, and the key of sessions that name none (tests, trials).
 KEY_SETTING, KEY = "spark.quillgraph.pii.key", b"quillgraph-demo-key"
@@ -362,6 +362,7 @@ def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
 
 def swapped(docs: DataFrame, key: bytes | None, spans_name: str | None) -> DataFrame:
     """As replace_pii, under another name for the spans (which replace a column of that name), or without them."""
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     if key is None:
         key = spark.conf.get(KEY_SETTING, "").encode() or KEY

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, table
+from quillgraph.llm.common import cut, prepared, table
 from quillgraph.llm.components import components
 
 THRESHOLD = 0.9
@@ -267,6 +267,7 @@ def block_links(index: MultiIndex | None, group: dict[str, np.ndarray], x: np.nd
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of vectors."""
+    prepared(vectors.sparkSession)
     spark = vectors.sparkSession
     packed, kind = prepare(vectors)
     rows = cut(packed, "vectors")
