@@ -25,7 +25,9 @@ as it is; repeated rows each get a row; the other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
+import secrets
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -35,15 +37,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import cut, fresh, prepared, table
 
-#: Where a session names its key, and the key of sessions that name none (tests, trials).
-KEY_SETTING, KEY = "spark.quillgraph.pii.key", b"quillgraph-demo-key"
+#: Where a session names its key; the key of the registered query and pipeline where it names none, which is no secret.
+KEY_SETTING, DEMO_KEY = "spark.quillgraph.pii.key", b"quillgraph-demo-key"
 #: Entities drawn again up to which their surrogates are sent to every executor; beyond, joined.
 BROADCAST_ENTITIES = 100_000
 KINDS = ("email", "phone", "ip", "card", "account", "ssn", "name")
 
 #: Titles before a name, by gender (f, m, or n where the title tells none).
 TITLES = {
-    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Dr": "n", "Prof": "n",
+    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Dr": "n", "Prof": "n", "Doctor": "n", "Professor": "n",
+    "MR": "m", "MRS": "f", "MS": "f", "DR": "n", "PROF": "n", "HERR": "m", "FRAU": "f",
     "Herr": "m", "Herrn": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f",
     "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Mme": "f", "Mlle": "f", "г-н": "m", "г-жа": "f",
 }
@@ -57,11 +60,18 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so ta te to va ve vi".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
 #: What a part of a name is, the first of several that a corpus shows: a surname, else a given name by gender.
 ROLES = {"s": "0", "f": "1", "m": "2", "n": "3"}
+#: Names that are common words too: without a title they count inside a sentence alone, where a capital tells.
+WORDS = set(
+    "black brown gray green white red gold good grand rich strong sharp wise young short long little hard major french will may mark grant chase cook cross drew hope love price judge "
+    "spring summer winter north west rose snow grace joy law bill banks fields stone waters woods gross jung klein kurz lang schwarz sommer stark weiss braun blanc brun grand petit noir blanco leon moreno rojo rubio".split()
+)
 #: Parts that stand after a surname and tell nothing.
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv"}
 
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _LETTER, _UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-яё]"
+#: What ends a sentence, or a line, before a word.
+_OPENS = re.compile(r"(?:\A|[.!?:]['\")\]]*\s+|\n\s*|[\"“„«(]\s*)\Z")
 #: A name part: a word, an initial with its dot, or a lone letter that is no English word.
 _PART = rf"(?:{_UPPER}(?:{_LETTER}|['’](?={_UPPER}))+|(?:{_UPPER}|Ph|Th|Chr|St)\.|{_UPPER}(?!\w)(?:(?<![IA])|(?=\x20{_UPPER})))"
 #: Small words that may stand before a name part.
@@ -69,7 +79,7 @@ _PARTICLE = r"(?:(?:von|van|vom|zu|zur|zum|der|den|dem|de|del|della|di|da|do|dos
 _NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\x20(?:(?:{_TITLE})\.?\x20)*)({_PARTICLE}{_PART}(?:(?:[\x20-]|(?<=\.)){_PARTICLE}{_PART})*)")
 _DIGITS = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d\x20)(?:\d{3}\x20\d{3}\x20\d{4}|0\d{2,4}[\x20/-]\d{5,8})(?!\x20\d))(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 )
 #: Digits at blanks and hyphens, of which some may be a card.
@@ -196,26 +206,43 @@ def name_parts(text: str, start: int, end: int, gender: str) -> list[tuple[int,
 
 
 def again(text: str, named: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Mentions without a title of the surnames among named, with given names of theirs before them."""
+    """Mentions without a title of the surnames among named, with given names of theirs before them, and of given names alone.
+
+    Names that are WORDS are left where a sentence begins, for there any word has a capital.
+    """
     surnames: dict[str, str] = {}
-    given: set[str] = set()
+    given: dict[str, str] = {}
     for start, end, _, norm in named:
         for a, b, kind, part, role in name_parts(text, start, end, norm[0]):
             if kind == "part" and role == ROLES["s"] and b - a > 2:
                 surnames.setdefault(part, norm[0])
-            elif kind == "part":
-                given.add(part)
+            elif kind == "part" and b - a > 2:
+                given.setdefault(part, norm[0])
+    taken = {x for start, end, _, _ in named for x in range(start, end)}
     found, first = [], None
+
+    def alone() -> None:
+        if first and first[0] not in taken and not plain(first[0], text[first[0] : first[1]]):
+            found.append((first[0], first[1], "name", f"{given[text[first[0] : first[1]].casefold().rpartition(' ')[2]]}:{text[first[0] : first[1]].casefold()}"))
+
+    def plain(at: int, word: str) -> bool:
+        return word.casefold() in WORDS and bool(_OPENS.search(text, max(0, at - 8), at))
+
     for m in _CAPITALISED(text):
         word = m[0].casefold()
-        if word in surnames:
-            start = first[0] if first and text[first[1] : m.start()] == " " else m.start()
+        joined = bool(first) and text[first[1] : m.start()] == " "
+        if word in surnames and (joined or not plain(m.start(), word)):
+            if not joined:
+                alone()
+            start = first[0] if joined else m.start()
             found.append((start, m.end(), "name", f"{surnames[word]}:{text[start : m.end()].casefold()}"))
             first = None
-        elif word in given:
-            first = (first[0] if first and text[first[1] : m.start()] == " " else m.start(), m.end())
+        elif word in given and joined:
+            first = (first[0], m.end())
         else:
-            first = None
+            alone()
+            first = (m.start(), m.end()) if word in given else None
+    alone()
     return found
 
 
@@ -250,6 +277,15 @@ class Stream:
         return c
 
 
+def next_letter(key: bytes, c: str) -> str:
+    """The letter after c in a keyed ring of its alphabet: different letters stay different, and none stays as it is."""
+    for first, last in ("az", "ая", "αω"):
+        if first <= c <= last:
+            ring = sorted(map(chr, range(ord(first), ord(last) + 1)), key=lambda x: hashlib.blake2b(x.encode(), key=key[:64]).digest())
+            return ring[ring.index(c) - 1]
+    return Stream(key, "initial", c, 0).letter(c)
+
+
 #: Attempts in the form and length of the entity; later ones have a character more each.
 SAME_LENGTH = {"email": 2, "phone": 8, "ip": 24, "card": 8, "account": 8, "ssn": 8}
 
@@ -262,7 +298,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0, role: str = ""
     role: of a name's part, as in ROLES.
     """
     if kind == "initial":
-        return "".join(map(Stream(key, kind, norm, 0).letter, norm))
+        return "".join(next_letter(key, c) for c in norm)
     s = Stream(key, kind, norm, attempt)
     more = max(0, attempt - SAME_LENGTH.get(kind, 0))
     digits = lambda n: "".join(str(s.draw(10)) for _ in range(n))
@@ -355,6 +391,22 @@ def settled(found: DataFrame, key: bytes) -> DataFrame:
 MADE = "array<struct<kind:string,norm:string,made:string>>"
 
 
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The session's key, else default, else one drawn for this application, so that no known key is ever used unasked.
+
+    With a drawn key another application gives other surrogates; a warning says so.
+    """
+    key = spark.conf.get(KEY_SETTING, "").encode() or default
+    if not key:
+        if spark.sparkContext.applicationId not in _drawn:
+            logging.getLogger(__name__).warning("%s is not set: surrogates follow a key drawn for this application alone", KEY_SETTING)
+        key = _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+    return key
+
+
 def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with surrogates in text, plus pii_spans: array of kind:start:end in the old text."""
     return swapped(docs, key, "pii_spans")
@@ -364,8 +416,7 @@ def swapped(docs: DataFrame, key: bytes | None, spans_name: str | None) -> DataF
     """As replace_pii, under another name for the spans (which replace a column of that name), or without them."""
     prepared(docs.sparkSession)
     spark = docs.sparkSession
-    if key is None:
-        key = spark.conf.get(KEY_SETTING, "").encode() or KEY
+    key = session_key(spark) if key is None else key
     # entities whose surrogate does not follow from a mention alone
     odd = settled(cut(entities(docs), "entities"), key).where("attempt > 0 OR mixed").select("kind", "norm", "made")
     n = odd.count()
@@ -420,5 +471,5 @@ def _with_own(docs: DataFrame, odd: DataFrame, own_name: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark, DEMO_KEY))
     return done.select("doc_id", "text", F.size("pii_spans").alias("n_entities"), F.array_join("pii_spans", ",").alias("spans"))

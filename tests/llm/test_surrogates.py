@@ -143,3 +143,26 @@ def test_key_of_the_session(spark):
         assert S.replace_pii(docs).first().text == S.replace_pii(docs, b"another").first().text != default
     finally:
         spark.conf.unset(S.KEY_SETTING)
+
+
+def test_initials_stay_distinct():
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"):
+        made = [S.surrogate(b"k", "initial", x) for x in letters]
+        assert sorted(made) == sorted(letters) and all(a != b for a, b in zip(made, letters))
+
+
+def test_words_and_further_forms(spark):
+    docs = ["Dr. Will spoke. Will you come? We saw Will there.", "Mr. Brown left. Brown bears eat. They met Brown.", "MR. JOHN SMITH came, and Professor Jane Doe.", "Mr. John Smith came. John left too.", "Call 212 555 0134 or 030 1234567, not 1 212 555 0134 77."]
+    got = swapped_texts(spark, docs)
+    assert re.fullmatch(r"Dr\. (\w+) spoke\. Will you come\? We saw \1 there\.", got[0]) and "Dr. Will" not in got[0]
+    assert re.fullmatch(r"Mr\. (\w+) left\. Brown bears eat\. They met \1\.", got[1])
+    assert not re.search("JOHN|SMITH|Jane|Doe", got[2]) and got[2].startswith("MR. ")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left too\.", got[3])
+    assert m and m[1] == m[3] != "John"
+    assert "212 555 0134 or" not in got[4] and "030 1234567" not in got[4] and got[4].endswith("not 1 212 555 0134 77.")
+
+
+def test_no_known_key_unasked(spark, caplog):
+    S._drawn.clear()
+    assert S.session_key(spark) == S.session_key(spark) != S.DEMO_KEY and len([r for r in caplog.records if S.KEY_SETTING in r.message]) == 1
+    assert S.session_key(spark, b"own") == b"own"
