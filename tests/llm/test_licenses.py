@@ -88,3 +88,32 @@ def test_odd_rows(spark):
     got = L.scan(docs).collect()
     assert len(got) == 4 and all(r.license_scan.licenses == [] for r in got)
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_names_and_denials():
+    names = lambda t: L.scan_text(t)[0]
+    want = {
+        "licensed under the Apache License 2.0": ["Apache-2.0"], "Apache-2.0": ["Apache-2.0"], "BSD 3-Clause License": ["BSD-3-Clause"], "GPLv3": ["GPL-3.0-only"], "License: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not given, so be it.": ["MPL-2.0"],
+        "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"], "released under the zlib License.": ["Zlib"], "This is licensed under the CDDL 1.0.": ["CDDL-1.0"], "available under the Artistic License 2.0": ["Artistic-2.0"],
+        "Licensed under the WTFPL.": ["WTFPL"], "This font is licensed under the SIL Open Font License, Version 1.1.": ["OFL-1.1"], "dual licensed under the MIT and Apache-2.0 licenses": ["Apache-2.0", "MIT"],
+        "not released under the MIT license": [], "This was never licensed under the Apache License, Version 2.0.": [], "We walked under the mit tree and python slept.": [],
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": ["APACHE-2.0", "MIT"], "All rights reserved.": [],
+    }
+    assert {t: names(t) for t in want} == want
+    grant = MIT.split("\n\n")[0]
+    assert names(grant.replace("obtaining a copy", "obtaining\n\na copy") + "\n\n" + MIT.partition("\n\n")[2]) == ["MIT"]
+
+
+def test_every_licence_is_found_by_each_of_its_names():
+    """By brute force: all names, in the sentences that put something under them."""
+    for licence, forms in L.NAMES.items():
+        for form in [f.strip() for f in forms.split(",")] + [licence]:
+            for sentence in ("This is licensed under the {} license.", "{} License"):
+                assert L.scan_text(sentence.format(form))[0] == [licence], (licence, form, sentence)
+
+
+def test_full_texts():
+    zlib = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it. The origin of this software must not be misrepresented."
+    boost = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use it."
+    assert L.scan_text(zlib)[0] == ["Zlib"] and L.scan_text(boost)[0] == ["BSL-1.0"]
