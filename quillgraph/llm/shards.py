@@ -40,9 +40,15 @@ FAN_IN = 4
 RETAIN = 24 * 3600.0
 #: Shards that are merged at a time at most; the next round goes on with the rest.
 MERGE_SHARDS = 20_000
+#: How often an append or a round of merging starts anew because another writer was faster.
+TRIES = 10
 MANIFEST = "shard string, path string, tier int, n_rows long, n_bytes long"
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the version."""
+
+
 class ShardStore:
     """A shard store at a path that driver and executors can reach."""
 
@@ -104,7 +110,7 @@ class ShardStore:
                 raise
             manifests, p = self._fs(f"{self.path}/_manifests/{name}")
             manifests.delete(p, True)
-            raise RuntimeError(f"version {after + 1} was committed by another writer") from e
+            raise Conflict(f"version {after + 1} was committed by another writer") from e
         finally:
             fs.delete(src, False)
         return after + 1
@@ -141,15 +147,28 @@ class ShardStore:
     # -- operations
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
-        """Add arrivals as small shards; gives the new version."""
-        versions = self.versions()
+        """Add arrivals as small shards; gives the new version. If another writer is faster, they are added to what it left."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", arrival_rows).option("compression", "zstd").parquet(folder)
         new = self._listed(folder)
-        return self._commit(self.manifest().unionByName(new) if versions else new, versions[-1] if versions else 0)
+        for left in reversed(range(TRIES)):
+            versions = self.versions()
+            try:
+                return self._commit(self.manifest(versions[-1]).unionByName(new) if versions else new, versions[-1] if versions else 0)
+            except Conflict:
+                if not left:
+                    self._drop(folder)
+                    raise
+        raise AssertionError("not reached")
+
+    def _drop(self, folder: str) -> None:
+        """Delete a folder that no version names."""
+        fs, p = self._fs(folder)
+        fs.delete(p, True)
 
     def compact(self, retain: float = RETAIN) -> int:
-        """Merge tiers that are full until none is; gives the last version."""
+        """Merge tiers that are full until none is; gives the last version. What another writer overtakes is merged anew."""
+        lost = 0
         while True:
             version = self.versions()[-1]
             every = self.manifest(version)
@@ -166,7 +185,15 @@ class ShardStore:
             rows = every.join(gone, "path", "left_anti").select(*every.columns)
             for folder in new:
                 rows = rows.unionByName(self._listed(folder))
-            self._commit(rows, version)
+            try:
+                self._commit(rows, version)
+            except Conflict:
+                for folder in new:
+                    self._drop(folder)
+                lost += 1
+                if lost == TRIES:
+                    raise
+                continue
             self.vacuum(retain)
 
     def _merge(self, paths: list[str], n_bytes: int) -> str:

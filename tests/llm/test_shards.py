@@ -1,5 +1,6 @@
 from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import shards as S
@@ -71,3 +72,32 @@ def test_odd_rows(spark, tmp_path):
 def test_query(spark):
     got = S.query(spark, "/root/testdata/sf0.001").collect()
     assert len({r.doc_id for r in got}) == len(got) == 200
+
+
+def test_writers_that_meet_lose_nothing(spark, tmp_path, monkeypatch):
+    """An append and a merge that are overtaken start anew, and leave no folder behind that no version names."""
+    store = S.ShardStore(spark, str(tmp_path / "store"), target_bytes=4_000, base_bytes=200)
+    store.append(spark.range(300).repartition(3), 10)
+    commit, met = S.ShardStore._commit, []
+
+    def late(self, rows, after):
+        if len(met) < 2:
+            met.append(after)
+            commit(self, self.manifest().unionByName(self._listed(other)), after)
+        return commit(self, rows, after)
+
+    other = str(tmp_path / "store" / "data" / "other")
+    spark.range(1000, 1001).coalesce(1).write.parquet(other)
+    monkeypatch.setattr(S.ShardStore, "_commit", late)
+    store.append(spark.range(300, 310))
+    store.compact(retain=0)
+    monkeypatch.undo()
+    got = [r.id for r in store.read().collect()]
+    assert set(got) == {*range(310), 1000} and len(met) == 2
+    named = {r.path.rpartition("/")[0].rpartition("/")[2] for v in store.versions() for r in store.manifest(v).collect()}
+    assert {p.name for p in (tmp_path / "store" / "data").iterdir() if list(p.glob("*.parquet"))} == named
+    monkeypatch.setattr(S.ShardStore, "_commit", lambda *_: (_ for _ in ()).throw(S.Conflict()))
+    before = set((tmp_path / "store" / "data").iterdir())
+    with pytest.raises(S.Conflict):
+        store.append(spark.range(5))
+    assert set((tmp_path / "store" / "data").iterdir()) == before
