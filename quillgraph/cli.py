@@ -4,7 +4,8 @@ python -m quillgraph.cli build --root DIR --out DIR [--only NAME...] [--append]
 python -m quillgraph.cli stats --graph DIR
 python -m quillgraph.cli ask QUESTION --graph DIR [--set KEY=VALUE...]
 python -m quillgraph.cli cases --cases FILE [--ids ID...] [--categories C...] [--tags T...]
-python -m quillgraph.cli evaluate --cases FILE --sessions DIR --out DIR [--ids ID...] [--categories C...]
+python -m quillgraph.cli record --results DIR --case ID --method NAME --items A,B [--summary TEXT] [--confidence X] [--tokens-in N] [--tokens-out N] [--tool-calls N]
+python -m quillgraph.cli evaluate --cases FILE (--sessions DIR | --results DIR) --out DIR [--ids ID...] [--categories C...]
 """
 
 from __future__ import annotations
@@ -39,17 +40,27 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--categories", nargs="*")
         c.add_argument("--tags", nargs="*")
         if name == "evaluate":
-            c.add_argument("--sessions", required=True)
+            given = c.add_mutually_exclusive_group(required=True)
+            given.add_argument("--sessions", help="transcripts named CASE_METHOD.txt")
+            given.add_argument("--results", help="results entered by record; cases with both methods count")
             c.add_argument("--out", required=True)
+    r = sub.add_parser("record")
+    for name in ("results", "case", "method", "items"):
+        r.add_argument(f"--{name}", required=True)
+    r.add_argument("--summary", default="")
+    r.add_argument("--confidence", type=float, default=0.0)
+    for name in ("tokens-in", "tokens-out", "tool-calls"):
+        r.add_argument(f"--{name}", type=int, default=0)
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
-    from quillgraph.evaluation import report, scoring, transcripts
+    from quillgraph.evaluation import record, report, scoring, transcripts
     from quillgraph.extract import build, libraries, registry
     from quillgraph.graph import Graph
+    from quillgraph.operators import patterns
     from quillgraph.sources import corpus
 
     if args.command == "build":
@@ -61,11 +72,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         graph, summary = registry.run(spark, files, args.only, extra={"lib_usage": usage, "lib_transitivity": build.dependency_trees(args.root)})
         graph.write(args.out, "append" if args.append else "overwrite")
         summary.show(100, truncate=80)
+        if "UnresolvedImports" in graph.frames:
+            print("imports that no library owns:")
+            patterns.top_k(graph.frames["UnresolvedImports"], 20, "n", "import").show(20, truncate=False)
+        broken = graph.constraint_violations()
+        if not broken.isEmpty():
+            print("keys that are not unique:")
+            broken.orderBy("label", "key").show(20, truncate=False)
         if args.validate:
             graph.broken_paths(files).show()
         return int(bool(summary.where("status = 'failed'").count()))
     if args.command == "stats":
         Graph.read(spark, args.graph).stats().orderBy("kind", "name").show(200, truncate=False)
+    elif args.command == "record":
+        record.record(spark, args.results, args.case, args.method, args.items, answer_summary=args.summary, confidence=args.confidence, total_tokens_in=args.tokens_in, total_tokens_out=args.tokens_out, total_tool_calls=args.tool_calls)
     elif args.command == "ask":
         params = dict(x.split("=", 1) for x in args.set)
         params = {k: int(v) if v.isdigit() else v for k, v in params.items()}
@@ -75,7 +95,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "cases":
             cases.select("id", "category", "scenario").orderBy("id").show(500, truncate=100)
         else:
-            compared = scoring.compare(cases, transcripts.results(transcripts.read_sessions(spark, args.sessions), transcripts.read_meta(spark, args.sessions)))
+            if args.results:
+                given = record.paired(record.recorded(spark, args.results))
+            else:
+                given = transcripts.results(transcripts.read_sessions(spark, args.sessions), transcripts.read_meta(spark, args.sessions))
+            compared = scoring.compare(cases, given)
             report.save(compared, args.out)
             scoring.overall_report(compared).show(truncate=False)
     return 0

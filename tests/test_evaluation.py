@@ -101,6 +101,16 @@ def test_transcripts(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out/report_csv"), header=True).count() == 1
 
 
+def test_results_entered_by_hand_are_evaluated(spark, tmp_path):
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "one", "category": "c", "ground_truth": {"must_include": ["a"]}}, {"id": "two", "category": "c", "ground_truth": {}}]))
+    results = str(tmp_path / "results")
+    for case, method, items in (("one", "graph_assisted", "a, b"), ("one", "tools_only", "b"), ("two", "tools_only", "x")):
+        assert cli.main(["record", "--results", results, "--case", case, "--method", method, "--items", items, "--tokens-in", "5"], spark) == 0
+    assert cli.main(["evaluate", "--cases", str(tmp_path / "cases.json"), "--results", results, "--out", str(tmp_path / "out")], spark) == 0
+    got = [r.asDict() for r in spark.read.csv(str(tmp_path / "out/report_csv"), header=True).collect()]
+    assert len(got) == 1 and "graph" in str(got[0])
+
+
 def test_cli_build(spark, tmp_path, capsys):
     root = tmp_path / "repo"
     for name, text in {"settings.gradle": "include ':a'", "a/build.gradle": "", "a/src/main/java/p/A.java": "package p; class A {}", ".github/CODEOWNERS": "/a @x/team"}.items():
