@@ -24,6 +24,12 @@ _CONFIG = r"\b([A-Za-z_]\w*)(?:[ \t]+|[ \t]*\([ \t]*)"
 _STRING = r"""["']([^"'\s]+)["']"""
 PROJECT_DEPENDENCY = _CONFIG + r"project[ \t]*\([ \t]*(?:path[ \t]*[:=][ \t]*)?" + _STRING
 LIBRARY_DEPENDENCY = _CONFIG + _STRING
+# A line of the settings that includes modules, any number of them; and each one's name in quotes.
+INCLUDES = r"(?m)^[ \t]*include\b[ \t(]*([^\n]*)"
+MODULE_NAME = r"""["'](:[^"'\s]+)["']"""
+# The global registry: an entry, and how a script uses one (its configuration and the coordinate).
+REGISTRY_ENTRY = r"""(?m)^dep[ \t(]+["']([^"'\n]+)["']"""
+REGISTRY_USE = _CONFIG + r"globalDep[ \t]*\([ \t]*" + _STRING
 # Dependency kinds of a package manifest.
 MANIFEST_KINDS = {"dependencies": "dependency", "devDependencies": "devDependency", "peerDependencies": "peerDependency", "optionalDependencies": "optionalDependency"}
 
@@ -40,7 +46,7 @@ def contained(nodes: DataFrame, modules: DataFrame, key: str = "path") -> DataFr
 
 def gradle(files: DataFrame, graph: dict[str, DataFrame], configs: tuple[str, ...] = MODULE_CONFIGS, roots: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Module and DEPENDS_ON. roots: top folders to look for modules in; none means all."""
-    included = C.named(files, r"settings\.gradle").where(~F.col("path").contains("/")).select(F.explode(T.find_all(F.col("content"), r"include\s+['\"](:[\w:.-]+)['\"]")).alias("gradlePath"))
+    included = C.named(files, r"settings\.gradle").where(~F.col("path").contains("/")).select(F.explode(T.find_all(F.col("content"), INCLUDES)).alias("named")).select(F.explode(T.find_all(F.col("named"), MODULE_NAME)).alias("gradlePath"))
     scripts = C.gradle_files(files, build_src=False).where(F.col("path").contains("/"))
     if roots:
         scripts = scripts.where(F.split("path", "/")[0].isin(list(roots)))
@@ -104,7 +110,7 @@ def external_libraries(files: DataFrame, graph: dict[str, DataFrame], configs: t
     in_module = declared.withColumn("f", C.folder()).join(modules.select(c("path").alias("f"), "gradlePath"), "f")
     lib = lambda df, version: df.select("coordinate", "group", "artifact", version.alias("latestVersion"))
     direct = resolve.elect(in_module, "coordinate", resolve.version_key(c("version")).desc())
-    dep = C.named(files, r"globalDependencies\.groovy").select(F.explode(T.find_all(c("content"), r'(?m)^dep\s+"([^"]+)"')).alias("d")).where(F.size(F.split("d", ":")) >= 2)
+    dep = C.named(files, r"globalDependencies\.groovy").select(F.explode(T.find_all(c("content"), REGISTRY_ENTRY)).alias("d")).where(F.size(F.split("d", ":")) >= 2)
     part = F.split("d", ":")
     registry = dep.select(part[0].alias("group"), part[1].alias("artifact"), F.regexp_replace(F.regexp_replace(F.coalesce(F.get(part, F.lit(2)), F.lit("")), r"\$\{[^}]+\}", "managed"), "!+$", "").alias("version"))
     registry = registry.withColumn("coordinate", coordinate(c("group"), c("artifact"))).dropDuplicates(["coordinate"])
@@ -113,14 +119,15 @@ def external_libraries(files: DataFrame, graph: dict[str, DataFrame], configs: t
     locked = locked.where(F.size(lock_part) >= 3).select(lock_part[0].alias("group"), lock_part[1].alias("artifact"), lock_part[2].alias("version")).withColumn("coordinate", coordinate(c("group"), c("artifact"))).dropDuplicates(["coordinate"])
     toml = C.lines(C.named(files, r"libs\.versions\.toml")).withColumn("t", F.trim("line"))
     toml = resolve.carry_section(toml, "path", "line_no", F.when(c("t").startswith("["), c("t"))).where("section = '[libraries]'")
-    entry = r'^(\w[\w-]*)\s*=\s*\{.*module\s*=\s*"([^":]+):([^"]+)"'
-    catalog = toml.where(c("t").rlike(entry)).select(F.regexp_extract("t", entry, 1).alias("catalogAlias"), F.regexp_extract("t", entry, 2).alias("group"), F.regexp_extract("t", entry, 3).alias("artifact"), F.regexp_extract("t", r'version(?:\.ref)?\s*=\s*"([^"]+)"', 1).alias("version"))
+    # an entry is alias = { module = "group:artifact", version = "..." }, its members in any order
+    member = lambda key: F.regexp_extract("t", rf"""\b{key}[ \t]*=[ \t]*["']([^"']*)["']""", 1)
+    entry = toml.where(c("t").rlike(r"^[A-Za-z0-9_-]+[ \t]*=[ \t]*\{")).select(F.trim(F.substring_index("t", "=", 1)).alias("catalogAlias"), F.split(member("module"), ":").alias("module"), member(r"version(?:\.ref)?").alias("version"))
+    catalog = entry.where(F.size("module") == 2).select("catalogAlias", c("module")[0].alias("group"), c("module")[1].alias("artifact"), "version")
     catalog = catalog.withColumn("coordinate", coordinate(c("group"), c("artifact"))).dropDuplicates(["coordinate"])
     merged = merge.priority_merge(lib(direct, c("version")), lib(registry, c("version")), lib(locked, c("version")), lib(catalog, c("version")), key="coordinate")
     libraries = merged.join(catalog.select("coordinate", "catalogAlias"), "coordinate", "left").select("coordinate", "group", "artifact", "latestVersion", c("artifact").alias("name"), F.coalesce("catalogAlias", F.lit("")).alias("catalogAlias"))
     uses = in_module.select(c("gradlePath").alias("from_id"), c("coordinate").alias("to_id"), "config", "version", c("path").alias("sourceFile"))
-    glob = r"(\w+)\s*\(?globalDep\(\s*['\"]([^'\"]+)['\"]"
-    named = C.named(scripts, r".*\.gradle").select("path", F.explode(T.find_groups(c("content"), glob, 2)).alias("m")).where(c("m.g2").contains(":"))
+    named = C.named(scripts, r".*\.gradle").select("path", F.explode(T.find_groups(c("content"), REGISTRY_USE, 2)).alias("m")).where(c("m.g2").contains(":"))
     named = named.withColumn("f", C.folder()).join(modules.select(c("path").alias("f"), "gradlePath"), "f").withColumn("coordinate", F.substring_index("m.g2", ":", 2)).join(registry.select("coordinate", "version"), "coordinate", "left")
     named = named.select(c("gradlePath").alias("from_id"), c("coordinate").alias("to_id"), c("m.g1").alias("config"), F.coalesce("version", F.lit("")).alias("version"), c("path").alias("sourceFile"))
     ends = graph["Module"].select("gradlePath")

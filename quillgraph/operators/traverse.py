@@ -36,23 +36,23 @@ def hop(starts: DataFrame, edges: DataFrame, start: str = "id") -> DataFrame:
 def reach(starts: DataFrame, edges: DataFrame, most: int, least: int = 1) -> DataFrame:
     """start, node, depth: nodes at the end of a path of least to most edges, at least depth.
 
-    A start is among its own nodes if it lies on a cycle that short. Every round joins the
-    frontier with the edges and drops pairs that were seen, so work is bounded by the pairs.
-    Exact for paths without repeated edges: a shortest walk repeats none. Up to three hops
-    the plan is lazy; beyond, a lazy plan would repeat earlier rounds ever more often, so
-    each round is written.
+    A start is among its own nodes if it lies on a cycle that short. Exact for paths without
+    repeated edges: a shortest walk repeats none. Up to three hops the plan is lazy and the
+    least depth of each pair is taken at the end; beyond, each round is written and drops the
+    pairs that were seen, as in closure().
     """
     if most > 3:
         found = closure(starts, edges, most)
         return found.where(F.col("depth") >= least) if least > 1 else found
     pairs = edges.select("src", "dst").distinct()
     seeds = starts.select(F.col("id").alias("start")).distinct()
-    frontier = seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
-    found = frontier
+    here = seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"))
+    found = here.withColumn("depth", F.lit(1))
     for depth in range(2, most + 1):
-        step = frontier.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        found = found.unionByName(frontier)
+        here = here.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct()
+        found = found.unionByName(here.withColumn("depth", F.lit(depth)))
+    if most > 1:  # one aggregation in place of an anti-join a round
+        found = found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
     return found.where(F.col("depth") >= least) if least > 1 else found
 
 
