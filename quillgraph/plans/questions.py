@@ -71,13 +71,17 @@ FRAMES = {
     "NpmPackage": "SELECT 'w' || n_nationkey AS name, '1.' || n_nationkey AS version, n_nationkey >= 0 AS isWorkspace FROM {nation} UNION ALL SELECT name, version, false FROM (SELECT r_regionkey AS k, 'react-' || r_regionkey AS name, '9.' || r_regionkey AS version FROM {region}) AS x",
     "NPM_DEPENDS_ON": "SELECT 'w' || n_nationkey AS from_id, 'react-' || n_regionkey AS to_id FROM {nation} UNION ALL SELECT 'w' || n_nationkey, 'react-' || ((n_regionkey + 1) % 5) FROM {nation} WHERE n_nationkey % 2 = 0",
 }
+#: Frames that Spark reads in another form than the SQL: a range of two keys as two equal keys, where a range join compares all pairs.
+EQUAL_KEYS = {
+    "JSP_INCLUDES": "SELECT 'web/p' || a.s_suppkey || '.jsp' AS from_id, 'web/p' || b.s_suppkey || '.jsp' AS to_id FROM (SELECT s_suppkey, explode(array(s_suppkey * 2 + 1, s_suppkey * 2 + 2)) AS next FROM {supplier}) a JOIN {supplier} b ON b.s_suppkey = a.next",
+}
 TABLES = ("region", "nation", "supplier", "part", "lineitem")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The frames; a question scans those alone that it needs."""
     tables = {t: Overlay(spark, sf_dir).table(t) for t in TABLES}
-    return Graph(spark, {name: spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql}) for name, sql in FRAMES.items()})
+    return Graph(spark, {name: spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql}) for name, sql in (FRAMES | EQUAL_KEYS).items()})
 
 
 def _frames_sql(sql: str) -> str:
