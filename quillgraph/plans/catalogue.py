@@ -223,12 +223,13 @@ def _module_edges(g: Graph) -> DataFrame:
 
 
 @question
-def circular_modules(g: Graph, k: int = 10) -> DataFrame:
-    """Modules that depend on each other; parallel edges give parallel rows."""
+def circular_modules(g: Graph, k: int | None = 10) -> DataFrame:
+    """Modules that depend on each other; parallel edges give parallel rows. k: so many rows, None: all."""
     e = _module_edges(g)
     back = e.select(c("src").alias("dst"), c("dst").alias("src"))
     out = e.join(back, ["src", "dst"]).where("srcName < dstName").select(c("srcName").alias("a"), c("dstName").alias("b"))
-    return patterns.ordered(out, "a", "b").limit(k)
+    out = patterns.ordered(out, "a", "b")
+    return out if k is None else out.limit(k)
 
 
 @question

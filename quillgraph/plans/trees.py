@@ -362,7 +362,8 @@ def q_extract_groovy_tests(g: Tree) -> DataFrame:
 
 @query(f"{_DEPENDS} SELECT DISTINCT split_part(x.from_id, ':', 3) AS a, split_part(x.to_id, ':', 3) AS b FROM d x JOIN d y ON x.from_id = y.to_id AND x.to_id = y.from_id WHERE split_part(x.from_id, ':', 3) < split_part(x.to_id, ':', 3)")
 def q_question_circular_modules(g: Tree) -> DataFrame:
-    return _modules(g).query("circular_modules").distinct()
+    """All pairs; the report's first ten rows count parallel edges each."""
+    return _modules(g).query("circular_modules", k=None).distinct()
 
 
 @query(f"WITH {_C} SELECT DISTINCT 'Part' || p AS name FROM c WHERE parent = 'acme.m3.Part3'")

@@ -3,7 +3,7 @@
 
 import duckdb
 
-from quillgraph.plans import questions, tables
+from quillgraph.plans import questions, tables, trees
 
 D = "/root/testdata/sf0.001"
 
@@ -41,6 +41,14 @@ def test_weights_of_large_ids(spark, tmp_path):
     assert got == want and (1_900_000, 100_000, 1) in got
 
 
+def test_all_circular_modules(spark, tmp_path):
+    for t in ("nation", "region"):
+        duckdb.sql(f"COPY (SELECT * FROM '{D}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    duckdb.sql(f"COPY (SELECT k::BIGINT AS s_suppkey, 'S' || k AS s_name, ((k * 11 + k // 25) % 25)::INTEGER AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM range(700) t(k)) TO '{tmp_path}/supplier.parquet'")
+    got, want = both(spark, trees.QUERIES, trees.ORACLES, "question_circular_modules", tmp_path)
+    assert len(want) > 10 and got == want
+
+
 def test_include_chains_compare_no_pairs(spark):
     plan = questions.QUERIES["question_include_chains"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert "s_suppkey" in plan and "<=" not in plan and ">=" not in plan
