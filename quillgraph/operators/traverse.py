@@ -103,7 +103,8 @@ def rounds(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys:
 
     Every round is written, so lineage stays one round deep and a lost executor repeats no
     earlier one. What a round shuffles follows its own rows and those of the RECENT rounds
-    before it; all earlier ones lie in a bucketed table.
+    before it; all earlier ones lie in a bucketed table. Rounds are joined by sorting: by the
+    size of its compressed files a round would be taken for small and sent through the driver.
     """
     old, recent, depth = Bucketed(first.sparkSession, keys), [], 1
     rows, n = counted(first)
@@ -117,9 +118,9 @@ def rounds(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys:
         depth += 1
         found = step(rows, depth)
         if recent:
-            found = found.join(reduce(DataFrame.unionByName, recent).select(*keys), list(keys), "left_anti")
+            found = found.join(reduce(DataFrame.unionByName, recent).select(*keys).hint("merge"), list(keys), "left_anti")
         if old.schema is not None:
-            found = found.join(old.rows().select(*keys), list(keys), "left_anti")
+            found = found.join(old.rows().select(*keys).hint("merge"), list(keys), "left_anti")
         rows, n = counted(found)
     parts = [*([old.closed()] if old.schema is not None else []), *recent]
     return reduce(DataFrame.unionByName, parts) if parts else rows
@@ -129,10 +130,10 @@ def closure(starts: DataFrame, edges: DataFrame, most: int | None = None) -> Dat
     """start, node, depth of everything reachable (over most edges at most), cycles included; ends when nothing is new."""
     pairs = kept(edges.select("src", "dst").distinct())
     seeds = starts.select(F.col("id").alias("start")).distinct()
-    first = seeds.join(pairs, seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
+    first = seeds.join(pairs.hint("merge"), seeds["start"] == pairs["src"]).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
 
     def step(rows: DataFrame, depth: int) -> DataFrame:
-        return rows.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+        return rows.select("start", F.col("node").alias("src")).join(pairs.hint("merge"), "src").select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
 
     return rounds(first, step, ["start", "node"], most)
 
@@ -255,7 +256,7 @@ def nearest_supertypes(direct: DataFrame) -> DataFrame:
     first = pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).where("start <> node")
 
     def step(rows: DataFrame, depth: int) -> DataFrame:
-        found = rows.select("start", F.col("node").alias("src"), "bfs").join(pairs, "src")
+        found = rows.select("start", F.col("node").alias("src"), "bfs").join(pairs.hint("merge"), "src")
         found = found.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
         return found.select("start", "node", F.lit(depth).alias("depth"), "bfs")
 

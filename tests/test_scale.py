@@ -3,6 +3,7 @@
 
 import duckdb
 
+from quillgraph.operators import traverse
 from quillgraph.plans import questions, tables, trees
 
 D = "/root/testdata/sf0.001"
@@ -52,3 +53,12 @@ def test_all_circular_modules(spark, tmp_path):
 def test_include_chains_compare_no_pairs(spark):
     plan = questions.QUERIES["question_include_chains"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert "s_suppkey" in plan and "<=" not in plan and ">=" not in plan
+
+
+def test_rounds_are_not_broadcast(spark):
+    edges = spark.range(300).selectExpr("id AS src", "id div 2 AS dst").union(spark.range(300).selectExpr("id", "(id * 7) % 300"))
+    done = executions(spark)
+    traverse.closure(spark.range(1), edges).count()
+    traverse.nearest_supertypes(edges.selectExpr("string(src)", "string(dst)").where("src > dst")).count()
+    found = plans_since(spark, done)
+    assert any("SortMergeJoin" in p for p in found) and not any("BroadcastHashJoin" in p for p in found)
