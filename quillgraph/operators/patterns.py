@@ -80,12 +80,18 @@ def totals(df: DataFrame, *by: str) -> DataFrame:
     return df.rollup(*by).agg(F.count("*").alias("n"))
 
 
+#: Rows of items whose pairs one task gathers.
+ROWS = 200_000
+
+
 def co_occurrence(items: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
     """a < b, n_both and confidence (n_both over a's groups) for items that share groups.
 
-    Groups are baskets of bounded size (an order's lines, a commit's files).
+    Groups are baskets of bounded size (an order's lines, a commit's files). The number of tasks
+    follows the rows, so that a task counts as many pairs in memory whatever the table's size.
     """
-    pairs = items.select(group, item).distinct()
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // ROWS))
+    pairs = items.select(group, item).repartition(tasks, group).distinct()
     count = pairs.groupBy(item).agg(F.count("*").alias("n_a"))
-    both = pairs.select(group, F.col(item).alias("a")).join(pairs.select(group, F.col(item).alias("b")), group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
+    both = pairs.select(group, F.col(item).alias("a")).join(pairs.select(group, F.col(item).alias("b")), group).where("a < b").repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
     return both.join(count.withColumnRenamed(item, "a"), "a").select("a", "b", "n_both", (F.col("n_both") / F.col("n_a")).alias("confidence"))

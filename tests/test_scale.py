@@ -3,7 +3,7 @@
 
 import duckdb
 
-from quillgraph.operators import traverse
+from quillgraph.operators import patterns, traverse
 from quillgraph.plans import questions, tables, trees
 
 D = "/root/testdata/sf0.001"
@@ -62,3 +62,12 @@ def test_rounds_are_not_broadcast(spark):
     traverse.nearest_supertypes(edges.selectExpr("string(src)", "string(dst)").where("src > dst")).count()
     found = plans_since(spark, done)
     assert any("SortMergeJoin" in p for p in found) and not any("BroadcastHashJoin" in p for p in found)
+
+
+def test_pairs_are_counted_by_tasks_that_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(4_000).selectExpr("id div 4 AS g", "id % 60 AS i")
+    before = sorted(map(tuple, patterns.co_occurrence(rows, "g", "i").collect()))
+    monkeypatch.setattr(patterns, "ROWS", 250, raising=False)
+    cut = patterns.co_occurrence(rows, "g", "i")
+    assert sorted(map(tuple, cut.collect())) == before
+    assert "RepartitionByExpression [a" in cut._jdf.queryExecution().optimizedPlan().toString() and ", 16" in cut._jdf.queryExecution().optimizedPlan().toString()
