@@ -105,10 +105,11 @@ def overrides(methods: DataFrame, direct: DataFrame) -> DataFrame:
     same number of parameters, then the least id.
     """
     c = F.col
-    above = traverse.nearest_supertypes(direct).select(c("start").alias("ownerFqn"), c("node").alias("upper"), "depth", "bfs")
     mine = methods.where("NOT isConstructor AND NOT isStatic").select("id", "name", "ownerFqn", "signature", "arity", "hasOverrideAnnotation")
     theirs = methods.where("NOT isConstructor").select(c("ownerFqn").alias("upper"), "name", "arity", c("signature").alias("s"), c("id").alias("to_id"))
-    met = mine.join(above, "ownerFqn").join(theirs, ["upper", "name", "arity"]).withColumn("rank", F.when(c("s") == c("signature"), 0).otherwise(1))
+    asked = mine.select(c("ownerFqn").alias("start"), "name", "arity").distinct()
+    above = traverse.nearest_with(asked, theirs.withColumnRenamed("upper", "node"), direct, ["name", "arity"]).select(c("start").alias("ownerFqn"), "name", "arity", c("node").alias("upper"), "depth", "bfs")
+    met = mine.join(above, ["ownerFqn", "name", "arity"]).join(theirs, ["upper", "name", "arity"]).withColumn("rank", F.when(c("s") == c("signature"), 0).otherwise(1))
     best = resolve.elect(met, "id", c("depth"), c("bfs"), c("rank"), c("to_id"))
     return best.select(c("id").alias("from_id"), "to_id", F.when(c("rank") == 0, "signature").otherwise("arity").alias("matchKind"), c("hasOverrideAnnotation").alias("annotated"))
 

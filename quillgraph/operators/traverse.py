@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.session import shared_path
@@ -261,3 +262,30 @@ def nearest_supertypes(direct: DataFrame) -> DataFrame:
         return found.select("start", "node", F.lit(depth).alias("depth"), "bfs")
 
     return rounds(first, step, ["start", "node"])
+
+
+def nearest_with(asked: DataFrame, having: DataFrame, direct: DataFrame, by: Sequence[str]) -> DataFrame:
+    """start, the columns of by, node, depth, bfs: the supertypes of least depth that have what a start asks for.
+
+    asked: start and by, distinct; having: node and by. Order and bfs are those of
+    nearest_supertypes(), but a search ends with the first level that has a hit, so the levels
+    above are neither walked nor kept.
+    """
+    by = list(by)
+    key = ["start", *by]
+    pairs = kept(direct.select("src", "dst").distinct().where("src <> dst"))
+    has = kept(having.select("node", *by).distinct().join(pairs.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_semi"))
+    # what no supertype has need not be looked for
+    open_ = asked.select(*key).join(has.select(*by).distinct(), by, "left_semi")
+
+    def level(rows: DataFrame, depth: int) -> DataFrame:
+        found = rows.join(pairs.hint("merge"), "src").groupBy(*key, F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
+        marked = found.join(has.withColumn("hit", F.lit(True)).hint("merge"), ["node", *by], "left")
+        return marked.select(*key, "node", F.lit(depth).alias("depth"), "bfs", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def step(rows: DataFrame, depth: int) -> DataFrame:
+        missed = rows.withColumn("_met", F.max("hit").over(W.partitionBy(*key))).where("NOT _met")
+        return level(missed.select(*key, F.col("node").alias("src"), "bfs"), depth)
+
+    first = level(open_.withColumn("src", F.col("start")).withColumn("bfs", F.array().cast("array<string>")), 1)
+    return rounds(first, step, [*key, "node"]).where("hit").drop("hit")

@@ -1,8 +1,11 @@
 """What large tables bring: keys above a million, more edges than a report shows, one row group, rounds that look small."""
 
+import random
 
 import duckdb
+import pytest
 
+from quillgraph.extract import java
 from quillgraph.operators import patterns, traverse
 from quillgraph.plans import questions, tables, trees
 
@@ -64,6 +67,37 @@ def test_rounds_are_not_broadcast(spark):
     assert any("SortMergeJoin" in p for p in found) and not any("BroadcastHashJoin" in p for p in found)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_overrides_stop_at_the_first_hit(spark, seed):
+    """As the whole closure says, cycles and diamonds included."""
+    rng = random.Random(seed)
+    pairs = sorted({(f"C{rng.randrange(14)}", f"C{rng.randrange(14)}") for _ in range(24)})
+    methods = sorted({(f"C{rng.randrange(14)}", f"m{rng.randrange(5)}", rng.choice(["int", "String"]), rng.random() < 0.2) for _ in range(40)})
+    direct = spark.createDataFrame(pairs, "src string, dst string").where("src <> dst")
+    m = spark.createDataFrame([(f"{o}#{n}({t}){s}", n, o, f"{n}({t})", 1, False, s, False) for o, n, t, s in methods], "id string, name string, ownerFqn string, signature string, arity int, isConstructor boolean, isStatic boolean, hasOverrideAnnotation boolean")
+    above = {}
+    for r in traverse.nearest_supertypes(direct).collect():
+        above.setdefault(r.start, []).append((r.depth, r.bfs, r.node))
+    rows = m.collect()
+    want = set()
+    for a in rows:
+        met = [(d, b, a.signature != x.signature, x.id) for d, b, n in above.get(a.ownerFqn, []) for x in rows if x.ownerFqn == n and x.name == a.name]
+        if met and not a.isStatic:
+            want.add((a.id, min(met)[3], "arity" if min(met)[2] else "signature"))
+    got = java.overrides(m, direct).select("from_id", "to_id", "matchKind").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_levels_above_a_hit_are_not_walked(spark, monkeypatch):
+    """A chain in which every class has the method ends after its first level."""
+    depths = []
+    true = traverse.counted
+    monkeypatch.setattr(traverse, "counted", lambda df: depths.append(1) or true(df))
+    direct = spark.range(1, 30).selectExpr("concat('C', id) AS src", "concat('C', id - 1) AS dst")
+    m = spark.range(30).selectExpr("concat('C', id, '#m()') AS id", "'m' AS name", "concat('C', id) AS ownerFqn", "'m()' AS signature", "0 AS arity", "false AS isConstructor", "false AS isStatic", "false AS hasOverrideAnnotation")
+    assert java.overrides(m, direct).count() == 29 and len(depths) <= 5
+
+
 def test_pairs_are_counted_by_tasks_that_follow_the_rows(spark, monkeypatch):
     rows = spark.range(4_000).selectExpr("id div 4 AS g", "id % 60 AS i")
     before = sorted(map(tuple, patterns.co_occurrence(rows, "g", "i").collect()))
