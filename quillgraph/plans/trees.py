@@ -33,6 +33,19 @@ _RULE = "SYSTEM_SYSRULES_part"
 class Tree(Overlay):
     """Files (path, content) written from the tables."""
 
+    #: Rows of a table that a task makes files of.
+    ROWS = 4_000
+
+    def table(self, name: str) -> DataFrame:
+        """A table's rows, dealt out over as many tasks as its number asks for.
+
+        Every row becomes a file to be parsed, some hundred times the row's bytes. A table may lie in
+        one row group, which one task would read, parse and cache alone.
+        """
+        rows = super().table(name)
+        tasks = -(-rows.count() // self.ROWS)
+        return rows.repartition(tasks) if tasks > 1 else rows
+
     def homes(self) -> DataFrame:
         return self.table("nation").selectExpr("n_nationkey AS k", "'r' || n_regionkey || '/n' || n_nationkey AS path", "':r' || n_regionkey || ':n' || n_nationkey AS gp")
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.extract import java
 from quillgraph.operators import patterns, traverse
@@ -58,6 +59,17 @@ def test_include_chains_compare_no_pairs(spark):
     assert "s_suppkey" in plan and "<=" not in plan and ">=" not in plan
 
 
+@pytest.mark.parametrize("rows", [500, 9_001])
+def test_tables_are_dealt_out(spark, tmp_path, monkeypatch, rows):
+    """A table of one row group is parsed by as many tasks as its rows ask for."""
+    monkeypatch.setattr(trees.Tree, "ROWS", 1_000, raising=False)
+    duckdb.sql(f"COPY (SELECT * FROM '{D}/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    duckdb.sql(f"COPY (SELECT k::BIGINT AS p_partkey FROM range({rows}) t(k)) TO '{tmp_path}/part.parquet'")
+    files = trees.Tree(spark, str(tmp_path)).java()
+    held = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == rows and max(held) <= 1_500
+
+
 def test_rounds_are_not_broadcast(spark):
     edges = spark.range(300).selectExpr("id AS src", "id div 2 AS dst").union(spark.range(300).selectExpr("id", "(id * 7) % 300"))
     done = executions(spark)
