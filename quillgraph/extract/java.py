@@ -102,15 +102,19 @@ def overrides(methods: DataFrame, direct: DataFrame) -> DataFrame:
     """from_id, to_id, matchKind, annotated: the nearest supertype's method of the same name.
 
     Nearest first, siblings by name; within a supertype the same signature goes before the
-    same number of parameters, then the least id.
+    same number of parameters, then the least id. Methods are written once, and nothing that
+    grows with them is sent through the driver.
     """
     c = F.col
-    mine = methods.where("NOT isConstructor AND NOT isStatic").select("id", "name", "ownerFqn", "signature", "arity", "hasOverrideAnnotation")
-    theirs = methods.where("NOT isConstructor").select(c("ownerFqn").alias("upper"), "name", "arity", c("signature").alias("s"), c("id").alias("to_id"))
+    methods = traverse.kept(methods.where("NOT isConstructor").select("id", "name", "ownerFqn", "signature", "arity", "isStatic", "hasOverrideAnnotation"))
+    mine = methods.where("NOT isStatic").drop("isStatic")
+    theirs = methods.select(c("ownerFqn").alias("upper"), "name", "arity", c("signature").alias("s"), c("id").alias("to_id"))
     asked = mine.select(c("ownerFqn").alias("start"), "name", "arity").distinct()
-    above = traverse.nearest_with(asked, theirs.withColumnRenamed("upper", "node"), direct, ["name", "arity"]).select(c("start").alias("ownerFqn"), "name", "arity", c("node").alias("upper"), "depth", "bfs")
-    met = mine.join(above, ["ownerFqn", "name", "arity"]).join(theirs, ["upper", "name", "arity"]).withColumn("rank", F.when(c("s") == c("signature"), 0).otherwise(1))
-    best = resolve.elect(met, "id", c("depth"), c("bfs"), c("rank"), c("to_id"))
+    above = traverse.nearest_with(asked, theirs.withColumnRenamed("upper", "node"), direct, ["name", "arity"])
+    # one supertype a name: a path ends with its node, so depth and path tell nodes apart
+    above = above.groupBy(c("start").alias("ownerFqn"), "name", "arity").agg(F.min(F.struct("depth", "bfs", "node"))["node"].alias("upper"))
+    met = mine.join(above.hint("merge"), ["ownerFqn", "name", "arity"]).join(theirs.hint("merge"), ["upper", "name", "arity"]).withColumn("rank", F.when(c("s") == c("signature"), 0).otherwise(1))
+    best = resolve.elect(met, "id", c("rank"), c("to_id"))
     return best.select(c("id").alias("from_id"), "to_id", F.when(c("rank") == 0, "signature").otherwise("arity").alias("matchKind"), c("hasOverrideAnnotation").alias("annotated"))
 
 
@@ -132,7 +136,7 @@ def java(files: DataFrame, graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
     imports = parsed.select("path", F.explode("unit.classes.fqn").alias("from_id"), "unit.imports").select("from_id", F.explode("imports").alias("to_id"), c("path").alias("sourceFile"))
     out["IMPORTS"] = merge.valid_edges(imports, known, "fqn")
     methods = parsed.select("path", F.explode("unit.methods").alias("m")).select("m.*", "path")
-    methods = resolve.elect(methods.join(known.withColumnRenamed("fqn", "ownerFqn"), ["ownerFqn", "path"], "left_semi"), "id", c("lineNumber")).drop("annotations", "params", "rawReturn", "ownerAnnotations")
+    methods = resolve.elect(methods.join(known.withColumnRenamed("fqn", "ownerFqn").hint("merge"), ["ownerFqn", "path"], "left_semi"), "id", c("lineNumber")).drop("annotations", "params", "rawReturn", "ownerAnnotations")
     out["Method"] = methods
     out["DECLARES"] = methods.select(c("ownerFqn").alias("from_id"), c("id").alias("to_id"))
     pairs = resolve.ordered_pairs(methods.select("id", "name", "ownerFqn", "isConstructor", "arity", "signature"), ["ownerFqn", "name", "isConstructor"], "arity", "signature")

@@ -58,9 +58,13 @@ def duplicate_keys(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Edges between known nodes, no loops, the first of each pair."""
-    ids = known.select(F.col(key).alias("_id")).distinct()
-    return edges.where(F.col("from_id") != F.col("to_id")).join(ids, F.col("from_id") == F.col("_id"), "left_semi").join(ids, F.col("to_id") == F.col("_id"), "left_semi").dropDuplicates(["from_id", "to_id"])
+    """Edges between known nodes, no loops, the first of each pair.
+
+    Joined by sorting, as in resolve.best_candidate; what lies by from_id after the second join
+    needs no further shuffle to drop duplicates.
+    """
+    ids = known.select(F.col(key).alias("_id")).distinct().hint("merge")
+    return edges.where(F.col("from_id") != F.col("to_id")).join(ids, F.col("to_id") == F.col("_id"), "left_semi").join(ids, F.col("from_id") == F.col("_id"), "left_semi").dropDuplicates(["from_id", "to_id"])
 
 
 def priority_merge(*sources: DataFrame, key: str) -> DataFrame:

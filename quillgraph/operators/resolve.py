@@ -49,8 +49,12 @@ def raw_prefix(left: DataFrame, name: str, table: DataFrame, prefix: str, value:
 
 
 def best_candidate(candidates: DataFrame, row: Sequence[str], name: str, priority: str, known: DataFrame, known_key: str) -> DataFrame:
-    """For each row the known candidate of least priority (ties: least name)."""
-    met = candidates.join(known.select(F.col(known_key).alias(name)).distinct(), name, "left_semi")
+    """For each row the known candidate of least priority (ties: least name).
+
+    Joined by sorting: names read out of a small table's text would be taken for small too and
+    sent through the driver, all of them.
+    """
+    met = candidates.join(known.select(F.col(known_key).alias(name)).distinct().hint("merge"), name, "left_semi")
     return met.groupBy(*row).agg(F.min(F.struct(F.col(priority).alias("p"), F.col(name).alias("c"))).alias("_b")).select(*row, F.col("_b")["c"].alias(name), F.col("_b")["p"].alias(priority))
 
 

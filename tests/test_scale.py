@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.extract import java
-from quillgraph.operators import patterns, traverse
+from quillgraph.operators import merge, patterns, resolve, traverse
 from quillgraph.plans import questions, tables, trees
 
 D = "/root/testdata/sf0.001"
@@ -117,3 +117,19 @@ def test_pairs_are_counted_by_tasks_that_follow_the_rows(spark, monkeypatch):
     cut = patterns.co_occurrence(rows, "g", "i")
     assert sorted(map(tuple, cut.collect())) == before
     assert "RepartitionByExpression [a" in cut._jdf.queryExecution().optimizedPlan().toString() and ", 16" in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_class_names_are_not_broadcast(spark):
+    """What the extractor reads out of a small table's rows is joined by sorting, whatever its size is taken for."""
+    graph = java.java(trees._hierarchy(trees.Tree(spark, D)), {})
+    for kind in ("EXTENDS", "IMPLEMENTS", "IMPORTS", "OVERRIDES"):
+        plan = graph[kind]._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, kind
+
+
+def test_known_names_are_joined_by_sorting(spark):
+    known = spark.sql("SELECT * FROM VALUES ('a'), ('b') AS t(fqn)")
+    edges = spark.createDataFrame([("a", "b", "f"), ("a", "b", "f"), ("a", "a", "f"), ("b", "z", "f"), ("z", "a", "f")], "from_id string, to_id string, sourceFile string")
+    found = [merge.valid_edges(edges, known, "fqn"), resolve.best_candidate(edges.withColumn("rank", F.lit(1)), ["from_id"], "to_id", "rank", known, "fqn")]
+    assert all("BroadcastHashJoin" not in f._jdf.queryExecution().executedPlan().toString() for f in found)
+    assert [sorted(map(tuple, f.collect())) for f in found] == [[("a", "b", "f")], [("a", "a", 1), ("z", "a", 1)]]
