@@ -118,8 +118,19 @@ def overrides(methods: DataFrame, direct: DataFrame) -> DataFrame:
     return best.select(c("id").alias("from_id"), "to_id", F.when(c("rank") == 0, "signature").otherwise("arity").alias("matchKind"), c("hasOverrideAnnotation").alias("annotated"))
 
 
+def supertypes(graph: dict[str, DataFrame]) -> DataFrame:
+    """src, dst: what a class extends or implements itself."""
+    return graph["EXTENDS"].union(graph["IMPLEMENTS"]).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
+
+
 def java(files: DataFrame, graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """JavaClass (entities carry tableName), Package, Method and all edges among them."""
+    out = declarations(files, graph)
+    return out | {"OVERRIDES": overrides(out["Method"], supertypes(out))}
+
+
+def declarations(files: DataFrame, graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """java() without OVERRIDES, whose search upwards runs at once; this runs when it is asked for."""
     c = F.col
     parsed = units(files).cache()
     classes = _classes(parsed)
@@ -141,8 +152,6 @@ def java(files: DataFrame, graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["DECLARES"] = methods.select(c("ownerFqn").alias("from_id"), c("id").alias("to_id"))
     pairs = resolve.ordered_pairs(methods.select("id", "name", "ownerFqn", "isConstructor", "arity", "signature"), ["ownerFqn", "name", "isConstructor"], "arity", "signature")
     out["OVERLOADS"] = pairs.select(c("first.id").alias("from_id"), c("second.id").alias("to_id"), "ownerFqn")
-    direct = out["EXTENDS"].union(out["IMPLEMENTS"]).select(c("from_id").alias("src"), c("to_id").alias("dst")).distinct()
-    out["OVERRIDES"] = overrides(methods, direct)
     packages = classes.where("package <> ''").select(c("package").alias("name")).distinct()
     out["Package"] = packages.withColumn("path", F.replace("name", F.lit("."), F.lit("/")))
     out["CONTAINS_JavaClass"] = classes.where("package <> ''").select(c("package").alias("from_id"), c("fqn").alias("to_id"))

@@ -252,16 +252,32 @@ def nearest_supertypes(direct: DataFrame) -> DataFrame:
     """start, node, depth, bfs: supertypes nearest first; siblings in order of name.
 
     bfs is the least path of names that leads there, which orders nodes of one depth.
-    """
-    pairs = kept(direct.select("src", "dst").distinct())
-    first = pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("bfs")).where("start <> node")
 
-    def step(rows: DataFrame, depth: int) -> DataFrame:
-        found = rows.select("start", F.col("node").alias("src"), "bfs").join(pairs.hint("merge"), "src")
-        found = found.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.array_append("bfs", F.col("dst"))).alias("bfs")).where("start <> node")
-        return found.select("start", "node", F.lit(depth).alias("depth"), "bfs")
+    Each round doubles the depth: a shortest path longer than span has a node at span, and both
+    its parts are least shortest paths that are known. So there are as many rounds as the depth
+    has binary digits, and a path is put together once, not shuffled again at every level above.
+    Upper parts are asked of starts that lie at span above another only (inner), and those get
+    fewer with every round.
+    """
 
-    return rounds(first, step, ["start", "node"])
+    def marked(rows: DataFrame, middles: DataFrame) -> DataFrame:
+        inner = middles.select(F.col("node").alias("start")).distinct().withColumn("inner", F.lit(True))
+        return rows.join(inner.hint("merge"), "start", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+
+    pairs = kept(direct.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct().where("start <> node"))
+    rows = kept(marked(pairs.select("start", "node", F.lit(1).alias("depth"), F.array("node").alias("bfs")), pairs))
+    found, span = [rows], 1
+    while not (ends := rows.where(F.col("depth") == span)).isEmpty():
+        known = reduce(DataFrame.unionByName, found)
+        heads = marked(ends.select("start", F.col("node").alias("middle"), F.col("bfs").alias("head")), ends)
+        tails = known.where("inner").select(F.col("start").alias("middle"), "node", (F.col("depth") + span).alias("depth"), F.col("bfs").alias("tail"))
+        met = heads.join(tails.hint("merge"), "middle").where("start <> node").select("start", "node", "inner", "depth", F.concat("head", "tail").alias("bfs"))
+        new = met.join(known.select("start", "node").hint("merge"), ["start", "node"], "left_anti")
+        new = new.groupBy("start", "node").agg(F.min(F.struct("depth", "bfs")).alias("least"), F.bool_or("inner").alias("inner"))
+        rows = kept(new.select("start", "node", "least.depth", "least.bfs", "inner"))
+        found.append(rows)
+        span *= 2
+    return reduce(DataFrame.unionByName, found).drop("inner")
 
 
 def nearest_with(asked: DataFrame, having: DataFrame, direct: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -234,8 +234,7 @@ def q_extract_java_hierarchy(g: Tree) -> DataFrame:
 @query(f"""{_HIERARCHY} SELECT start, node, CAST(depth AS INTEGER) AS depth, array_to_string(bfs, '>') AS way FROM near""")
 def q_nearest_supertypes(g: Tree) -> DataFrame:
     """All supertypes in breadth-first order."""
-    graph = java.java(_hierarchy(g), {})
-    direct = graph["EXTENDS"].union(graph["IMPLEMENTS"]).selectExpr("from_id AS src", "to_id AS dst").distinct()
+    direct = java.supertypes(java.declarations(_hierarchy(g), {}))
     return traverse.nearest_supertypes(direct).select("start", "node", "depth", F.array_join("bfs", ">").alias("way"))
 
 

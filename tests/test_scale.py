@@ -133,3 +133,42 @@ def test_known_names_are_joined_by_sorting(spark):
     found = [merge.valid_edges(edges, known, "fqn"), resolve.best_candidate(edges.withColumn("rank", F.lit(1)), ["from_id"], "to_id", "rank", known, "fqn")]
     assert all("BroadcastHashJoin" not in f._jdf.queryExecution().executedPlan().toString() for f in found)
     assert [sorted(map(tuple, f.collect())) for f in found] == [[("a", "b", "f")], [("a", "a", 1), ("z", "a", 1)]]
+
+
+def nearest_by_hand(pairs):
+    out, found = {}, set()
+    for a, b in sorted(set(pairs)):
+        out.setdefault(a, []).append(b)
+    for s in out:
+        level, seen = {s: ()}, {s}
+        while level:
+            above = {}
+            for n, way in level.items():
+                for b in out.get(n, []):
+                    if b not in seen:
+                        above[b] = min(above.get(b, (*way, b)), (*way, b))
+            found |= {(s, n, len(way), way) for n, way in above.items()}
+            seen |= set(above)
+            level = above
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_supertypes_of_deep_graphs(spark, monkeypatch, seed):
+    """A path of 40 takes a write for each doubling of the depth, not for each level; diamonds, shortcuts and cycles included."""
+    writes = []
+    true = traverse.counted
+    monkeypatch.setattr(traverse, "counted", lambda df: writes.append(1) or true(df))
+    rng = random.Random(seed)
+    pairs = [(f"C{k}", f"C{k + 1}") for k in range(40)] + [(f"C{k}", f"I{rng.randrange(5)}") for k in range(40)]
+    pairs += [("I1", "I0"), ("I2", "I0"), ("I3", "I2"), ("I3", "I1"), ("I0", "I3"), ("C40", "C31"), ("C7", "C7")] + [(f"D{k}", f"D{k + d}") for k in range(20) for d in (1, 2, rng.randrange(3, 9))]
+    direct = spark.createDataFrame(pairs, "src string, dst string")
+    got = traverse.nearest_supertypes(direct).select("start", "node", "depth", "bfs").collect()
+    assert sorted((r.start, r.node, r.depth, tuple(r.bfs)) for r in got) == nearest_by_hand(pairs)
+    assert len(writes) <= 9
+
+
+def test_supertypes_are_read_without_overrides(spark, monkeypatch):
+    """What only asks for the supertypes does not search them for methods."""
+    monkeypatch.setattr(java, "overrides", lambda *a: pytest.fail("overrides were sought"))
+    assert trees.QUERIES["nearest_supertypes"](spark, D).columns == ["start", "node", "depth", "way"]
